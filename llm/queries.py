@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import length_histogram, line_dedup, mixing, packing
+from llm import length_histogram, line_dedup, mixing, packing, toxicity, vectors
 from llm.common import load
 
 
@@ -29,8 +29,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.length_histogram(length_histogram.encoded_lengths(load(spark, sf_dir, "documents")))
 
 
+def op3_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(load(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels that may be learned from: the remainder of crc32(doc_id) by 3 is not 1."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, training_labels(load(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(load(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op5_best_fit, op6_token_counts)
+    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op3_stable_projections, op5_best_fit, op6_token_counts, op8_kneser_ney, op9_block_pruning)
 }
 
 OP2_SQL = f"""
@@ -48,4 +68,14 @@ SELECT d.doc_id, count(f.no) AS n_chunks, count_if(coalesce(f.gone, FALSE)) AS n
 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_line_chunks": OP2_SQL}
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_chunks": OP2_SQL, "op9_block_pruning": OP9_SQL}
