@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import length_histogram, line_dedup, mixing, packing, toxicity, vectors
+from llm import length_histogram, line_dedup, mixing, packing, simhash, toxicity, vectors
 from llm.common import load
 
 
@@ -33,6 +33,11 @@ def op3_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(load(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("f")[0]).alias("fingerprint"), "component_id")
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """Labels that may be learned from: the remainder of crc32(doc_id) by 3 is not 1."""
     return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
@@ -50,7 +55,7 @@ def op9_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op3_stable_projections, op5_best_fit, op6_token_counts, op8_kneser_ney, op9_block_pruning)
+    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op3_stable_projections, op5_best_fit, op6_token_counts, op7_simhash, op8_kneser_ney, op9_block_pruning)
 }
 
 OP2_SQL = f"""
