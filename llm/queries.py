@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import length_histogram, line_dedup, mixing, packing, simhash, toxicity, vectors
+from llm import length_histogram, line_dedup, mixing, packing, simhash, substring_dedup, toxicity, vectors
 from llm.common import load
 
 
@@ -21,6 +21,10 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chunks", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op9_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op3_stable_projections, op5_best_fit, op6_token_counts, op7_simhash, op8_kneser_ney, op9_block_pruning)
+    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op3_stable_projections, op4_de_bruijn, op5_best_fit, op6_token_counts, op7_simhash, op8_kneser_ney, op9_block_pruning)
 }
 
 OP2_SQL = f"""
@@ -83,4 +87,15 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_line_chunks": OP2_SQL, "op9_block_pruning": OP9_SQL}
+OP4_SQL = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.SIZE} + 2)) AS s FROM t),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s : s + {substring_dedup.SIZE} - 1], ' ') ORDER BY doc_id, s) AS nth FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + {substring_dedup.SIZE})) AS i FROM k WHERE nth > 1),
+r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM t LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_de_bruijn": OP4_SQL, "op2_line_chunks": OP2_SQL, "op9_block_pruning": OP9_SQL}
