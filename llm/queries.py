@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import length_histogram, line_dedup, mixing, packing, simhash, substring_dedup, toxicity, vectors
+from llm import length_histogram, line_dedup, mixing, packing, simhash, substring_dedup, suffix_dedup, toxicity, vectors
 from llm.common import load
 
 
@@ -58,8 +58,12 @@ def op9_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(load(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op3_stable_projections, op4_de_bruijn, op5_best_fit, op6_token_counts, op7_simhash, op8_kneser_ney, op9_block_pruning)
+    f.__name__: f for f in (op1_pfair_mixing, op2_line_chunks, op3_stable_projections, op4_de_bruijn, op5_best_fit, op6_token_counts, op7_simhash, op8_kneser_ney, op9_block_pruning, op10_interval_expansion)
 }
 
 OP2_SQL = f"""
@@ -98,4 +102,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 FROM t LEFT JOIN r USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_de_bruijn": OP4_SQL, "op2_line_chunks": OP2_SQL, "op9_block_pruning": OP9_SQL}
+OP10_SQL = f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+p AS (SELECT doc_id, b, unnest(range(1, len(b) // 2 - {suffix_dedup.SIZE} + 2)) AS s FROM t),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY substr(b, 2 * s - 1, {2 * suffix_dedup.SIZE}) ORDER BY doc_id, s) AS nth FROM p),
+r AS (SELECT doc_id, s AS i, s + {suffix_dedup.SIZE} AS j FROM k WHERE nth > 1),
+o AS (SELECT doc_id, i, j, sum(CASE WHEN i > prev OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM r)),
+m AS (SELECT doc_id, g, min(i) AS i, max(j) AS j FROM o GROUP BY doc_id, g),
+q AS (SELECT doc_id, i, j, coalesce(lag(j) OVER w, 1) AS free, lead(i) OVER w IS NULL AS final FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT doc_id, count(*) AS n, sum(j - i) AS gone, list({{'f': free, 'i': i}} ORDER BY i) AS keep, max(j) AS tail FROM q GROUP BY doc_id)
+SELECT t.doc_id, len(b) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN b ELSE array_to_string(list_transform(keep, lambda x: substr(b, 2 * x.f - 1, 2 * (x.i - x.f))), '') || substr(b, 2 * tail - 1) END)) AS kept_sha256
+FROM t LEFT JOIN a USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_interval_expansion": OP10_SQL, "op4_de_bruijn": OP4_SQL, "op2_line_chunks": OP2_SQL, "op9_block_pruning": OP9_SQL}

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,36 +15,6 @@ SIZE = 20
 ANCHOR = 6
 
 
-def edges(docs: DataFrame, rest: DataFrame, size: int) -> DataFrame:
-    """(e, e2, u, v, id, pos): each window of the super-k-mers in `rest`; the nodes are its first and last size - 1 words.
-
-    e and e2 are two independent hashes of the words.
-    """
-    kind = dict(docs.dtypes)["id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = sk._BASES
-        for b in batches:
-            units, off = sk.units_of(b.column(1), True)
-            start, at = sk.column_of(b.column(2), "start")
-            n, _ = sk.column_of(b.column(2), "n")
-            row = np.repeat(np.arange(b.num_rows), np.diff(at))
-            windows = n - size + 1
-            begin = np.repeat(off[row] + start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            row = np.repeat(row, windows)
-            for i in range(0, len(begin), sk.CHUNK // 4):
-                p, r = begin[i : i + sk.CHUNK // 4], row[i : i + sk.CHUNK // 4]
-                lo, hi = int(p.min()), int(p.max()) + size
-                x, q = units[lo:hi], p - lo
-                a, c = sk.prefix_sums(x, one), sk.prefix_sums(x, two)
-                cols = [sk.digest(a, one, q, q + size), sk.digest(c, two, q, q + size), sk.digest(a, one, q, q + size - 1), sk.digest(a, one, q + 1, q + size)]
-                cols = [pa.array(h.view(np.int64)) for h in cols]
-                yield pa.RecordBatch.from_arrays([*cols, b.column(0).take(pa.array(r)), pa.array((p - off[r]).astype(np.int32))], ["e", "e2", "u", "v", "id", "pos"])
-
-    joined = sk.with_rows(docs, rest, ["start", "n"])
-    return joined.select("id", "text", "rows").mapInArrow(run, f"e long, e2 long, u long, v long, id {kind}, pos int")
-
-
 def paths(found: DataFrame) -> DataFrame:
     """(e, e2, src, src_pos, path, offset) of repeated edges: the first place, and the place in a compacted path.
 
@@ -79,7 +46,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> D
     docs = docs.select("id", "text")
     rows = sk.write(sk.repeats(docs, size, anchor, True), folder, "repeats")
     whole = rows.filter("copy").select("id", "start", "n")
-    found = sk.write(edges(docs, rows.filter("NOT copy"), size), folder, "edges")
+    found = sk.write(sk.windows(docs, rows.filter("NOT copy"), size, True), folder, "edges")
     known = paths(found).withColumnRenamed("e", "k").withColumnRenamed("e2", "k2")
     met = found.join(known, (F.col("e") == F.col("k")) & (F.col("e2") == F.col("k2")))
     met = met.filter(~F.struct("id", "pos").eqNullSafe(F.struct(F.col("src").alias("id"), F.col("src_pos").alias("pos"))))

@@ -248,6 +248,36 @@ def column_of(rows: pa.Array, field: str) -> tuple[np.ndarray, np.ndarray]:
     return pc.struct_field(flat, field).to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lengths)]
 
 
+def windows(docs: DataFrame, rest: DataFrame, size: int, of_words: bool) -> DataFrame:
+    """(e, e2, u, v, id, pos): each window of the super-k-mers in `rest`, as a de Bruijn edge.
+
+    e and e2 are two independent hashes of its units; u and v, its nodes, hash the first and last size - 1.
+    """
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = _BASES
+        for b in batches:
+            units, off = units_of(b.column(1), of_words)
+            start, at = column_of(b.column(2), "start")
+            n, _ = column_of(b.column(2), "n")
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            many = n - size + 1
+            begin = np.repeat(off[row] + start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            row = np.repeat(row, many)
+            for i in range(0, len(begin), CHUNK // 4):
+                p, r = begin[i : i + CHUNK // 4], row[i : i + CHUNK // 4]
+                lo, hi = int(p.min()), int(p.max()) + size
+                x, q = units[lo:hi] if of_words else _BYTE[units[lo:hi]], p - lo
+                a, c = prefix_sums(x, one), prefix_sums(x, two)
+                cols = [digest(a, one, q, q + size), digest(c, two, q, q + size), digest(a, one, q, q + size - 1), digest(a, one, q + 1, q + size)]
+                cols = [pa.array(h.view(np.int64)) for h in cols]
+                yield pa.RecordBatch.from_arrays([*cols, b.column(0).take(pa.array(r)), pa.array((p - off[r]).astype(np.int32))], ["e", "e2", "u", "v", "id", "pos"])
+
+    joined = with_rows(docs, rest, ["start", "n"])
+    return joined.select("id", "text", "rows").mapInArrow(run, f"e long, e2 long, u long, v long, id {kind}, pos int")
+
+
 def write(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a table in the shared folder; the shuffle files behind it can go as soon as the plan is collected."""
     spark = df.sparkSession
