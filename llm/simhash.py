@@ -199,17 +199,17 @@ def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, n_words: int =
     return out.select(F.col("id").alias(id_col), "f", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, n_words: int = 8, max_share: float = 0.155, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, n_words: int = 12, max_share: float = 0.165, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each group of near duplicates.
 
     A Jaccard similarity J of shingle sets makes fingerprints differ in about acos(2J / (1 + J)) / pi of their bits:
-    0.152 at J = 0.8. Fingerprints of 512 bits tell that share to within 0.016. Chains of 5 segments of 4 bits are the
+    0.152 at J = 0.8. Fingerprints of 768 bits tell that share to within 0.013. Chains of 6 segments of 4 bits are the
     buckets: shorter than pigeonring needs at this many differences, so links are found with a high
     probability and not always. Texts of no words are no near duplicates of each other and stay. Repeated
     rows of one id are one document and keep one row; a row of NULL id stays.
     """
     said = docs.filter(F.col(text).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
-    found = groups(said, shingle, int(64 * n_words * max_share), n_words, 4, 5, False, id_col, text)
+    found = groups(said, shingle, int(64 * n_words * max_share), n_words, 4, 6, False, id_col, text)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
