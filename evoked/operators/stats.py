@@ -156,7 +156,7 @@ def bh_fdr_large(df: DataFrame, p: str = "p", out: str = "q", bands: int = 1024)
     p is cut into bands; ranks within a band are offset by the counts of the bands before, and the running
     minimum from the right takes the bands' minima: both are sums over one row a band. Ties share the rank of the last.
     """
-    band = F.least(F.floor(F.sqrt(F.col(p)) * bands), F.lit(bands - 1)).cast("int")
+    band = F.when(F.col(p).isNotNull(), F.least(F.floor(F.sqrt(F.col(p)) * bands), F.lit(bands - 1)).cast("int"))
     rows = df.withColumn("__b", band)
     sizes = rows.filter(F.col(p).isNotNull()).groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
