@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The public rational approximation of erfc with error below 1.2e-7.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -106,12 +107,12 @@ def chi2_upper(x: float, df: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of t; NULL where t or df is NULL or df is not positive."""
     return pd.Series([None if not (np.isfinite(a) and b > 0) else t_two_sided(a, b) for a, b in zip(t.astype(float), df.astype(float), strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if not (np.isfinite(a) and b > 0) else chi2_upper(a, b) for a, b in zip(x.astype(float), df.astype(float), strict=True)], dtype="float64")

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from evoked.functions.tails import chi2_p, t_p, t_quantile, two_sided
@@ -41,12 +42,12 @@ def _exact_u(n1: int, n2: int, u: float) -> float:
     return float(min(1.0, 2 * ways[n1][: int(u) + 1].sum() / total))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_signed_rank_p(n: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series([_exact_signed_rank(int(a), b) if pd.notna(a) and pd.notna(b) and 0 < a <= EXACT_MAX else None for a, b in zip(n, w, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_u_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     return pd.Series([_exact_u(int(a), int(b), c) if pd.notna(c) and 0 < a * b <= 400 else None for a, b, c in zip(n1, n2, u, strict=True)], dtype="float64")
 
@@ -190,7 +191,7 @@ def cluster_permutation(df: DataFrame, keys: list[str], value: str, n_perm: int
     sums = flipped.groupBy(*keys, "perm", *cell).agg(F.sum("y").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.count(F.lit(1)).alias("n"))
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     t = F.when((F.col("n") > 1) & (var > 0), F.col("s") / F.col("n") / F.sqrt(var / F.col("n"))).otherwise(0.0)
-    limits = F.pandas_udf(lambda n: n.map(lambda k: t_quantile(1 - alpha / 2, k - 1) if k > 1 else float("inf")), "double")
+    limits = F.pandas_udf(lambda n: n.map(lambda k: t_quantile(1 - alpha / 2, k - 1) if k > 1 else float("inf")), T.DoubleType())
     sums = sums.withColumn("t", t)
     sizes = sums.select("n").distinct().withColumn("limit", limits("n"))
     marked = sums.join(F.broadcast(sizes), "n").filter(F.abs("t") > F.col("limit")).withColumn("sign", F.signum("t").cast("int"))
