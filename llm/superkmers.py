@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from llm.common import partitions
+
 #: Units that are worked on at once; a longer document is cut into overlapping pieces.
 CHUNK = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
@@ -227,6 +229,8 @@ def repeats(docs: DataFrame, size: int, k: int, of_words: bool) -> DataFrame:
     content = W.partitionBy("h", "g", "n")
     anchor = W.partitionBy("h")
     rows = find_super_kmers(docs, size, k, of_words)
+    # One shuffle and one sort serve both windows.
+    rows = rows.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h", "g", "n")
     rows = rows.withColumn("first", F.min(here).over(content))
     what = F.struct("g", "n")
     rows = rows.withColumns({"rows": F.sum("m").over(anchor), "peers": F.count(F.lit(1)).over(anchor), "one": F.min(what).over(anchor), "other": F.max(what).over(anchor)})
