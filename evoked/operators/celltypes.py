@@ -33,7 +33,7 @@ def mixture_labels(df: DataFrame, features: list[str], narrow: str, keys: list[s
     ok = df.dropna(subset=features)
     vectors = VectorAssembler(inputCols=features, outputCol="__raw").transform(ok)
     scaled = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
-    out = GaussianMixture(k=2, seed=seed, maxIter=200, tol=1e-4).fit(scaled).transform(scaled)
+    out = GaussianMixture(k=2, seed=seed, maxIter=60, tol=1e-3).fit(scaled).transform(scaled)
     out = out.withColumn("confidence", F.array_max(vector_to_array("probability"))).select(*keys, narrow, F.col("prediction").alias("cluster"), "confidence")
     fs = out.groupBy("cluster").agg(F.median(narrow).alias("m")).agg(F.min_by("cluster", "m").alias("fs"))
     kind = F.when(F.col("confidence") < min_confidence, "boundary").when(F.col("cluster") == F.col("fs"), "FS").otherwise("RS")

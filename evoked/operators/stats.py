@@ -191,7 +191,7 @@ def cluster_permutation(df: DataFrame, keys: list[str], value: str, n_perm: int
     sums = flipped.groupBy(*keys, "perm", *cell).agg(F.sum("y").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.count(F.lit(1)).alias("n"))
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     t = F.when((F.col("n") > 1) & (var > 0), F.col("s") / F.col("n") / F.sqrt(var / F.col("n"))).otherwise(0.0)
-    limits = F.pandas_udf(lambda n: n.map(lambda k: t_quantile(1 - alpha / 2, k - 1) if k > 1 else float("inf")), T.DoubleType())
+    limits = F.pandas_udf(lambda n: n.map({k: t_quantile(1 - alpha / 2, k - 1) if k > 1 else float("inf") for k in n.unique()}), T.DoubleType())
     sums = sums.withColumn("t", t)
     sizes = sums.select("n").distinct().withColumn("limit", limits("n"))
     marked = sums.join(F.broadcast(sizes), "n").filter(F.abs("t") > F.col("limit")).withColumn("sign", F.signum("t").cast("int"))

@@ -2,7 +2,7 @@
 
 
 def _load() -> None:
-    from evoked.plans import event_queries, signal_queries, stat_queries  # noqa: F401
+    from evoked.plans import event_queries, signal_queries, stat_queries, table_queries  # noqa: F401
 
 
 def all_queries() -> dict:
