@@ -148,15 +148,15 @@ def welch_relational(rows: DataFrame, keys: list[str], fs: float, nperseg: int)
     last = F.max("i").over(W.partitionBy(*keys))
     seg = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - nperseg + 1) / step)).cast("int"), F.expr(f"CAST(i div {step} AS INT)")))
     parts = rows.withColumn("__last", last).withColumn("seg", seg).filter(F.col("seg") * step + nperseg - 1 <= F.col("__last"))
-    parts = parts.withColumn("k", F.col("i") - F.col("seg") * step)
+    parts = parts.withColumn("__at", F.col("i") - F.col("seg") * step)
     parts = parts.withColumn("x", F.col("x") - F.avg("x").over(W.partitionBy(*keys, "seg")))
     k = np.arange(nperseg)
     hann = 0.5 - 0.5 * np.cos(2 * math.pi * k / nperseg)
     scale = 1 / (fs * (hann**2).sum())
     freqs = range(nperseg // 2 + 1)
     basis = [(int(i), int(f), float(hann[i] * math.cos(2 * math.pi * f * i / nperseg)), float(hann[i] * math.sin(2 * math.pi * f * i / nperseg))) for i in k for f in freqs]
-    table = spark.createDataFrame(basis, "k int, f int, c double, s double")
-    sums = parts.join(F.broadcast(table), "k").groupBy(*keys, "seg", "f").agg(F.sum(F.col("x") * F.col("c")).alias("re"), F.sum(F.col("x") * F.col("s")).alias("im"))
+    table = spark.createDataFrame(basis, "__at int, f int, c double, s double")
+    sums = parts.join(F.broadcast(table), "__at").groupBy(*keys, "seg", "f").agg(F.sum(F.col("x") * F.col("c")).alias("re"), F.sum(F.col("x") * F.col("s")).alias("im"))
     twice = F.when((F.col("f") > 0) & (F.col("f") < (nperseg + 1) // 2) | ((F.col("f") == nperseg // 2) & F.lit(nperseg % 2 == 1)), 2.0).otherwise(1.0)
     power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * scale * twice
     return sums.withColumn("p", power).groupBy(*keys, "f").agg(F.avg("p").alias("psd")).select(*keys, (F.col("f") * fs / nperseg).alias("freq_hz"), "psd")

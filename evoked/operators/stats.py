@@ -130,8 +130,8 @@ def correlation(df: DataFrame, keys: list[str], x: str, y: str, method: str = "p
     if method == "spearman":
         rows = rows.withColumns({"__x": avg_rank(a, keys), "__y": avg_rank(b, keys)})
         a, b = F.col("__x"), F.col("__y")
-    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("c"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"))
-    r = F.when((F.col("n") >= min_n) & (F.col("va") > 0) & (F.col("vb") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))
+    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"))
+    r = F.when((F.col("n") >= min_n) & (F.col("va") > 0) & (F.col("vb") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / F.sqrt(F.col("va") * F.col("vb")))))
     s = s.select(*keys, "n", r.alias("r"))
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).when(F.col("r").isNotNull(), 1e150)
     return s.withColumn("p", t_p(t, F.when(F.col("n") > 2, F.col("n") - 2)))

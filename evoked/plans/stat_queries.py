@@ -186,7 +186,7 @@ def five_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT s_nationkey % 5 AS g, s_acctbal AS x FROM supplier), b AS (SELECT g, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h, min(x) AS lo, max(x) AS hi FROM s GROUP BY g),
-  p AS (SELECT g, n, h, i, lo + (hi - lo) * i / 32.0 AS point FROM b, (SELECT unnest(range(33)) AS i))
+  p AS (SELECT g, n, h, i, lo + (hi - lo) * i / 32.0 AS point FROM (SELECT * FROM b WHERE h > 0) b, (SELECT unnest(range(33)) AS i))
 SELECT p.g, p.i, point, sum(exp(-0.5 * pow((point - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density FROM p JOIN s USING (g) GROUP BY p.g, p.i, point""")
 def density(spark: SparkSession, d: str) -> DataFrame:
     """Gaussian kernel density by group."""

@@ -72,7 +72,10 @@ def positional_trials(spark: SparkSession, d: str) -> DataFrame:
     return out.select("session", "pos", "label", "label_b", "macro", F.col("micro_b").alias("micro"), "matched")
 
 
-@query(f"""WITH {PAIRS} SELECT session, concat(label, '_', row_number() OVER (PARTITION BY session, label ORDER BY stim_index)) AS label, macro, micro, 'label' AS strategy FROM a JOIN b USING (session, stim_index, label)""")
+@query(f"""WITH {PAIRS}, p AS (SELECT session, stim_index, macro, micro, concat(label, '_', row_number() OVER (PARTITION BY session, label ORDER BY stim_index)) AS label,
+    row_number() OVER (PARTITION BY session ORDER BY macro) AS i, row_number() OVER (PARTITION BY session ORDER BY micro) AS j FROM a JOIN b USING (session, stim_index, label)),
+  m AS (SELECT session, bool_and(i = j) AS same FROM p GROUP BY session)
+SELECT session, label, macro, micro, CASE WHEN same THEN 'order' ELSE 'label' END AS strategy FROM p JOIN m USING (session)""")
 def strategy_trials(spark: SparkSession, d: str) -> DataFrame:
     """Labels made unique, then order or label chosen by session."""
     a, b = clocks(spark, d)
