@@ -15,14 +15,18 @@ SIZE = 20
 ANCHOR = 6
 
 
-def paths(found: DataFrame) -> DataFrame:
+def repeated_edges(found: DataFrame) -> DataFrame:
+    """(e, e2, id, pos, u, v): edges that occur twice or more, at their first place."""
+    first = found.groupBy("e", "e2").agg(F.min(F.struct("id", "pos", "u", "v")).alias("f"), F.count(F.lit(1)).alias("n"))
+    return first.filter("n > 1").select("e", "e2", "f.id", "f.pos", "f.u", "f.v")
+
+
+def paths(first: DataFrame) -> DataFrame:
     """(e, e2, src, src_pos, path, offset) of repeated edges: the first place, and the place in a compacted path.
 
     A node with one repeated edge in and one out does not branch. Edges that follow each other in the
     source, with no branching node between, are one path, named by the source position where it begins.
     """
-    first = found.groupBy("e", "e2").agg(F.min(F.struct("id", "pos", "u", "v")).alias("f"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select("e", "e2", "f.id", "f.pos", "f.u", "f.v")
     ins = first.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("ins"))
     outs = first.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("outs"))
     plain = ins.join(outs, "node").filter("ins = 1 AND outs = 1").select(F.col("node"), F.lit(True).alias("plain"))
@@ -41,21 +45,23 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> D
     those that share part of their windows become edges of a de Bruijn graph. Its repeated nonbranching paths are
     compacted, and the occurrences of a path's edges that lie on one diagonal (same document, same path, same shift
     between place and source) are joined to spans; a span goes if its source coordinates are earlier.
+    Each step is a table in the shared folder, so a lost executor costs one step, and shuffle files don't add up.
     """
     folder = f"{shared_dir(docs.sparkSession)}/substring-{uuid.uuid4().hex}"
     docs = docs.select("id", "text")
     rows = sk.write(sk.repeats(docs, size, anchor, True), folder, "repeats")
     whole = rows.filter("copy").select("id", "start", "n")
     found = sk.write(sk.windows(docs, rows.filter("NOT copy"), size, True), folder, "edges")
-    known = paths(found).withColumnRenamed("e", "k").withColumnRenamed("e2", "k2")
-    met = found.join(known, (F.col("e") == F.col("k")) & (F.col("e2") == F.col("k2")))
+    known = sk.write(paths(sk.write(repeated_edges(found), folder, "first")), folder, "paths")
+    known = known.withColumnRenamed("e", "k").withColumnRenamed("e2", "k2")
+    met = found.select("e", "e2", "id", "pos").join(known, (F.col("e") == F.col("k")) & (F.col("e2") == F.col("k2")))
     met = met.filter(~F.struct("id", "pos").eqNullSafe(F.struct(F.col("src").alias("id"), F.col("src_pos").alias("pos"))))
     line = ["id", "src", "path", (F.col("pos") - F.col("offset")).alias("shift")]
     met = met.select(*line, "pos")
     island = F.col("pos") - F.row_number().over(W.partitionBy("id", "src", "path", "shift").orderBy("pos"))
     parts = met.withColumn("island", island).groupBy("id", "src", "path", "shift", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
     parts = parts.select("id", "start", (F.col("stop") - F.col("start") + size).alias("n"))
-    return whole.union(parts)
+    return whole.union(sk.write(parts, folder, "spans"))
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
