@@ -30,6 +30,7 @@ def mixture_labels(df: DataFrame, features: list[str], narrow: str, keys: list[s
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    df = df.select(*dict.fromkeys([*keys, *features, narrow])).persist()  # each iteration of the fit reads it
     ok = df.dropna(subset=features)
     vectors = VectorAssembler(inputCols=features, outputCol="__raw").transform(ok)
     scaled = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)

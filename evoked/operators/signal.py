@@ -206,38 +206,49 @@ def morlet_power(df: DataFrame, keys: list[str], column: str, fs: float, freqs:
     return flat.select(*keys, F.get(grid, F.expr("CAST(i div __n AS INT)")).alias("freq_hz"), (F.expr("i % __n") * step).alias("time_idx"), "power")
 
 
-def standard_waveform(w: Column) -> dict[str, Column]:
-    """Median of the first four samples off, sign so that the trough is the largest deflection, unit trough: values, trough index, amplitude."""
-    base = F.array_sort(F.slice(w, 1, 4))
-    median = (base[1] + base[2]) / 2
-    flat = F.transform(w, lambda x: x - median)
-    flip = F.when(F.abs(F.array_max(flat)) > F.abs(F.array_min(flat)), -1.0).otherwise(1.0)
-    signed = F.transform(flat, lambda x: x * flip)
-    return {"median": median, "flip": flip, "signed": signed}
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row: a column named in a lambda could be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def standard_waveform(w: Column) -> Column:
+    """Median of the first four samples off, sign so that the largest deflection is negative."""
+    median = let(F.array_sort(F.slice(w, 1, 4)), lambda base: (base[1] + base[2]) / 2)
+    flat = let(median, lambda m: F.transform(w, lambda x: x - m))
+    sign = lambda c: F.when(F.abs(F.array_max(c)) > F.abs(F.array_min(c)), -1.0).otherwise(1.0)
+    return let(flat, lambda c: let(sign(c), lambda f: F.transform(c, lambda x: x * f)))
 
 
 def waveform_features(df: DataFrame, column: str, fs: float) -> DataFrame:
-    """Adds trough_idx, peak_idx (after the trough), trough_to_peak_ms, amplitude, ptp, ratio and half width in samples.
+    """Adds trough, trough_idx, peak and peak_idx (after the trough), trough_to_peak_ms, ptp, peak_trough_ratio, half_width in samples.
 
-    The half width is the walk out from the trough while values stay below half of it.
+    The half width is the walk out from the trough while values stay below half of it. NULL arrays give NULLs.
     """
-    step = df
-    for name in ("median", "flip", "signed"):
-        step = step.withColumn(f"__{name}", {"median": lambda: standard_waveform(F.col(column))["median"], "flip": lambda: standard_waveform(F.col(column))["flip"], "signed": lambda: F.transform(F.col(column), lambda x: (x - F.col("__median")) * F.col("__flip"))}[name]())
-    s = F.col("__signed")
-    step = step.withColumn("trough", F.array_min(s)).withColumn("trough_idx", (F.array_position(s, F.array_min(s)) - 1).cast("int"))
-    step = step.withColumn("__after", F.slice(s, F.col("trough_idx") + 1, F.size(s)))
-    step = step.withColumn("peak", F.array_max("__after")).withColumn("peak_idx", (F.array_position("__after", F.array_max("__after")) - 1 + F.col("trough_idx")).cast("int"))
-    high = F.transform(s, lambda x, i: F.when(x >= F.col("trough") / 2, i))
-    step = step.withColumn("__high", F.filter(high, lambda i: i.isNotNull()))
-    right = F.array_min(F.filter("__high", lambda i: i > F.col("trough_idx")))
-    left = F.array_max(F.filter("__high", lambda i: i < F.col("trough_idx")))
-    return step.withColumns({
-        "trough_to_peak_ms": (F.col("peak_idx") - F.col("trough_idx")) * 1000.0 / fs,
-        "ptp": F.col("peak") - F.col("trough"),
-        "peak_trough_ratio": F.when(F.col("trough") != 0, F.col("peak") / F.abs("trough")),
-        "half_width": F.coalesce(right, F.size(s)) - F.coalesce(left, F.lit(-1)) - 1,
-    }).drop("__median", "__flip", "__signed", "__after", "__high")
+
+    def features(s: Column, trough: Column, at: Column, after: Column, high: Column) -> Column:
+        peak = F.array_max(after)
+        peak_at = (F.array_position(after, peak) - 1 + at).cast("int")
+        right = F.array_min(F.filter(high, lambda i: i > at))
+        left = F.array_max(F.filter(high, lambda i: i < at))
+        return F.struct(
+            trough.alias("trough"),
+            at.alias("trough_idx"),
+            peak.alias("peak"),
+            peak_at.alias("peak_idx"),
+            ((peak_at - at) * 1000.0 / fs).alias("trough_to_peak_ms"),
+            (peak - trough).alias("ptp"),
+            F.when(trough != 0, peak / F.abs(trough)).alias("peak_trough_ratio"),
+            (F.coalesce(right, F.size(s)) - F.coalesce(left, F.lit(-1)) - 1).alias("half_width"),
+        )
+
+    def of_signed(s: Column) -> Column:
+        high = lambda t: F.filter(F.transform(s, lambda x, i: F.when(x >= t / 2, i)), lambda i: i.isNotNull())
+        after = lambda at: F.slice(s, at + 1, F.size(s))
+        place = lambda t: (F.array_position(s, t) - 1).cast("int")
+        return let(F.array_min(s), lambda t: let(place(t), lambda at: let(after(at), lambda rest: let(high(t), lambda h: features(s, t, at, rest, h)))))
+
+    rows = df.withColumn("__f", let(standard_waveform(F.col(column)), of_signed))
+    return rows.select("*", "__f.*").drop("__f")
 
 
 def resample(df: DataFrame, keys: list[str], column: str, origin: Column, step: float, n: int) -> DataFrame:
