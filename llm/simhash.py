@@ -120,7 +120,7 @@ def linked(f: np.ndarray, start: int, seg: int, max_bits: int, budgets: bool = T
     return out
 
 
-def links(prints: DataFrame, max_bits: int, seg: int, chain: int, exact_chain: bool, limit: int = 2048) -> DataFrame:
+def links(prints: DataFrame, max_bits: int, seg: int, chain: int, exact_chain: bool, limit: int = 2048, starts: list[int] | None = None) -> DataFrame:
     """(a, b): links between ids of distinct fingerprints prints (id, f) that differ in max_bits or fewer.
 
     Pigeonring: with m segments on a ring, some start has every chain of l consecutive segments within
@@ -129,23 +129,31 @@ def links(prints: DataFrame, max_bits: int, seg: int, chain: int, exact_chain: b
     A bucket of more than `limit` is cut into parts by a hash, and each pair of parts is a group: every
     pair is still compared, no task holds more than two parts, and only linking trees leave it. With a longer chain
     (exact_chain False) links can be lost, longer chains are not asked for, and the caller answers for the recall.
+    `starts` picks some chain starts of the ring. If prints has a column comp, a bucket whose members are all of one comp is
+    left out: its links would join nothing.
     """
     n_bits = 64 * len(prints.select("f").first()[0]) if not prints.isEmpty() else 64
     m = n_bits // seg
     if exact_chain and chain * max_bits >= m:
         raise ValueError("a chain of this length can hold a difference")
 
+    at = list(range(m)) if starts is None else starts
+    known = "comp" in prints.columns
+    prints = prints if known else prints.withColumn("comp", F.col("id"))
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
             if b.num_rows:
-                keys = ring_keys(flat.reshape(b.num_rows, -1).view("<u8"), seg, chain)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), m))), pa.array(keys.ravel())], ["id", "key"])
+                keys = ring_keys(flat.reshape(b.num_rows, -1).view("<u8"), seg, chain)[:, at]
+                rows = pa.array(np.repeat(np.arange(b.num_rows), len(at)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(keys.ravel())], ["id", "comp", "key"])
 
     kind = dict(prints.dtypes)["id"]
-    keys = prints.select("id", "f").mapInArrow(keyed, f"id {kind}, key long")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keys.join(sizes, "key").join(prints, "id")
+    keys = prints.select("id", "f", "comp").mapInArrow(keyed, f"id {kind}, comp {kind}, key long")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    sizes = sizes.filter("n > 1 AND c <> d").select("key", "n")
+    met = keys.select("id", "key").join(sizes, "key").join(prints.select("id", "f"), "id")
     parts = F.ceil(F.col("n") / limit).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     met = met.withColumn("parts", parts).withColumn("own", own)
@@ -181,18 +189,29 @@ def links(prints: DataFrame, max_bits: int, seg: int, chain: int, exact_chain: b
     return met.mapInArrow(find, f"a {kind}, b {kind}").distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, n_words: int = 1, seg: int = 4, chain: int = 7, exact_chain: bool = True, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, n_words: int = 1, seg: int = 4, chain: int = 7, exact_chain: bool = True, first_starts: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: id, f (fingerprint words), component_id.
 
     Documents link if their fingerprints differ in max_bits bits or fewer; the component is named by the smallest
-    id that can be reached. Equal fingerprints are one node, so thousands of copies cost no more than one.
+    id that can be reached. Equal fingerprints are one node, so thousands of copies cost no more than one. With
+    first_starts s above 1, every s-th chain start links first; the other starts then take only buckets that
+    hold more than one of the components so far, which changes no component and spares large groups most of their buckets.
     NULL, empty and wordless texts have fingerprint zero and link like any other. A NULL id is the smallest, but names
     a component only if all ids in it are NULL. Repeated rows are repeated in the result. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, shingle, n_words, id_col, text))
     nodes = prints.groupBy("f").agg(F.min("id").alias("id"))
     named = nodes.filter("id IS NOT NULL")
-    found = components(links(named.select("id", "f"), max_bits, seg, chain, exact_chain))
+    named = named.select("id", "f")
+    if first_starts == 1:
+        found = components(links(named, max_bits, seg, chain, exact_chain))
+    else:
+        m = 64 * n_words // seg
+        some = list(range(0, m, first_starts))
+        early = components(links(named, max_bits, seg, chain, exact_chain, starts=some))
+        joined = named.join(early, named["id"] == early["node"], "left").select("id", "f", F.coalesce("root", "id").alias("comp"))
+        late = links(joined, max_bits, seg, chain, exact_chain, starts=[i for i in range(m) if i % first_starts])
+        found = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
     nodes = nodes.join(found, nodes["id"] == found["node"], "left")
     nodes = nodes.select(F.col("f").alias("g"), F.coalesce("root", "id").alias("component_id"))
     out = prints.join(nodes, prints["f"] == nodes["g"])
@@ -209,7 +228,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, n_words: int = 12, max_share:
     rows of one id are one document and keep one row; a row of NULL id stays.
     """
     said = docs.filter(F.col(text).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull())
-    found = groups(said, shingle, int(64 * n_words * max_share), n_words, 4, 6, False, id_col, text)
+    found = groups(said, shingle, int(64 * n_words * max_share), n_words, 4, 6, False, 8, id_col, text)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
