@@ -104,8 +104,9 @@ FROM t LEFT JOIN r USING (doc_id)
 
 OP10_SQL = f"""
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
-p AS (SELECT doc_id, b, unnest(range(1, len(b) // 2 - {suffix_dedup.SIZE} + 2)) AS s FROM t),
-k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY substr(b, 2 * s - 1, {2 * suffix_dedup.SIZE}) ORDER BY doc_id, s) AS nth FROM p),
+c AS (SELECT doc_id, k, substr(b, 512 * k + 1, 2 * (255 + {suffix_dedup.SIZE})) AS c FROM (SELECT doc_id, b, unnest(range(len(b) // 512 + 1)) AS k FROM t)),
+p AS (SELECT doc_id, k, c, unnest(range(1, least(256, len(c) // 2 - {suffix_dedup.SIZE} + 1) + 1)) AS i FROM c),
+k AS (SELECT doc_id, 256 * k + i AS s, row_number() OVER (PARTITION BY md5(substr(c, 2 * i - 1, {2 * suffix_dedup.SIZE})) ORDER BY doc_id, 256 * k + i) AS nth FROM p),
 r AS (SELECT doc_id, s AS i, s + {suffix_dedup.SIZE} AS j FROM k WHERE nth > 1),
 o AS (SELECT doc_id, i, j, sum(CASE WHEN i > prev OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
   FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM r)),
