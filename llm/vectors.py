@@ -6,7 +6,6 @@ cogrouped task of bounded size, and a window over each query's few best of every
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
