@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evoked.functions import labels as lb
 from evoked.functions.tails import two_sided_sql
 from evoked.operators import binning as bn
 from evoked.operators import describe as ds

@@ -151,3 +151,52 @@ def rate_power(spark: SparkSession, d: str) -> DataFrame:
     pw = li.groupBy("trial", (F.col("l_partkey") % 5).alias("channel"), "bin").agg(F.avg("l_extendedprice").alias("pw"))
     out = correlation(fr.join(pw, ["trial", "bin"]), ["unit", "channel", "bin"], "fr", "pw")
     return out.select("unit", "channel", "bin", F.col("n").alias("n_trials"), F.round("r", 5).alias("r"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, (o_orderkey * 37 % 1000) / 10.0::DOUBLE AS t, (o_orderkey % 1000) / 1000.0::DOUBLE AS p, (o_orderkey % 7)::DOUBLE AS pre, (o_custkey % 9)::DOUBLE AS post, o_custkey AS c FROM orders)
+SELECT k, CASE WHEN t < 30 THEN t WHEN t <= 60 THEN 30 + (t - 30) * 5 / 30 ELSE t - 25 END AS warped, t AS unwarped,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars, 'cog::t' || (c % 5) AS effect, CASE WHEN c % 2 = 0 THEN 'local' ELSE 'distant' END AS place,
+  CASE WHEN pre > 0 AND post > 0 THEN CASE WHEN post >= pre THEN 100 * (post - pre) / pre ELSE -100 * (pre - post) / post END END AS change,
+  'P' || (c % 90) AS patient, (c % 4)::INT AS session_no, 'Gyrus ' || (c % 6) AS region,
+  CASE WHEN c % 90 > 75 THEN -1 ELSE 1 END * CASE WHEN k % 10 = 0 THEN -1 ELSE 1 END AS polarity, 'fr_raw__lfp_' || (c % 3) AS variant FROM o""")
+def label_functions(spark: SparkSession, d: str) -> DataFrame:
+    """P7, P9, P10, P11, P12, P15, P16, P22, P25."""
+    o = v.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        F.expr("CAST((o_orderkey * 37 % 1000) AS DOUBLE) / 10").alias("t"),
+        F.expr("CAST(o_orderkey % 1000 AS DOUBLE) / 1000").alias("p"),
+        F.expr("CAST(o_orderkey % 7 AS DOUBLE)").alias("pre"),
+        F.expr("CAST(o_custkey % 9 AS DOUBLE)").alias("post"),
+        F.col("o_custkey").alias("c"),
+    )
+    text = lambda c: c.cast("string")
+    t0, t1, span = F.lit(30.0), F.lit(60.0), F.lit(5.0)
+    warped = lb.warp(F.col("t"), t0, t1, span)
+    effect, place = lb.condition_key(F.concat(F.lit("cog::t"), text(F.col("c") % 5), F.when(F.col("c") % 2 == 0, "::local").otherwise("::distant")))
+    patient, number = lb.session_parts(F.concat(F.lit("P"), text(F.col("c") % 90), F.lit("_stim"), text(F.col("c") % 4), F.lit("a")))
+    return o.select(
+        "k",
+        warped.alias("warped"),
+        lb.unwarp(warped, t0, t1, span).alias("unwarped"),
+        lb.stars(F.col("p")).alias("stars"),
+        effect.alias("effect"),
+        place.alias("place"),
+        lb.signed_change(F.col("pre"), F.col("post")).alias("change"),
+        patient.alias("patient"),
+        number.alias("session_no"),
+        lb.without_laterality(F.concat(F.when(F.col("c") % 2 == 0, "L. ").otherwise("R "), F.lit("Gyrus "), text(F.col("c") % 6))).alias("region"),
+        lb.polarity(lb.sampling_rate(F.col("c") % 90), F.col("k") % 10 == 0).alias("polarity"),
+        lb.variant_name(F.lit("raw"), text(F.col("c") % 3)).alias("variant"),
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey AS name, concat('E', p_size) AS a, concat('F', p_size % 9) AS b, concat('G', p_size % 5) AS c FROM part), k AS (SELECT concat('E', n_nationkey * 2) AS s FROM nation UNION SELECT concat('F', n_nationkey % 4) FROM nation UNION SELECT 'G1')
+SELECT name, CASE WHEN a IN (SELECT s FROM k) THEN a WHEN b IN (SELECT s FROM k) THEN b WHEN c IN (SELECT s FROM k) THEN c END AS resolved FROM p""")
+def resolved_names(spark: SparkSession, d: str) -> DataFrame:
+    """P20: the first known spelling, by priority."""
+    p = v.read(spark, d, "part").select(F.col("p_partkey").alias("name"), "p_size")
+    n = v.read(spark, d, "nation")
+    text = lambda c: c.cast("string")
+    known = n.select(F.concat(F.lit("E"), text(F.col("n_nationkey") * 2)).alias("spelling")).union(n.select(F.concat(F.lit("F"), text(F.col("n_nationkey") % 4)))).union(spark.createDataFrame([("G1",)], "spelling string"))
+    s = [F.concat(F.lit("E"), text(F.col("p_size"))), F.concat(F.lit("F"), text(F.col("p_size") % 9)), F.concat(F.lit("G"), text(F.col("p_size") % 5))]
+    return rc.resolve_name(p, known, s).select("name", "resolved")
