@@ -159,6 +159,47 @@ def test_near_dedup_recall(spark):
     assert sum(p not in kept for p in pairs) >= 54
 
 
+def shingles(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def test_near_dedup_repeats_count_once(spark):
+    rnd = random.Random(8)
+
+    def own(n):
+        return " ".join(f"{rnd.random():.9f}" for _ in range(n))
+
+    line, body = "this line of nine words stands in many texts", own(300)
+    rows = [(i, "\n".join([line] * 40 + [own(100)])) for i in range(4)] + [(10 + i, "word " * 100 + own(100)) for i in range(4)]
+    rows += [(20, body), (21, body + "\n" + "\n".join([line] * 60)), (22, body), (22, body)]
+    kept = [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [0, 1, 2, 3, 10, 11, 12, 13, 20]
+
+
+@pytest.mark.parametrize("limit", [1024, 4])
+def test_near_dedup_is_exact(spark, limit):
+    rnd = random.Random(9)
+    rows = []
+    for g in range(150):
+        base = [f"{rnd.random():.9f}" for _ in range(200)]
+        rows.append((g * 10, " ".join(base)))
+        for k in range(1, 1 + g % 4):  # each changed word costs five shingles, so similarities lie at 0.7 to 0.9
+            copy = list(base)
+            for i in rnd.sample(range(10, 190), rnd.randint(2, 7)):
+                copy[i] = f"{rnd.random():.9f}"
+            rows.append((g * 10 + k, " ".join(copy)))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in range(4):
+        for i in sets:
+            for j in sets:
+                if i // 10 == j // 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), limit=limit).collect()}
+    assert kept == {i for i in sets if root[i] == i}
+
+
 def test_schedule_keeps_every_window():
     quota = {"a": 5, "b": 3, "c": 1, "d": 7}
     period = sum(quota.values())
