@@ -5,11 +5,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from llm.common import partitions, words
+from llm.common import key_runs, partitions, words
 
 CAPACITIES = (512, 1024, 2048, 4096)
 
@@ -90,3 +92,38 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: Sequence[int
             yield flush()
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, n_tokens long, block long, bin long, bin_offset long, capacity long")
+
+
+def pack_in_order(docs: DataFrame, order: str, capacities: Sequence[int] = CAPACITIES, overhead: int = 8, id_col: str = "doc_id", text: str = "text", block_rows: int = 20_000) -> DataFrame:
+    """The pieces and bins of pack, with blocks that are consecutive ranges of the long column `order`, which is carried.
+
+    All of a block's rows come before those of the next, so reading blocks by number keeps the order up to one block.
+    Blocks are cut by counts of pieces for each 64 numbers of the order; no range of 64 is divided, so a block holds
+    block_rows pieces and those of one range at most.
+    """
+    largest = max(capacities)
+    items = docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text))).cast("long").alias("n"), F.col(order).alias("at"))
+    last = F.greatest(F.lit(0), F.ceil(F.col("n") / largest).cast("int") - 1)
+    items = items.select("id", "n", "at", F.shiftright("at", 6).alias("range"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    start = F.col("piece").cast("long") * largest
+    items = items.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(largest)).alias("n_tokens"), "at", "range", F.xxhash64("id", "piece").alias("dealt"))
+    counts = items.groupBy("range").agg(F.count(F.lit(1)).alias("pieces"))
+    before = F.coalesce(F.sum("pieces").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.select("range", F.floor(before / block_rows).alias("block"))
+    rows = items.join(blocks, "range").repartition(partitions(docs.sparkSession), "block")
+    rows = rows.sortWithinPartitions("block", F.desc("n_tokens"), "dealt", "id", "piece")
+    kind = dict(docs.dtypes)[id_col]
+    names = [id_col, "piece", "start", "n_tokens", "block", "bin", "bin_offset", "capacity", order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in key_runs(batches, "block"):
+            block = t["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                one = t.slice(lo, hi - lo).combine_chunks()
+                packed = pack_block(one["n_tokens"].to_pylist(), capacities, overhead)
+                cols = [*(one[c].combine_chunks() for c in ("id", "piece", "start", "n_tokens", "block")), *(pa.array(x, pa.int64()) for x in packed), one["at"].combine_chunks()]
+                yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names)
+
+    rows = rows.select("id", "piece", "start", "n_tokens", "block", "at")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, n_tokens long, block long, bin long, bin_offset long, capacity long, `{order}` long")

@@ -323,3 +323,29 @@ def test_pipeline(spark, sf_dir):
         assert docs.columns == columns and {r[0] for r in docs.select("doc_id").collect()} <= before
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_follows_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7), "big" if i % 4 else "small") for i in range(400)], "doc_id long, text string, source string")
+    rows = [tuple(r) for r in corpus_pipeline.pack(spark, docs, "").collect()]
+    slots = {r["doc_id"]: r["mix_slot"] for r in mixing.mix(docs, mixing.tempered_weights(docs)).collect()}
+    assert {r[0]: r[-1] for r in rows} == slots
+    monkeypatch.setattr(mixing, "tempered_weights", lambda docs: {"big": 1.0, "small": 9.0})
+    assert sorted(rows) != sorted(tuple(r) for r in corpus_pipeline.pack(spark, docs, "").collect())
+
+
+def test_pack_in_order(spark):
+    docs = spark.createDataFrame([(i, "w " * (i * 37 % 90), i * 911 % 5000) for i in range(500)] + [(900, None, 7), (901, "w " * 100, 8)], "doc_id long, text string, slot long")
+    rows = packing.pack_in_order(docs, "slot", capacities=(16, 32), block_rows=50).collect()
+    total, ends, used = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r["block"], r["bin"], r["bin_offset"])):
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
+        lo, hi = ends.get(r["block"], (r["slot"], r["slot"]))
+        ends[r["block"]] = min(lo, r["slot"]), max(hi, r["slot"])
+        assert r["bin_offset"] == used.get((r["block"], r["bin"]), 0) and r["bin_offset"] + r["n_tokens"] <= r["capacity"]
+        used[r["block"], r["bin"]] = r["bin_offset"] + r["n_tokens"]
+    assert total == {**{i: i * 37 % 90 for i in range(500)}, 900: 0, 901: 100}
+    spans = [ends[b] for b in sorted(ends)]
+    assert len(spans) > 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
