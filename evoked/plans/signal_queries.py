@@ -168,7 +168,7 @@ def morlet_map(spark: SparkSession, d: str) -> DataFrame:
 def time_clusters(spark: SparkSession, d: str) -> DataFrame:
     """T3, O-W11: cluster permutation over time for each label."""
     rows = long(spark, d).select("label", F.col("vec_id").alias("obs"), F.col("i").alias("time_idx"), "x")
-    return stats.cluster_permutation(rows, ["label"], "x", n_perm=50)
+    return stats.cluster_permutation(rows, ["label"], "x", n_perm=2000)
 
 
 @query()
@@ -179,7 +179,7 @@ def map_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = power.withColumn("x", F.col("power") - mean)
     rows = rows.select("label", F.col("vec_id").alias("obs"), F.col("freq_hz").cast("int").alias("f"), (F.col("time_idx") / 8).cast("int").alias("time_idx"), "x")
     idx = F.when(F.col("f") == 6, 0).when(F.col("f") == 10, 1).otherwise(2)
-    return stats.cluster_permutation(rows.withColumn("freq_idx", idx), ["label"], "x", n_perm=25, grid=True)
+    return stats.cluster_permutation(rows.withColumn("freq_idx", idx), ["label"], "x", n_perm=2000, grid=True)
 
 
 @query()
