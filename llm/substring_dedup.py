@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,64 +15,63 @@ SIZE = 20
 ANCHOR = 6
 
 
-def repeated_edges(found: DataFrame) -> DataFrame:
-    """(e, e2, id, pos, u, v): edges that occur twice or more, at their first place."""
-    first = found.groupBy("e", "e2").agg(F.min(F.struct("id", "pos", "u", "v")).alias("f"), F.count(F.lit(1)).alias("n"))
-    return first.filter("n > 1").select("e", "e2", "f.id", "f.pos", "f.u", "f.v")
+def paths(found: DataFrame) -> DataFrame:
+    """(e, e2, src, src_t, src_pos, edges): repeated nonbranching paths, by their first edge and their first place.
 
+    Edge f continues edge e if every occurrence of e is followed by f and every occurrence of f is led to by e;
+    so whoever takes the first edge of a path takes all of it, and its first place runs along one document. The links
+    are one join of repeated edges; along a document, an edge without a link to it begins a path.
+    """
+    named = {"f": F.min(F.struct("id", "pos", "t")), "n": F.count(F.lit(1))}
+    for c in ("before", "after"):
+        named |= {f"{c}_n": F.count(c), f"{c}_lo": F.min(c), f"{c}_hi": F.max(c)}
+    edges = found.groupBy("e", "e2").agg(*(x.alias(c) for c, x in named.items())).filter("n > 1")
 
-def paths(first: DataFrame) -> DataFrame:
-    """(e, e2, src, src_pos, path, offset) of repeated edges: the first place, and the place in a compacted path.
+    def only(c: str) -> Column:
+        return F.when((F.col(f"{c}_n") == F.col("n")) & (F.col(f"{c}_lo") == F.col(f"{c}_hi")), F.col(f"{c}_lo"))
 
-    A node with one repeated edge in and one out does not branch. Edges that follow each other in the
-    source, with no branching node between, are one path, named by the source position where it begins.
-    """
-    ins = first.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("ins"))
-    outs = first.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("outs"))
-    plain = ins.join(outs, "node").filter("ins = 1 AND outs = 1").select(F.col("node"), F.lit(True).alias("plain"))
-    marked = first.join(plain, first["u"] == plain["node"], "left")
-    order = W.partitionBy("id").orderBy("pos")
-    follows = F.coalesce(F.col("plain") & (F.lag("pos").over(order) == F.col("pos") - 1), F.lit(False))
-    marked = marked.withColumn("begin", F.when(~follows, F.col("pos")))
-    marked = marked.withColumn("path", F.last("begin", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.select("e", "e2", F.col("id").alias("src"), F.col("pos").alias("src_pos"), "path", (F.col("pos") - F.col("path")).alias("offset"))
+    edges = edges.select("e", "e2", F.col("f.id").alias("src"), F.col("f.t").alias("src_t"), F.col("f.pos").alias("src_pos"), "n", only("before").alias("before"), only("after").alias("after"))
+    place = {"src": "p_src", "src_t": "p_t", "src_pos": "p_pos"}
+    leads = edges.filter("after IS NOT NULL").select(F.col("e").alias("lead"), F.col("after").alias("next"), F.col("n").alias("p_n"), *(F.col(c).alias(a) for c, a in place.items()))
+    joined = edges.join(leads, (F.col("before") == F.col("lead")) & (F.col("e") == F.col("next")) & (F.col("n") == F.col("p_n")) & F.col("src").eqNullSafe(F.col("p_src")) & (F.col("src_t") == F.col("p_t")) & (F.col("src_pos") == F.col("p_pos") + 1), "left")
+    order = W.partitionBy("src", "src_t").orderBy("src_pos")
+    begin = F.when(F.col("lead").isNull(), F.col("src_pos"))
+    marked = joined.withColumn("path", F.last(begin, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    heads = marked.groupBy("src", "src_t", "path").agg(F.min_by(F.struct("e", "e2"), "src_pos").alias("head"), F.count(F.lit(1)).alias("edges"))
+    return heads.select("head.e", "head.e2", "src", "src_t", F.col("path").alias("src_pos"), F.col("edges").cast("int").alias("edges"))
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
-    """(id, start, n): words covered by windows of `size` words that also start earlier; spans may overlap.
-
-    Super-k-mers carry the windows: those that occur whole at an earlier place go at once, and only
-    those that share part of their windows become edges of a de Bruijn graph. Its repeated nonbranching paths are
-    compacted, and the occurrences of a path's edges that lie on one diagonal (same document, same path, same shift
-    between place and source) are joined to spans; a span goes if its source coordinates are earlier.
-    Each step is a table in the shared folder, so a lost executor costs one step, and shuffle files don't add up.
+    """(id, t, start, n, source): words covered by windows of `size` words that also start earlier; spans may overlap.
+
+    docs has (id, t, text). Super-k-mers carry the windows. One that occurs whole at an earlier place is a path that its
+    minimiser compacts; those that share part of their windows become edges of a de Bruijn graph, whose repeated
+    nonbranching paths are compacted, and each occurrence of a path's first edge but the first is an occurrence of the path.
+    Paths of one document, source and shift are joined to spans, and the words at the source coordinates are
+    digested, to be compared with the span's own. Each step is a table in the shared folder, so a lost executor costs
+    one step.
     """
     folder = f"{shared_dir(docs.sparkSession)}/substring-{uuid.uuid4().hex}"
-    docs = docs.select("id", "text")
     rows = sk.write(sk.repeats(docs, size, anchor, True), folder, "repeats")
-    whole = rows.filter("copy").select("id", "start", "n")
     found = sk.write(sk.windows(docs, rows.filter("NOT copy"), size, True), folder, "edges")
-    known = sk.write(paths(sk.write(repeated_edges(found), folder, "first")), folder, "paths")
-    known = known.withColumnRenamed("e", "k").withColumnRenamed("e2", "k2")
-    met = found.select("e", "e2", "id", "pos").join(known, (F.col("e") == F.col("k")) & (F.col("e2") == F.col("k2")))
+    known = sk.write(paths(found), folder, "paths").withColumnRenamed("e", "k").withColumnRenamed("e2", "k2")
+    met = found.select("e", "e2", "id", "t", "pos").join(known, (F.col("e") == F.col("k")) & (F.col("e2") == F.col("k2")))
     met = met.filter(~F.struct("id", "pos").eqNullSafe(F.struct(F.col("src").alias("id"), F.col("src_pos").alias("pos"))))
-    line = ["id", "src", "path", (F.col("pos") - F.col("offset")).alias("shift")]
-    met = met.select(*line, "pos")
-    island = F.col("pos") - F.row_number().over(W.partitionBy("id", "src", "path", "shift").orderBy("pos"))
-    parts = met.withColumn("island", island).groupBy("id", "src", "path", "shift", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    parts = parts.select("id", "start", (F.col("stop") - F.col("start") + size).alias("n"))
-    return whole.union(sk.write(parts, folder, "spans"))
+    met = met.select("id", "t", F.col("pos").alias("start"), (F.col("edges") + size - 1).alias("n"), "src", "src_t", F.col("src_pos").alias("src_start"))
+    whole = rows.filter("copy").select(*met.columns)
+    return sk.with_sources(docs, sk.write(sk.spans(whole.union(met)), folder, "spans"), True)
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
     """One row for each document: id, n_words, n_removed, n_spans, kept_sha256 and, if asked for, the kept words.
 
-    Each word covered by a window of `size` words whose sequence also starts earlier (smaller id, or same document
-    and earlier start) goes. Kept words are joined by one space. NULL, empty and short texts lose nothing. Rows of
-    one id are one document: what repeats only between them stays. A NULL id is before all others. Texts of any length
-    are taken whole. An empty table gives no rows.
+    Each word covered by a window of `size` words whose sequence also starts earlier (smaller id, or same id
+    and earlier start) goes. Kept words are joined by one space. NULL, empty and short texts lose nothing. Each row is
+    judged by its own text: equal rows keep the same words, and in rows of one id with different texts a window goes if
+    it starts earlier in any of them. A NULL id is before all others, and all NULL ids are one id. Texts of any
+    length are taken whole. An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = sk.versions(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
     spans = repeated_spans(rows, size, anchor)
     out = sk.covered(rows, spans, True, ["kept"] if kept else [])
     named = [F.col("id").alias(id_col), F.col("total").alias("n_words"), F.col("removed").alias("n_removed"), F.col("runs").alias("n_spans"), "kept_sha256"]

@@ -66,14 +66,6 @@ def test_repeats_removed(docs, of_words, size):
         assert got[i]["kept"] == (kept.decode() if of_words else kept)
 
 
-def test_repeats_by_windows(spark):
-    rows = [(i, f"{i:>90}" + "passage of bytes that is shared by all rows " * 3 + f"{i * 7:<90}") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("id"), "text")
-    few = {tuple(r) for r in suffix_dedup.repeated_spans(df, peers=1).groupBy("id").agg(F.min("start"), F.max(F.col("start") + F.col("n"))).collect()}
-    all_ = {tuple(r) for r in suffix_dedup.repeated_spans(df).groupBy("id").agg(F.min("start"), F.max(F.col("start") + F.col("n"))).collect()}
-    assert few == all_ and len(few) == 39
-
-
 @pytest.mark.parametrize("op", [line_dedup.line_dedup, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, simhash.groups, simhash.near_dedup, packing.pack, length_histogram.encoded_lengths])
 def test_empty_table(empty, op):
     assert op(empty).count() == 0
