@@ -114,24 +114,29 @@ def test_simhash_groups(docs):
         assert r["f"][0] % 2**64 == prints[r["doc_id"]] and r["component_id"] == find(r["doc_id"])
 
 
-def test_simhash_large_bucket(spark):
+@pytest.mark.parametrize("limit", [4096, 4])
+def test_simhash_large_bucket(spark, limit):
     rng = np.random.default_rng(0)
     base = int(rng.integers(0, 2**62))
     f = [base] + [base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (60, 2)) if a != b] + [int(x) for x in rng.integers(0, 2**62, 60)]
+    f += [base ^ (0b11111 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(5, 50, (60, 2))]
     f = sorted(set(f))
     df = spark.createDataFrame([(i, [x]) for i, x in enumerate(f)], "id long, f array<long>")
-    for limit in (2048, 8):
-        found = simhash.components(simhash.links(df, 2, 4, 7, True, limit)).collect()
-        root = {r["node"]: r["root"] for r in found}
-        want = {i: i for i in range(len(f))}
-        for _ in range(len(f)):
-            for i in range(len(f)):
-                for j in range(i):
-                    if (f[i] ^ f[j]).bit_count() <= 2 and want[i] != want[j]:
-                        want[i] = want[j] = min(want[i], want[j])
-            if all(want[i] == want[j] for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 2):
-                break
-        assert all(root.get(i, i) == want[i] for i in range(len(f)))
+    found = simhash.components(simhash.links(df, 2, 4, 7, limit)).collect()
+    root = {r["node"]: r["root"] for r in found}
+    want = {i: i for i in range(len(f))}
+    near = [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 2]
+    while any(want[i] != want[j] for i, j in near):
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert all(root.get(i, i) == want[i] for i in range(len(f)))
+
+
+def test_simhash_rows_of_one_id(spark):
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "x y z"), (5, "x y z"), (6, "q r s"), (6, ""), (7, None)]
+    got = sorted((r["doc_id"] or -1, r["f"][0], r["component_id"]) for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(i, c) for i, _, c in got if c == 1 and i in (1, -1)] == [(-1, 1), (1, 1), (1, 1), (1, 1)]
+    assert sorted((i, c) for i, _, c in got if i in (5, 6, 7, -1)) == [(-1, 1), (-1, 5), (5, 5), (6, 6), (6, 6), (7, 6)]
 
 
 def test_near_dedup_recall(spark):
@@ -169,7 +174,7 @@ def test_near_dedup_repeats_count_once(spark):
     assert sorted(kept) == [0, 1, 2, 3, 10, 11, 12, 13, 20]
 
 
-@pytest.mark.parametrize("limit", [1024, 4])
+@pytest.mark.parametrize("limit", [1 << 22, 1000])
 def test_near_dedup_is_exact(spark, limit):
     rnd = random.Random(9)
     rows = []
