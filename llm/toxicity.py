@@ -1,10 +1,7 @@
-"""Toxicity scores from class-conditional Kneser-Ney models of characters in words."""
+"""Toxicity scores from class-conditional Kneser-Ney models of letters, over words and documents."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,173 +10,226 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-FEATURES = ("mean", "strong_share", "most", "log_words")
-#: A word this many times likelier (in nats) under the toxic model counts as strong.
-STRONG = 3.0
+#: Symbols: 0 ends a word, 1 to 26 are a to z without case, 27 to 31 hold all other letters by code point.
+SYMBOLS = 32
+ORDER = 5
+#: The share of a toxic text's words that are toxic, and the number of likeliest words that are averaged.
+SHARE, BEST = 0.05, 3
+FEATURES = ("mean", "mixture", "best", "log_words")
+#: Characters that are worked on at once; a longer text is a chunk of its own.
+CHUNK = 1 << 20
+_symbols: list[np.ndarray] = []
 
 
-def _grams(word: str, order: int) -> list[str]:
-    padded = "^" * (order - 1) + word + "$"
-    return [padded[i : i + order] for i in range(len(word) + 1)]
+def symbol_table() -> np.ndarray:
+    """The symbol of each code point."""
+    if not _symbols:
+        out = (27 + np.arange(0x110000) % 5).astype(np.uint8)
+        for c in range(0x3000):
+            low = chr(c).lower()[:1]
+            out[c] = 0 if not low.isalpha() else ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 5
+        _symbols.append(out)
+    return _symbols[0]
 
 
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
+@dataclass(frozen=True)
+class Grams:
+    """n-grams of some texts: code and document of each symbol, the words' first and last + 1 symbol, and their documents."""
+
+    code: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    word_doc: np.ndarray
+
+
+def grams_of(texts: list[str]) -> Grams:
+    """Texts as letters; ORDER - 1 zeros begin each word, the first of those behind it ends it."""
+    pad = ORDER - 1
+    n = np.array([len(t) for t in texts]) + 2
+    joined = "\0".join(["", *(t + "\0" for t in texts)])
+    s = symbol_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")[: n.sum()]]
+    doc = np.repeat(np.arange(len(texts)), n)
+    keep = (s != 0) | np.r_[True, s[:-1] != 0]
+    s, doc = s[keep].astype(np.int64), doc[keep]
+    times = np.where(s == 0, pad, 1)
+    s, doc = np.repeat(s, times), np.repeat(doc, times)
+    code = s.copy()
+    for k in range(1, ORDER):
+        code[k:] += s[:-k] << (5 * k)
+    letter = s != 0
+    start = np.flatnonzero(letter & np.r_[True, ~letter[:-1]])
+    stop = np.flatnonzero(letter & np.r_[~letter[1:], True]) + 2  # with the 0 behind the word
+    code[~letter & np.r_[True, ~letter[:-1]]] = -1
+    return Grams(code, doc, start, stop, doc[start])
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of at most CHUNK characters, or one text."""
+    i = 0
+    while i < len(texts):
+        j, total = i + 1, len(texts[i])
+        while j < len(texts) and total + len(texts[j]) <= CHUNK:
+            total += len(texts[j])
+            j += 1
+        yield i, texts[i:j]
+        i = j
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
     """(gram, c0, c1) over all rows (text, toxic); counts combine in each batch before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(b.column(0), b.column(1), strict=True):
-                if text.is_valid and toxic.is_valid:
-                    seen[toxic.as_py() > 0].update(_LETTERS.findall(text.as_py().lower()))
-            grams: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for c in (0, 1):
-                for word, n in seen[c].items():
-                    for g in _grams(word, order):
-                        grams[g][c] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), *(pa.array([v[c] for v in grams.values()], pa.int64()) for c in (0, 1))], ["gram", "c0", "c1"])
-
-    rows = docs.select("text", "toxic").mapInArrow(count, "gram string, c0 long, c1 long")
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            toxic = np.array([x is not None and x > 0 for x in b.column(1).to_pylist()], bool)
+            for i, some in chunks(texts):
+                g = grams_of(some)
+                used = g.code >= 0
+                key, n = np.unique(g.code[used] * 2 + toxic[i + g.doc[used]], return_counts=True)
+                gram, at = np.unique(key >> 1, return_inverse=True)
+                c = np.zeros((2, len(gram)), np.int64)
+                c[key & 1, at] = n
+                yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(c[0]), pa.array(c[1])], ["gram", "c0", "c1"])
+
+    rows = docs.filter("text IS NOT NULL AND toxic IS NOT NULL").select("text", "toxic").mapInArrow(count, "gram int, c0 long, c1 long")
     return rows.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
+def ratios(gram: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratios of the grams, and of each history before an unseen symbol: Kneser-Ney for both classes over one shared backoff.
+
+    p_c(x | h) = (max(n_c(hx) - D_c, 0) + D_c t_c(h) s(x | h')) / n_c(h). The lower orders s are
+    Kneser-Ney too, from continuation counts of both classes together, so an n-gram that neither class has seen
+    gets the same s under both, and only the weights of the histories differ.
+    """
+    seen = gram
+    lower = []
+    for k in range(ORDER - 1, 0, -1):
+        cont = np.bincount(seen % SYMBOLS**k, minlength=SYMBOLS**k)
+        lower.append((k, cont))
+        seen = np.flatnonzero(cont)
+    s = np.full(len(gram), 1 / max(1, len(seen)))
+    for k, cont in reversed(lower):
+        table = cont.reshape(-1, SYMBOLS)
+        mass, kinds = table.sum(1), (table > 0).sum(1)
+        part = gram % SYMBOLS**k
+        h = part // SYMBOLS
+        m = np.maximum(mass[h], 1)
+        s = np.where(mass[h] > 0, (np.maximum(cont[part] - 0.75, 0) + 0.75 * kinds[h] * s) / m, s)
+    history = gram // SYMBOLS
+    p, weights = [], []
+    for c in (c0, c1):
+        ones, twos = (c == 1).sum(), (c == 2).sum()
+        discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        size = np.bincount(history, weights=c, minlength=SYMBOLS ** (ORDER - 1))
+        types = np.bincount(history, weights=c > 0, minlength=SYMBOLS ** (ORDER - 1))
+        w = np.where(size > 0, discount * types / np.maximum(size, 1), 1.0)
+        weights.append(w)
+        p.append(np.where(size[history] > 0, np.maximum(c - discount, 0) / np.maximum(size[history], 1), 0) + w[history] * s)
+    return np.log(p[1] / p[0]).astype(np.float32), np.log(weights[1] / weights[0]).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios: of seen n-grams, and of histories before an unseen letter; then the calibration."""
+    """Grams seen and their ratios, the histories' ratios, and the calibration. At most SYMBOLS ** ORDER grams."""
 
-    order: int
-    grams: dict[str, float]
-    histories: dict[str, float]
+    gram: np.ndarray
+    ratio: np.ndarray
+    history: np.ndarray
     mean: np.ndarray = None
     scale: np.ndarray = None
     weights: np.ndarray = None
 
-    def word(self, word: str) -> float:
-        total = 0.0
-        for g in _grams(word, self.order):
-            r = self.grams.get(g)
-            total += self.histories.get(g[:-1], 0.0) if r is None else r
-        return total
-
-    def features(self, text: str | None, known: dict[str, float]) -> tuple[float, ...]:
-        """Length-normalised log-likelihood ratio, share of strong words, strongest word, log of the length."""
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not words:
-            return 0.0, 0.0, 0.0, 0.0
-        ratios = []
-        for w in words:
-            r = known.get(w)
-            if r is None:
-                if len(known) > 200_000:
-                    known.clear()
-                r = known[w] = self.word(w)
-            ratios.append(r)
-        return sum(ratios) / len(ratios), sum(r > STRONG for r in ratios) / len(ratios), max(ratios), math.log1p(len(words))
+    def table(self) -> np.ndarray:
+        """The ratio of every gram."""
+        out = np.repeat(self.history, SYMBOLS)
+        out[self.gram] = self.ratio
+        return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = np.column_stack([np.ones(len(features)), (features - self.mean) / self.scale]) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def ratios(order: int, counts: list[tuple[str, int, int]]) -> Model:
-    """Kneser-Ney for both classes over one shared backoff.
+def features(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """For each text, length-normalised log-likelihood ratios a word, toxic over ordinary, and the log of its number of words.
 
-    p_c(x | h) = (max(n_c(hx) - D_c, 0) + D_c t_c(h) s(x | h')) / n_c(h). The lower orders s are
-    Kneser-Ney too, from continuation counts of both classes together, so an n-gram that neither class has seen
-    gets the same s under both, and only the weights of the histories differ.
+    The ratios: of all its words; of a mixture in which SHARE of the words are toxic; of its BEST likeliest words. Zeros for a
+    text of no letters.
     """
-    pooled = {g for g, *_ in counts}
-    levels = [pooled]
-    shared: list[dict[str, int]] = []
-    for _ in range(order - 1):
-        cont: dict[str, int] = Counter(g[1:] for g in levels[-1])
-        shared.append(cont)
-        levels.append(set(cont))
-    totals = [(Counter(), Counter()) for _ in shared]
-    for cont, (mass, kinds) in zip(shared, totals, strict=True):
-        for g, n in cont.items():
-            mass[g[:-1]] += n
-            kinds[g[:-1]] += 1
-    letters = max(1, len(shared[-1])) if shared else 256
-
-    def backoff(g: str) -> float:
-        p = 1 / letters
-        for k in range(len(shared) - 1, -1, -1):
-            part = g[len(g) - (order - 1 - k) :]
-            mass, kinds = totals[k]
-            m = mass.get(part[:-1], 0)
-            if m:
-                p = (max(shared[k].get(part, 0) - 0.75, 0) + 0.75 * kinds[part[:-1]] * p) / m
-        return p
-
-    size = [Counter(), Counter()]
-    types = [Counter(), Counter()]
-    ones, twos = [0, 0], [0, 0]
-    for g, *n in counts:
-        for c in (0, 1):
-            if n[c]:
-                size[c][g[:-1]] += n[c]
-                types[c][g[:-1]] += 1
-                ones[c] += n[c] == 1
-                twos[c] += n[c] == 2
-    discount = [min(0.95, max(0.1, ones[c] / max(1, ones[c] + 2 * twos[c]))) for c in (0, 1)]
-
-    def weight(c: int, h: str) -> float:
-        return discount[c] * types[c][h] / size[c][h] if size[c][h] else 1.0
-
-    grams = {}
-    for g, *n in counts:
-        h, s = g[:-1], backoff(g)
-        p = [(max(n[c] - discount[c], 0) / size[c][h] if size[c][h] else 0) + weight(c, h) * s for c in (0, 1)]
-        grams[g] = math.log(p[1] / p[0])
-    return Model(order, grams, {h: math.log(weight(1, h) / weight(0, h)) for h in {g[:-1] for g, *_ in counts}})
-
-
-def _scored(docs: DataFrame, model: Model, keep: list[str], out: str, as_score: bool) -> DataFrame:
+    out = np.zeros((len(texts), len(FEATURES)))
+    for i, some in chunks(texts):
+        g = grams_of(some)
+        if not len(g.start):
+            continue
+        sums = np.r_[0.0, np.cumsum(np.where(g.code >= 0, table[np.maximum(g.code, 0)], 0), dtype=np.float64)]
+        word = sums[g.stop] - sums[g.start]
+        n = np.bincount(g.word_doc, minlength=len(some))
+        has = np.flatnonzero(n)
+        first = (np.cumsum(n) - n)[has]
+        n = n[has]
+        order = np.lexsort((-word, g.word_doc))
+        rank = np.arange(len(word)) - np.repeat(first, n)
+        made = [word, np.logaddexp(np.log(1 - SHARE), np.log(SHARE) + word), np.where(rank < BEST, word[order], 0)]
+        for c, (x, size) in enumerate(zip(made, (n, n, np.minimum(n, BEST)), strict=True)):
+            out[i + has, c] = np.add.reduceat(x, first) / size
+        out[i + has, 3] = np.log1p(n)
+    return out
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(row, score): every row of docs as a struct, whatever its columns are called, and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = held.value, {}
+        table = held.value.table()
         for b in batches:
-            f = np.array([m.features(t.as_py(), known) for t in b.column(len(keep))]).reshape(-1, len(FEATURES))
-            cols = [m.score(f)] if as_score else list(f.T)
-            names = ["score"] if as_score else list(FEATURES)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *map(pa.array, cols)], [*keep, *names])
+            texts = [t or "" for t in b.column(0).field(at).to_pylist()]
+            score = held.value.score(features(texts, table)) if texts else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["row", "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__scored")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), out]))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = 5, max_grams: int = 600_000, calibrate_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, calibrate_rows: int = 20_000) -> Model:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic); rows without text or label are left out.
 
-    Three quarters of the labelled rows, by a hash of the id, give the counts: all of them, so the counts grow with
-    the labels. The model goes to every task; if it would have more than max_grams n-grams, the order falls until it
-    has not. The other quarter calibrates: a logistic fit on at most calibrate_rows of them, those of
-    the smallest hashes. Without rows of both classes every score is 0.
+    The logistic calibration is fitted on at most calibrate_rows labelled rows: of a quarter, by a hash of the id, those of
+    the smallest hashes. All other labelled rows are counted. What goes to the driver and to every task is bounded by the
+    alphabet, SYMBOLS ** ORDER grams of 8 bytes at most, however many rows are counted. Several labels of one id: toxic if any
+    says so. Rows of one id are each counted. Without rows of both classes every score is 0.
     """
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.withColumn("h", F.xxhash64("doc_id"))
-    fits = labels.filter("pmod(h, 4) <> 0").select("doc_id", "toxic")
+    quarter = labels.filter("pmod(h, 4) = 0")
+    last = quarter.orderBy("h").limit(calibrate_rows).agg(F.max("h")).first()[0]
+    chosen = (F.pmod("h", F.lit(4)) == 0) & (F.col("h") <= F.lit(last if last is not None else -(2**63)))
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
     # Labels grow with the corpus, so both sides are shuffled at every size.
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(fits.hint("merge"), "doc_id").select("text", "toxic")
-    while True:
-        counts = gram_counts(rows, order)
-        n = counts.limit(max_grams + 1)
-        found = [tuple(r) for r in n.collect()]
-        if len(found) <= max_grams or order == 1:
-            break
-        order -= 1
-    model = ratios(order, found)
-    sample = labels.filter("pmod(h, 4) = 0").orderBy("h").limit(calibrate_rows).select("doc_id", "toxic")
-    held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    schema = ", ".join(f"{c} double" for c in FEATURES)
-    rows = _scored(held, model, ["toxic"], schema, False).collect()
-    y = np.array([r[0] > 0 for r in rows], float)
-    x = np.array([r[1:] for r in rows], float).reshape(-1, len(FEATURES))
+    rows = texts.join(labels.filter(~chosen).select("doc_id", "toxic").hint("merge"), "doc_id")
+    counts = gram_counts(rows.select("text", "toxic")).toArrow()
+    gram = counts["gram"].to_numpy().astype(np.int64)
+    ratio, history = ratios(gram, counts["c0"].to_numpy(), counts["c1"].to_numpy())
+    model = Model(gram, ratio, history)
+    held = texts.join(F.broadcast(labels.filter(chosen).select("doc_id", "toxic")), "doc_id").select("toxic", "text")
+    given = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for b in batches:
+            table = given.value.table() if table is None else table
+            f = features(b.column(1).to_pylist(), table)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(len(FEATURES)))], ["toxic", *FEATURES])
+
+    kind = dict(labels.dtypes)["toxic"]
+    found = held.mapInArrow(run, ", ".join([f"toxic {kind}", *(f"{c} double" for c in FEATURES)])).collect()
+    y = np.array([r[0] > 0 for r in found], float)
+    x = np.array([r[1:] for r in found], float).reshape(-1, len(FEATURES))
     if not 0 < y.sum() < len(y):
-        return Model(order, model.grams, model.histories, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.array([-40.0] + [0.0] * len(FEATURES)))
+        return Model(gram, ratio, history, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.array([-40.0] + [0.0] * len(FEATURES)))
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     a = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     w = np.zeros(a.shape[1])
@@ -190,14 +240,20 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 5, max_grams: int = 600
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(order, model.grams, model.histories, mean, scale, w)
+    return Model(gram, ratio, history, mean, scale, w)
 
 
-def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
-    """Columns `keep` (doc_id unless given) of docs, score in 0 to 1 and predicted (1 if score >= threshold).
+def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """docs with score in 0 to 1 and predicted (1 if score >= threshold); own columns of these names are replaced.
 
     Only the text is used. NULL, empty and letterless texts get the score of a document of no words. Whole texts
-    are scored, of any length; equal texts get equal scores; an empty table gives no rows.
+    are scored, of any length; equal texts get equal scores; repeated rows stay; an empty table gives no rows.
     """
-    keep = ["doc_id"] if keep is None else keep
-    return _scored(docs, model, keep, "score double", True).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = scored(docs, model, text)
+    own = [c for c in docs.columns if c not in ("score", "predicted")]
+    return rows.select(*(F.col("row")[c].alias(c) for c in own), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with their own columns."""
+    return scored(docs, model, text).filter(F.col("score") < threshold).select(*(F.col("row")[c].alias(c) for c in docs.columns))
