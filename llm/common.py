@@ -20,9 +20,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -35,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """(id, t, text) of docs (id, text): t is 0, but a hash of the text where one id has different texts, so (id, t) names a text."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    clash = docs.groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b")).filter("a <> b").select(F.col("id").alias("clash"), F.lit(True).alias("many"))
+    clash = cut(clash)
+    if clash.isEmpty():
+        return docs.select("id", F.lit(0).cast("long").alias("t"), "text")
+    return docs.join(clash, F.col("id").eqNullSafe(F.col("clash")), "left").select("id", F.when(F.col("many"), h).otherwise(0).alias("t"), "text")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,7 +93,7 @@ def key_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of undirected links (a, b): one row (node, root) for each node, root the smallest node.
 
     Alternating large-star and small-star steps; each step is a shuffle of the links, each round is

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from llm.common import cut
+
 #: Fixed value: how byte-level BPE vocabularies of this kind split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -27,9 +29,9 @@ def _encoding(path: str):
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row (id, n_tokens) for each document; NULL or empty text has 0 tokens.
+    """One row (id, n_tokens) for each document; NULL or empty text has 0 tokens. Texts of any length are encoded whole.
 
-    The vocabulary file is read once by each Python worker from a path that every machine has.
+    Repeated rows stay, columns besides id and text are not read, an empty table gives no rows. The vocabulary file is read once by each Python worker from a path that every machine has.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,15 +44,23 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "
     return docs.select(id_col, text).mapInArrow(count, f"`{id_col}` {kind}, n_tokens long")
 
 
+def with_lengths(docs: DataFrame, out: str, vocabulary: str = VOCABULARY, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """Columns `keep` of docs and the encoded length `out` of the text."""
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    rows = encoded_lengths(docs.select(row, F.col(text).alias("text")), vocabulary, "text", "row")
+    return rows.select(*(F.col("row")[c].alias(c) for c in keep), F.col("n_tokens").alias(out))
+
+
 def length_histogram(lengths: DataFrame, length: str = "n_tokens", band: int = 512) -> DataFrame:
     """Histogram with suffix sums, one row for each length L that occurs.
 
     n_docs: documents of exactly L tokens. docs_at_least, tokens_at_least: count and tokens of documents with L
     or more. truncated_total: tokens kept when every document is cut at L, the sum of min(n, L). share_at_most:
     share of documents that fit into L, so quantile q is the smallest L with share_at_most >= q. An empty table
-    gives no rows. Counts combine map-side; the sums run within bands of lengths and over the bands' totals.
+    gives no rows. NULL lengths are left out. Counts combine map-side; the histogram, one row a length, is written once; the sums
+    run within bands of lengths and over the bands' totals.
     """
-    hist = lengths.groupBy(F.col(length).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = cut(lengths.filter(F.col(length).isNotNull()).groupBy(F.col(length).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")))
     hist = hist.withColumn("band", F.expr(f"n_tokens div {band}"))
     within = W.partitionBy("band").orderBy(F.desc("n_tokens"))
     sums = hist.withColumns({

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from llm.common import key_runs, partitions, words
+from llm.common import cut, key_runs, partitions, words
 
 CAPACITIES = (512, 1024, 2048, 4096)
 
@@ -44,76 +44,29 @@ def pack_block(lengths: Sequence[int], capacities: Sequence[int], overhead: int)
     return bins, offsets, [final[b] for b in bins]
 
 
-def pack(docs: DataFrame, length: Column | None = None, capacities: Sequence[int] = CAPACITIES, overhead: int = 8, id_col: str = "doc_id", text: str = "text", block_rows: int = 20_000) -> DataFrame:
-    """One row for each piece of a document: id, piece, start, n_tokens, block, bin, bin_offset, capacity.
-
-    Length is the number of words unless a column is given. A document longer than the largest capacity is cut
-    into pieces of that capacity and a rest, so nothing is lost. A document of no tokens gets one piece of length 0.
-    Rows are dealt to blocks by a hash of the id; a block is sorted by falling length and packed by itself, so
-    (block, bin) names a bin and the loss against packing all at once is a few open bins for each block. block_rows
-    bounds what a task holds. Repeated rows are packed as often as they occur; an empty table gives no rows.
-    """
-    largest = max(capacities)
-    n = F.size(words(F.col(text))) if length is None else F.coalesce(length, F.lit(0))
-    items = docs.select(F.col(id_col).alias("id"), n.cast("long").alias("n"))
-    items = items.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / largest).cast("int") - 1))).alias("piece"))
-    items = items.select(
-        "id",
-        "piece",
-        (F.col("piece").cast("long") * largest).alias("start"),
-        F.least(F.col("n") - F.col("piece").cast("long") * largest, F.lit(largest).cast("long")).alias("n_tokens"),
-        F.xxhash64("id", "piece").alias("dealt"),
-    )
-    parts = partitions(docs.sparkSession)
-    rows = items.repartition(parts, "dealt").withColumn("p", F.spark_partition_id())
-    rows = rows.sortWithinPartitions("dealt", "id", "piece", "n_tokens")
-    kind = dict(docs.dtypes)[id_col]
+PACKED = "piece int, start long, n_tokens long, block long, bin long, bin_offset long, capacity long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = blocks = 0
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).sort_by([("n_tokens", "descending"), ("dealt", "ascending")]).combine_chunks()
-            b, at, cap = pack_block(t["n_tokens"].to_pylist(), capacities, overhead)
-            block = t["p"][0].as_py() * (1 << 32) + blocks
-            cols = [*(t[c].combine_chunks() for c in ("id", "piece", "start", "n_tokens")), pa.array([block] * t.num_rows, pa.int64()), pa.array(b, pa.int64()), pa.array(at, pa.int64()), pa.array(cap, pa.int64())]
-            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names)
-
-        names = [id_col, "piece", "start", "n_tokens", "block", "bin", "bin_offset", "capacity"]
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                count += batch.num_rows
-            if count >= block_rows:
-                yield flush()
-                held, count, blocks = [], 0, blocks + 1
-        if held:
-            yield flush()
-
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, n_tokens long, block long, bin long, bin_offset long, capacity long")
-
-
-def pack_in_order(docs: DataFrame, order: str, capacities: Sequence[int] = CAPACITIES, overhead: int = 8, id_col: str = "doc_id", text: str = "text", block_rows: int = 20_000) -> DataFrame:
-    """The pieces and bins of pack, with blocks that are consecutive ranges of the long column `order`, which is carried.
 
-    All of a block's rows come before those of the next, so reading blocks by number keeps the order up to one block.
-    Blocks are cut by counts of pieces for each 64 numbers of the order; no range of 64 is divided, so a block holds
-    block_rows pieces and those of one range at most.
-    """
+def _items(docs: DataFrame, length: Column | None, capacities: Sequence[int], id_col: str, text: str, order: str | None) -> DataFrame:
+    """(id, piece, start, n_tokens, at, dealt): pieces of documents, none longer than the largest capacity."""
     largest = max(capacities)
-    items = docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text))).cast("long").alias("n"), F.col(order).alias("at"))
+    n = F.size(words(F.col(text))) if length is None else F.greatest(F.coalesce(length, F.lit(0)), F.lit(0))
+    at = F.lit(None).cast("long") if order is None else F.col(order).cast("long")
+    items = docs.select(F.col(id_col).alias("id"), n.cast("long").alias("n"), at.alias("at"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / largest).cast("int") - 1)
-    items = items.select("id", "n", "at", F.shiftright("at", 6).alias("range"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    items = items.select("id", "n", "at", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * largest
-    items = items.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(largest)).alias("n_tokens"), "at", "range", F.xxhash64("id", "piece").alias("dealt"))
-    counts = items.groupBy("range").agg(F.count(F.lit(1)).alias("pieces"))
-    before = F.coalesce(F.sum("pieces").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = counts.select("range", F.floor(before / block_rows).alias("block"))
-    rows = items.join(blocks, "range").repartition(partitions(docs.sparkSession), "block")
-    rows = rows.sortWithinPartitions("block", F.desc("n_tokens"), "dealt", "id", "piece")
-    kind = dict(docs.dtypes)[id_col]
-    names = [id_col, "piece", "start", "n_tokens", "block", "bin", "bin_offset", "capacity", order]
+    return items.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(largest).cast("long")).alias("n_tokens"), "at", F.xxhash64("id", "piece", "n").alias("dealt"))
+
+
+def _packed(items: DataFrame, capacities: Sequence[int], overhead: int, id_col: str, order: str | None) -> DataFrame:
+    """items with a column block, each block packed by itself, in order of falling length."""
+    rows = items.repartition(partitions(items.sparkSession), "block")
+    rows = rows.sortWithinPartitions("block", F.desc("n_tokens"), "dealt", "id", "piece", "at")
+    kind = dict(items.dtypes)["id"]
+    own = ["id", "piece", "start", "n_tokens", "block"]
+    extra = [] if order is None else ["at"]
+    names = [id_col, *own[1:], "bin", "bin_offset", "capacity", *([] if order is None else [order])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_runs(batches, "block"):
@@ -122,8 +75,38 @@ def pack_in_order(docs: DataFrame, order: str, capacities: Sequence[int] = CAPAC
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 one = t.slice(lo, hi - lo).combine_chunks()
                 packed = pack_block(one["n_tokens"].to_pylist(), capacities, overhead)
-                cols = [*(one[c].combine_chunks() for c in ("id", "piece", "start", "n_tokens", "block")), *(pa.array(x, pa.int64()) for x in packed), one["at"].combine_chunks()]
+                cols = [*(one[c].combine_chunks() for c in own), *(pa.array(x, pa.int64()) for x in packed), *(one[c].combine_chunks() for c in extra)]
                 yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names)
 
-    rows = rows.select("id", "piece", "start", "n_tokens", "block", "at")
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, n_tokens long, block long, bin long, bin_offset long, capacity long, `{order}` long")
+    schema = f"`{id_col}` {kind}, {PACKED}" + ("" if order is None else f", `{order}` long")
+    return rows.select(*own, *extra).mapInArrow(run, schema)
+
+
+def pack(docs: DataFrame, length: Column | None = None, capacities: Sequence[int] = CAPACITIES, overhead: int = 8, id_col: str = "doc_id", text: str = "text", block_rows: int = 20_000) -> DataFrame:
+    """One row for each piece of a document: id, piece, start, n_tokens, block, bin, bin_offset, capacity.
+
+    Length is the number of words unless a column is given. A document longer than the largest capacity is cut
+    into pieces of that capacity and a rest, so nothing is lost. A document of no tokens, NULL or empty, gets one piece of
+    length 0. Pieces are dealt to blocks by a hash of id, piece and length; how many blocks there are follows from the number of
+    pieces alone. A block is sorted by falling length and packed by itself, so (block, bin) names a bin and the loss against
+    packing all at once is a few open bins for each block. block_rows is the mean of what a task holds. Repeated rows
+    are packed as often as they occur; other columns are not read; an empty table gives no rows.
+    """
+    items = cut(_items(docs, length, capacities, id_col, text, None))
+    blocks = max(1, -(-items.count() // block_rows))
+    return _packed(items.withColumn("block", F.pmod("dealt", F.lit(blocks)).cast("long")), capacities, overhead, id_col, None)
+
+
+def pack_in_order(docs: DataFrame, order: str, length: Column | None = None, capacities: Sequence[int] = CAPACITIES, overhead: int = 8, id_col: str = "doc_id", text: str = "text", block_rows: int = 20_000) -> DataFrame:
+    """The pieces and bins of pack, with blocks that are consecutive ranges of the long column `order`, which is carried.
+
+    All of a block's rows come before those of the next, so reading blocks by number keeps the order up to one block.
+    Blocks are cut by counts of pieces for each 64 numbers of the order; no range of 64 is divided, so a block holds
+    block_rows pieces and those of one range at most. Rows of one range meet in one task whatever their number: the order is a
+    dense one, such as slots of a mix.
+    """
+    items = _items(docs, length, capacities, id_col, text, order).withColumn("range", F.shiftright("at", 6))
+    counts = items.groupBy("range").agg(F.count(F.lit(1)).alias("pieces"))
+    before = F.coalesce(F.sum("pieces").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.select(F.col("range").alias("of"), F.floor(before / block_rows).alias("block"))
+    return _packed(items.join(blocks, F.col("range").eqNullSafe(F.col("of"))).drop("of"), capacities, overhead, id_col, order)

@@ -68,9 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP2_SQL = f"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-h AS (SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
+m AS (SELECT doc_id, lines, list_transform(range(2, len(lines) + 1),
+        lambda i: ('0x' || substr(md5(lines[i - 1] || chr(10) || lines[i]), 1, 8))::BIGINT % {line_dedup.MARKED} = 0) AS ms FROM l),
 s AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1),
-        lambda i: i = 1 OR (hs[i - 1] * 31 + CASE WHEN i > 2 THEN hs[i - 2] ELSE 0 END) % {line_dedup.AVERAGE} = 0) AS st FROM h),
+        lambda i: i = 1 OR (i > 2 AND i < len(lines) AND ms[i - 1] AND NOT ms[i - 2])) AS st FROM m),
 c AS (SELECT doc_id, unnest(list_transform(range(1, len(st) + 1), lambda k: {{'no': k,
         'n': coalesce(st[k + 1], len(lines) + 1) - st[k],
         'chunk': array_to_string(lines[st[k] : coalesce(st[k + 1], len(lines) + 1) - 1], chr(10))}})) AS p FROM s),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from llm import superkmers as sk
-from llm.common import shared_dir
+from llm.common import shared_dir, versions
 
 SIZE = 20
 ANCHOR = 6
@@ -71,7 +71,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_
     it starts earlier in any of them. A NULL id is before all others, and all NULL ids are one id. Texts of any
     length are taken whole. An empty table gives no rows; other columns are not read.
     """
-    rows = sk.versions(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    rows = versions(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
     spans = repeated_spans(rows, size, anchor)
     out = sk.covered(rows, spans, True, ["kept"] if kept else [])
     named = [F.col("id").alias(id_col), F.col("total").alias("n_words"), F.col("removed").alias("n_removed"), F.col("runs").alias("n_spans"), "kept_sha256"]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import superkmers as sk
-from llm.common import key_runs, partitions, shared_dir
+from llm.common import key_runs, partitions, shared_dir, versions
 
 SIZE = 100
 ANCHOR = 36
@@ -185,7 +185,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, id_col
     NULL id is before all others, and all NULL ids are one id. Texts of any length are taken whole. An empty table gives no
     rows; other columns are not read.
     """
-    rows = sk.versions(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    rows = versions(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
     out = sk.covered(rows, repeated_spans(rows, size, anchor), False, ["kept"] if kept else [])
     named = [F.col("id").alias(id_col), F.col("total").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("runs").alias("n_spans"), "kept_sha256"]
     return out.select(*named, *(["kept"] if kept else []))

@@ -81,15 +81,32 @@ def test_empty_tables_of_others(spark, empty):
     assert toxicity.toxicity(empty, model).count() == 0
 
 
+def plain_chunks(text):
+    lines = text.split("\n")
+    marks = [False] + [int(hashlib.md5(f"{a}\n{b}".encode()).hexdigest()[:8], 16) % 2 == 0 for a, b in zip(lines, lines[1:])]
+    starts = [0] + [i for i in range(2, len(lines) - 1) if marks[i] and not marks[i - 1]]
+    return ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)])]
+
+
 def test_line_dedup(spark):
+    rnd = random.Random(7)
     block = "\n".join(f"line number {i * i} of a passage" for i in range(40))
     rows = [(1, block, 0), (2, "inserted\n" + block + "\nend", 0), (3, "", 0), (4, None, 0), (5, "line number 0 of a passage", 0), (6, block, 0)]
-    out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, n_removed int")).collect()}
-    assert out[1]["text"] == block and out[1]["n_removed"] == 0
-    assert 0 < out[2]["n_removed"] and len(out[2]["text"]) < len(rows[1][1]) and "inserted" in out[2]["text"]
-    assert out[3]["text"] == "" and out[4]["text"] is None and out[4]["n_chunks"] == 0
-    assert out[5]["text"] == rows[4][1]
-    assert out[6]["n_removed"] >= out[2]["n_removed"]
+    rows += [(7, block + "\nmore", 0), (7, "other\ntext\n" + block, 0), (7, block + "\nmore", 0), (None, "a\nb\nc", 0), (None, "a\nb\nc", 0), (8, "a\nb\nc", 0), (9, "same\n" * 50, 0), (10, "same\n" * 50, 0)]
+    rows += [(20 + i, "\n".join(rnd.choice([block, "x\ny", f"{rnd.random()}"]) for _ in range(5)), 0) for i in range(20)]
+    first = {}
+    place = lambda i, k: (i is not None, i or 0, k)
+    for i, t, _ in rows:
+        for k, c in enumerate(plain_chunks(t) if t is not None else []):
+            first[c] = min(first.get(c, place(i, k)), place(i, k))
+    want = []
+    for i, t, _ in rows:
+        chunks = plain_chunks(t) if t is not None else []
+        kept = [c for k, c in enumerate(chunks) if "\n" not in c or first[c] == place(i, k)]
+        want.append((str(i), "\n".join(kept) if t is not None else None, len(chunks), len(chunks) - len(kept)))
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, n_removed int"))
+    assert sorted(map(str, ((str(r["doc_id"]), r["text"], r["n_chunks"], r["n_removed"]) for r in got.collect()))) == sorted(map(str, want))
+    assert sum(w[3] for w in want) > 60
 
 
 def test_simhash_groups(docs):
@@ -198,20 +215,28 @@ def test_near_dedup_is_exact(spark, limit):
 
 
 def test_schedule_keeps_every_window():
-    quota = {"a": 5, "b": 3, "c": 1, "d": 7}
-    period = sum(quota.values())
-    got = {s: 0 for s in quota}
-    for s, j, release, deadline, slot in mixing.schedule(quota):
-        assert release <= slot < deadline and j == got[s]
+    weights = {"a": 0.5, "b": 0.3, "c": 1e-4, "d": 0.1999}
+    table = mixing.schedule(weights, {"a": 9000, "b": 5400, "c": 2, "d": 3600, "unknown": 5})
+    got = dict.fromkeys(weights, 0)
+    total = sum(map(mixing.Fraction, weights.values()))
+    ends = None
+    for t, (s, j, release, deadline, slot) in enumerate(table):
+        assert release <= slot < deadline and j == got[s] and slot == t
         got[s] += 1
-        for k, q in quota.items():
-            assert abs((slot + 1) * q / period - got[k]) < 1
-    assert got == quota
-    assert sum(mixing.quotas({"a": 0.5, "b": 0.25, "c": 1e-9, "z": 0}, 64).values()) == 64
+        if ends is None:  # until a source is used up, every source is less than a block off its exact weight
+            assert all(abs((t + 1) * mixing.Fraction(w) / total - got[k]) < 1 for k, w in weights.items())
+            ends = t if got[s] == {"a": 9000, "b": 5400, "c": 2, "d": 3600}[s] else None
+    assert ends > 17000 and got == {"a": 9000, "b": 5400, "c": 2, "d": 3600}
+
+
+def test_mix_many_sources(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 5000) AS source")
+    out = mixing.mix(df, {f"s{i}": 1.0 + i for i in range(5000)}, slots=100)
+    assert out.count() == 6000 and out.select("mix_slot").distinct().count() == 5000
 
 
 def test_mix(docs):
-    out = mixing.mix(docs, {"s0": 3.0, "": 1.0}, block_rows=2, period=8)
+    out = mixing.mix(docs, {"s0": 3.0, "": 1.0}, block_rows=2)
     rows = out.orderBy("mix_slot", "mix_rank").collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in corpus())
     assert len({(r["mix_slot"], r["mix_rank"]) for r in rows}) == len(rows)
@@ -232,6 +257,7 @@ def test_pack_block_and_table(spark, docs):
         used[b] = (o + n, c)
     assert all(u <= c and (c == 4 or u > 4) for u, c in used.values())
     rows = packing.pack(docs, capacities=(16, 32)).collect()
+    assert sorted(rows) == sorted(packing.pack(docs.repartition(7), capacities=(16, 32)).collect())
     total = {i: len((t or "").split()) for i, t, *_ in corpus()}
     got = {}
     for r in rows:
@@ -289,6 +315,8 @@ def test_nearest_recall(spark, sf_dir):
 
 
 def test_toxicity_held_out(spark):
+    import zlib
+
     rnd = random.Random(3)
     rows, labels = [], []
     for i in range(400):
@@ -297,15 +325,67 @@ def test_toxicity_held_out(spark):
         if toxic:
             for _ in range(4):
                 words[rnd.randrange(60)] = rnd.choice(["vileness", "scumbag", "wretched"])
-        rows.append((i, " ".join(words)))
+        rows.append((i, " ".join(words), "s", 2))
         labels.append((i, int(toxic)))
-    rows += [(1000, ""), (1001, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([x for x in labels if x[0] % 3 != 1] + [(None, 1), (5000, None)], "doc_id long, toxic int"))
+    rows += [(1000, "", "s", 2), (1001, None, "s", 2), (1002, "alpha beta " * 200_000, "s", 2), (0, rows[0][1], "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int")
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    model = toxicity.fit(docs, spark.createDataFrame([x for x in labels if x[0] not in held] + [(None, 1), (5000, None)], "doc_id long, toxic int"))
     out = {r["doc_id"]: r for r in toxicity.toxicity(docs, model).collect()}
-    held = [i for i in range(400) if i % 3 == 1]
+    assert len(out) == 403 and toxicity.toxicity(docs, model).columns == ["doc_id", "text", "score", "predicted"]
     assert sum(out[i]["predicted"] == int(i % 4 == 0) for i in held) / len(held) > 0.97
-    assert out[1000]["score"] == out[1001]["score"] and 0 <= out[1000]["score"] < 0.7
+    assert out[1000]["score"] == out[1001]["score"] and 0 <= out[1000]["score"] < 0.7 and out[1002]["predicted"] == 0
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and {r[0] for r in kept.collect()} == {i for i, r in out.items() if not r["predicted"]}
+
+
+def test_kneser_ney(spark):
+    """Ratios of ten texts against sums over plain dictionaries."""
+    from collections import Counter
+
+    texts = [("the ape", 0), ("an apt ape", 0), ("tape", 0), ("idle idiot", 1), ("the idiot", 1), ("Ápe É", 1), ("x", 0), ("", 1), ("id", 1), ("idiom", 0)]
+    counts = (Counter(), Counter())
+    for t, toxic in texts:
+        for w in t.split():
+            padded = [0, 0, 0, 0, *(int(toxicity.symbol_table()[ord(c)]) for c in w), 0]
+            for i in range(len(padded) - 4):
+                counts[toxic][tuple(padded[i : i + 5])] += 1
+    seen = set(counts[0]) | set(counts[1])
+    levels = {}
+    for k in range(4, 0, -1):
+        levels[k] = Counter(g[1:] for g in seen)
+        seen = set(levels[k])
+
+    def shared(g):
+        if not g:
+            return 1 / len(levels[1])
+        same = [n for x, n in levels[len(g)].items() if x[:-1] == g[:-1]]
+        return (max(levels[len(g)][g] - 0.75, 0) + 0.75 * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    def p(c, g):
+        n = counts[c]
+        d = min(0.95, max(0.1, sum(x == 1 for x in n.values()) / max(1, sum(x == 1 for x in n.values()) + 2 * sum(x == 2 for x in n.values()))))
+        same = [x for y, x in n.items() if y[:-1] == g[:-1]]
+        return (max(n[g] - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    rows = toxicity.gram_counts(spark.createDataFrame([(t, c) for t, c in texts] + [(None, 1)], "text string, toxic int")).toPandas()
+    code = rows["gram"].to_numpy().astype(np.int64)
+    got, _ = toxicity.ratios(code, rows["c0"].to_numpy(), rows["c1"].to_numpy())
+    grams = {tuple(int(g) >> 5 * k & 31 for k in range(4, -1, -1)): r for g, r in zip(code, got)}
+    assert set(grams) == set(counts[0]) | set(counts[1])
+    for g, r in grams.items():
+        assert abs(r - np.log(p(1, g) / p(0, g))) < 1e-4
+
+
+def test_encoded_lengths(spark):
+    import tiktoken
+
+    texts = ["", "plain words", "Zwölf Boxkämpfer jagen Viktor", "x" * 5000, None]
+    got = {r["doc_id"]: r["n_tokens"] for r in length_histogram.encoded_lengths(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    ranks = {__import__("base64").b64decode(t): int(n) for t, n in (x.split() for x in open(length_histogram.VOCABULARY, "rb"))}
+    plain = tiktoken.Encoding("plain", pat_str=length_histogram.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert got == {i: len(plain.encode(t)) if t else 0 for i, t in enumerate(texts)}
+    assert plain.decode(plain.encode(texts[2])) == texts[2]
 
 
 def test_pipeline(spark, sf_dir):

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from llm import substring_dedup, suffix_dedup, superkmers
+from llm import common, substring_dedup, suffix_dedup, superkmers
 
 LOREM = [f"w{i}" for i in range(300)]
 
@@ -86,6 +86,6 @@ def test_frequent_minimiser(spark):
     rows = [(i, f"{i:>90}" + "passage of bytes that is shared by all rows " * 3 + f"{i * 7 % 13:<90}") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, text string")
     spans = lambda peers: {
-        (i, k) for i, s, n in ((r["id"], r["start"], r["n"]) for r in suffix_dedup.repeated_spans(superkmers.versions(df), peers=peers).collect()) for k in range(s, s + n)
+        (i, k) for i, s, n in ((r["id"], r["start"], r["n"]) for r in suffix_dedup.repeated_spans(common.versions(df), peers=peers).collect()) for k in range(s, s + n)
     }
     assert spans(1) == spans(2000) != set()
