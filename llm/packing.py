@@ -105,7 +105,7 @@ def pack_in_order(docs: DataFrame, order: str, length: Column | None = None, cap
     block_rows pieces and those of one range at most. Rows of one range meet in one task whatever their number: the order is a
     dense one, such as slots of a mix.
     """
-    items = _items(docs, length, capacities, id_col, text, order).withColumn("range", F.shiftright("at", 6))
+    items = cut(_items(docs, length, capacities, id_col, text, order).withColumn("range", F.shiftright("at", 6)))
     counts = items.groupBy("range").agg(F.count(F.lit(1)).alias("pieces"))
     before = F.coalesce(F.sum("pieces").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = counts.select(F.col("range").alias("of"), F.floor(before / block_rows).alias("block"))

@@ -318,6 +318,8 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 #: Fingerprints of PRINT_WORDS words prune pairs before their sets are compared. At similarity 0.8 each of 256 bits differs
 #: with probability 0.15 (0.19 in sets of 4 and 5), so 72 are exceeded by fewer than one pair in 10,000.
 PRINT_WORDS, PRINT_BITS = 4, 72
+#: Rounds of pivots before the members of keys that are still open are compared with each other.
+ROUNDS = 3
 
 
 def majority(h: np.ndarray, n_words: int) -> np.ndarray:
@@ -444,8 +446,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limi
     Two documents link if the Jaccard similarity of their sets of shingles is at least `similarity`; each link is checked
     on the whole sets. Pairs to check share a key of `band_keys`, which at 0.8 three pairs in 100,000 don't, and are
     pruned by SimHash fingerprints of the sets: chains of words within their budgets, then the full Hamming distance. Equal
-    sets are one node. First each node of a key is compared with the smallest, so a large group of near copies joins by one
-    pair for each of its members. Then, in keys that still hold more than one component, the members that are
+    sets are one node. First each node of a key is compared with the smallest, then, while keys hold several components,
+    each node with one other pivot of its keys for ROUNDS rounds; so a large group of near copies joins by a few pairs for each of
+    its members. Then, in keys that still hold more than one component, the members that are
     near to one of another component are compared, in tasks of bounded size. Repeated rows of one id are one
     document, of which one text, that of the smallest digest, is compared.
     """
@@ -479,33 +482,42 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limi
     least = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     met = cut(keys.join(least, "key").select("key", "many", "node", "least"))
 
-    pairs = met.filter("node <> least").select("node", "least").distinct().join(near, "node")
-    pairs = pairs.join(near.toDF("least", "least_n", "least_f"), "least")
-    close = F.least("n", "least_n") >= similarity * F.greatest("n", "least_n") - 1e-9
-    pairs = cut(pairs.filter(close & chains_hold(F.col("f"), F.col("least_f"))).select("node", "least", "n", "least_n"))
-
-    def texts(of: DataFrame) -> DataFrame:
-        """(node, shingles) of the nodes asked for."""
-        asked = nodes.join(of.distinct(), "node").select(F.col("node").alias("id"), "s0", "s1")
-        found = said.join(asked.select("id"), "id", "left_semi").mapInArrow(sets(True), f"id {kind}, s0 long, s1 long, n int, shingles array<long>")
-        found = found.join(asked, ["id", "s0", "s1"], "left_semi").dropDuplicates(["id"])
-        return cut(found.select(F.col("id").alias("node"), "shingles"))
-
-    known = texts(pairs.select("node").union(pairs.select("least")))
-    other = known.toDF("least", "least_shingles")
-    both = F.size(F.array_intersect("shingles", "least_shingles"))
-    same = both * (1 + similarity) >= similarity * (F.col("n") + F.col("least_n")) - 1e-9
-    early = components(pairs.join(known, "node").join(other, "least").filter(same).select(F.col("node").alias("a"), F.col("least").alias("b")))
-
-    # With two nodes the pair has been compared.
-    more = met.filter("many > 2").join(early, "node", "left").select("key", "many", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = more.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
-    more = cut(more.join(open_, "key").join(near, "node"))
-    members_ = cut(_open_members(more, similarity, members))
-    late = more.join(members_, ["key", "node"])
-    late = late.join(late.groupBy("key").agg(F.sum("n").alias("weight")), "key").join(texts(members_.select("node")), "node")
+    asked = nodes.join(met.select("node").distinct(), "node").select(F.col("node").alias("id"), "s0", "s1")
+    texts = said.join(asked.select("id"), "id", "left_semi").mapInArrow(sets(True), f"id {kind}, s0 long, s1 long, n int, shingles array<long>")
+    texts = texts.join(asked, ["id", "s0", "s1"], "left_semi").dropDuplicates(["id"])
+    texts = cut(texts.select(F.col("id").alias("node"), "shingles"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b): those of the pairs (node, least) that link."""
+        pairs = pairs.join(near, "node").join(near.toDF("least", "least_n", "least_f"), "least")
+        close = F.least("n", "least_n") >= similarity * F.greatest("n", "least_n") - 1e-9
+        pairs = pairs.filter(close & chains_hold(F.col("f"), F.col("least_f"))).select("node", "least", "n", "least_n")
+        both = F.size(F.array_intersect("shingles", "least_shingles"))
+        same = both * (1 + similarity) >= similarity * (F.col("n") + F.col("least_n")) - 1e-9
+        pairs = pairs.join(texts, "node").join(texts.toDF("least", "least_shingles"), "least").filter(same)
+        return pairs.select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+    def opened(found: DataFrame) -> DataFrame:
+        """(key, many, node, comp) of keys of several components; of two nodes the pair has been compared."""
+        more = met.filter("many > 2").join(found, "node", "left").select("key", "many", "node", F.coalesce("root", "node").alias("comp"))
+        keys_ = more.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
+        return cut(more.join(keys_, "key"))
+
+    found = components(verified(met.filter("node <> least").select("node", "least").distinct()))
+    more = opened(found)
+    for turn in range(ROUNDS):
+        if more.isEmpty():
+            break
+        pivots = more.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp")).alias("pivot"))
+        pairs = more.join(pivots, "key").filter(F.col("comp") != F.col("pivot.comp")).groupBy("node").agg(F.min(F.struct("pivot.h", "pivot.node")).alias("pivot"))
+        new = verified(pairs.select("node", F.col("pivot.node").alias("least")))
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+        more = opened(found)
+    more = cut(more.join(near, "node"))
+    late = more.join(_open_members(more, similarity, members), ["key", "node"])
+    late = late.join(late.groupBy("key").agg(F.sum("n").alias("weight")), "key").join(texts, "node")
     late = _bucket_links(late.select("key", "weight", "node", "comp", "shingles"), similarity, limit)
-    found = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
+    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
     out = prints.select("id", "s0", "s1").join(nodes.select("s0", "s1", "node"), ["s0", "s1"])
     return out.join(found, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
