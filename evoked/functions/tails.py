@@ -32,6 +32,19 @@ def two_sided_sql(z: str) -> str:
     return f"least(1.0, {erfc_sql(f'abs({z}) / sqrt(2.0)')})"
 
 
+def t_two_sided_sql(t: str, df: str) -> str:
+    """SQL for the two-sided p of t for a whole number of degrees: the finite series in the angle atan(t / sqrt(df))."""
+    a, c2 = f"atan(abs({t}) / sqrt({df}))", f"(({df}) / (({df}) + ({t}) * ({t})))"
+    even = f"sin({a}) * list_sum(list_transform(range(({df}) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow({c2}, k)))"
+    odd = f"2 / pi() * ({a} + sin({a}) * cos({a}) * coalesce(list_sum(list_transform(range((({df}) - 1) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow({c2}, k))), 0))"
+    return f"(1 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def chi2_upper_sql(x: str, df: str) -> str:
+    """SQL for the upper chi-square tail for an even number of degrees."""
+    return f"(exp(-({x}) / 2) * list_sum(list_transform(range(({df}) // 2), lambda k: pow(({x}) / 2, k) / exp(lgamma(k + 1)))))"
+
+
 def two_sided(z: Column) -> Column:
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.5 * x)

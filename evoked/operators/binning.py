@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evoked.operators import intervals as iv
+
 
 def relative_bins(spark: SparkSession, pre: float, post: float, width: float, partial: bool = False) -> DataFrame:
     """(window, bin, start, end): whole bins of [-pre, 0) and [0, post), never across 0; a rest bin only if partial."""
@@ -88,6 +90,38 @@ def expand_conditions(df: DataFrame, group: str = "group_label", locality: str =
     return df.withColumn("__c", F.explode(F.concat(fixed, by_tag, by_both))).select("*", "__c.*").drop("__c")
 
 
+def fitting(trials: DataFrame, extent: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
+    """Trials whose window [lo, hi] lies in [0, duration] of their keys' recording."""
+    return trials.join(extent.select(*keys, "duration"), keys).filter((lo >= 0) & (hi <= F.col("duration"))).drop("duration")
+
+
+def allowed(df: DataFrame, column: str, names: list[str] | None = None, table: DataFrame | None = None) -> DataFrame:
+    """Rows whose column is in an allow-list, a short list or a one-column table; no list allows everything."""
+    if names is not None:
+        df = df.filter(F.col(column).isin(names))
+    return df if table is None else df.join(table.select(F.col(table.columns[0]).alias(column)).distinct(), column, "left_semi")
+
+
+def bin_validity(windows: DataFrame, dead: DataFrame, keys: list[str], dead_keys: list[str], width: int, min_live: float = 0.8) -> DataFrame:
+    """(windows' keys, dead_keys, dead, strict_valid, valid) of windows [lo, hi) that dead time touches; all others are valid.
+
+    strict_valid: no overlap at all; valid: a share of min_live or more is live. Dead intervals must be disjoint.
+    """
+    shared = [k for k in dead_keys if k in windows.columns]
+    both = iv.overlap(windows, dead, shared, "lo", "hi", "s", "e", width)
+    per = both.groupBy(*dict.fromkeys([*keys, *dead_keys]), "lo", "hi").agg(F.sum("overlap").alias("dead"))
+    live = F.col("hi") - F.col("lo") - F.col("dead")
+    return per.select(*dict.fromkeys([*keys, *dead_keys]), "dead", (F.col("dead") <= 0).alias("strict_valid"), (live >= min_live * (F.col("hi") - F.col("lo"))).alias("valid"))
+
+
+def same_axis(df: DataFrame, session: str, by: list[str], axis: str) -> DataFrame:
+    """(by, n_sessions, n_axes, same): do all sessions have the same set of axis values. Sets are compared by count and hash sum."""
+    h = F.xxhash64(axis).cast("decimal(38,0)")
+    per = df.select(session, *by, axis).distinct().groupBy(session, *by).agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"))
+    out = per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sessions"), F.countDistinct("n", "h").alias("n_axes"))
+    return out.withColumn("same", F.col("n_axes") == 1)
+
+
 def min_trials(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Rows of the groups that have n rows or more."""
     return df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter(F.col("__n") >= n).drop("__n")

@@ -16,7 +16,17 @@ def quality_metrics(spikes: DataFrame, extent: DataFrame, keys: list[str], bin_t
     return s.select(*keys, "num_spikes", (F.col("num_spikes") * 1e6 / F.col("duration")).alias("firing_rate"), (F.col("present") / F.expr(f"(duration + {bin_ticks} - 1) div {bin_ticks}")).alias("presence_ratio"), "isi_violations_ratio")
 
 
+def template_quality(samples: DataFrame, keys: list[str], at: str = "i", value: str = "x") -> DataFrame:
+    """(keys, num_waveforms, amplitude, noise, snr): largest absolute mean sample, and noise as 1.4826 times the median absolute deviation."""
+    means = samples.groupBy(*keys, at).agg(F.avg(value).alias("m"), F.count(F.lit(1)).alias("n"))
+    peaks = means.groupBy(*keys).agg(F.max(F.abs("m")).alias("amplitude"), F.max("n").alias("num_waveforms"))
+    centre = samples.groupBy(*keys).agg(F.median(value).alias("__c"))
+    noise = samples.join(centre, keys).groupBy(*keys).agg((F.median(F.abs(F.col(value) - F.col("__c"))) * 1.4826).alias("noise"))
+    return peaks.join(noise, keys).select(*keys, "num_waveforms", "amplitude", "noise", F.when(F.col("noise") > 0, F.col("amplitude") / F.col("noise")).alias("snr"))
+
+
 def good_units(metrics: DataFrame, min_spikes: int = 100, min_presence: float = 0.5, max_violations: float = 0.5) -> DataFrame:
+    """Units that pass the masks; a missing presence fails, missing violations pass."""
     return metrics.filter((F.col("num_spikes") >= min_spikes) & (F.coalesce("presence_ratio", F.lit(0.0)) >= min_presence) & (F.coalesce("isi_violations_ratio", F.lit(0.0)) <= max_violations))
 
 

@@ -109,7 +109,8 @@ def ledger(candidates: DataFrame, sources: DataFrame, outputs: DataFrame, keys:
 def zone_membership(pairs: DataFrame, zones: DataFrame) -> DataFrame:
     """(patient, electrode, a, b, zone, inside): contact pairs against zone rows (patient, zone, electrode, ranges).
 
-    ranges: Full, or a-b, or a-b_c-d, compared as numbers. A pair is inside if both contacts lie in one range.
+    ranges: Full, or a-b, or a-b_c-d, compared as numbers. A pair is inside if both contacts lie in one range; it is unknown, NULL,
+    for a patient without zones. Zone NI, not involved: inside none of the zones.
     """
     parts = zones.withColumn("r", F.explode(F.split("ranges", "_")))
     full = F.lower(F.trim("r")) == "full"
@@ -119,7 +120,11 @@ def zone_membership(pairs: DataFrame, zones: DataFrame) -> DataFrame:
     grid = pairs.join(F.broadcast(zones.select("zone").distinct()))
     hit = grid.join(parts, ["patient", "electrode", "zone"], "left")
     inside = F.coalesce((F.col("a") >= F.col("lo")) & (F.col("b") <= F.col("hi")), F.lit(False))
-    return hit.groupBy("patient", "electrode", "a", "b", "zone").agg(F.bool_or(inside).alias("inside"))
+    known = zones.select("patient", F.lit(True).alias("known")).distinct()
+    out = hit.groupBy("patient", "electrode", "a", "b", "zone").agg(F.bool_or(inside).alias("inside")).join(known, "patient", "left")
+    out = out.select("patient", "electrode", "a", "b", "zone", F.when(F.col("known"), F.col("inside")).alias("inside"))
+    none = out.groupBy("patient", "electrode", "a", "b").agg((~F.bool_or("inside")).alias("inside"))
+    return out.unionByName(none.withColumn("zone", F.lit("NI")))
 
 
 def resolve_name(wanted: DataFrame, known: DataFrame, spellings: list[Column]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +87,31 @@ def signed_rank(df: DataFrame, keys: list[str], d: str = "d", zeros: str = "wilc
     return out.select(*keys, "n", F.when(enough, F.col("stat")).alias("stat"), F.when(enough, F.col("p")).alias("p"))
 
 
+def signed_rank_sparse(df: DataFrame, counts: DataFrame, keys: list[str], d: str = "d", min_n: int = 1) -> DataFrame:
+    """signed_rank with zeros by Pratt, of the differences that aren't zero, and the number n_all of all of them by keys.
+
+    The zeros take the lowest ranks, so they only shift the others; groups of counts without a difference have stat 0, p 1.
+    """
+    size = F.abs(F.col(d))
+    ranked = df.withColumn("__a", size).withColumn("__r", avg_rank(F.col("__a"), keys)).withColumn("__t", F.count(F.lit(1)).over(W.partitionBy(*keys, "__a")))
+    sums = ranked.groupBy(*keys).agg(
+        F.sum(F.when(F.col(d) > 0, F.col("__r")).otherwise(0)).alias("rp"),
+        F.sum(F.when(F.col(d) < 0, F.col("__r")).otherwise(0)).alias("rm"),
+        F.count_if(F.col(d) > 0).alias("np"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("__t") * F.col("__t") - 1.0).alias("ties"),
+    )
+    out = counts.join(sums, keys, "left").fillna(0, ["n", "np"])
+    na, n = F.col("n_all").cast("double"), F.col("n")
+    nz = na - n
+    mean = (na * (na + 1) - nz * (nz + 1)) / 4.0
+    var = (na * (na + 1) * (2 * na + 1) - nz * (nz + 1) * (2 * nz + 1)) / 24.0 - F.col("ties") / 48.0
+    stat = F.least(F.col("rp") + nz * F.col("np"), F.col("rm") + nz * (n - F.col("np")))
+    p = F.when(var > 0, two_sided((stat - mean) / F.sqrt(var)))
+    enough = F.col("n_all") >= min_n
+    return out.select(*keys, "n", F.when(enough, F.coalesce(stat, F.lit(0.0))).alias("stat"), F.when(enough, F.when(n == 0, 1.0).otherwise(p)).alias("p"))
+
+
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, reference: str, min_n: int = 3, exact: bool = False) -> DataFrame:
     """Two-sided Mann-Whitney U of every other group against the reference within keys: n1, n2, u, p.
 
@@ -124,15 +151,18 @@ def kruskal(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame
 
 
 def correlation(df: DataFrame, keys: list[str], x: str, y: str, method: str = "pearson", min_n: int = 2) -> DataFrame:
-    """n finite pairs, r, and two-sided p by t with n - 2 degrees; NULL for too few pairs or zero variance."""
+    """n finite pairs, r, two-sided p by t with n - 2 degrees, and means and sds of x and y.
+
+    r and p are NULL for fewer than min_n pairs or zero variance; means and sds are of the values, also where ranks are correlated.
+    """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     if method == "spearman":
         rows = rows.withColumns({"__x": avg_rank(a, keys), "__y": avg_rank(b, keys)})
         a, b = F.col("__x"), F.col("__y")
-    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"))
+    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), *(f(F.col(c).cast("double")).alias(f"{c}_{m}") for c in (x, y) for m, f in (("mean", F.avg), ("sd", F.stddev_samp))))
     r = F.when((F.col("n") >= min_n) & (F.col("va") > 0) & (F.col("vb") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / F.sqrt(F.col("va") * F.col("vb")))))
-    s = s.select(*keys, "n", r.alias("r"))
+    s = s.select(*keys, "n", r.alias("r"), *(f"{c}_{m}" for c in (x, y) for m in ("mean", "sd")))
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).when(F.col("r").isNotNull(), 1e150)
     return s.withColumn("p", t_p(t, F.when(F.col("n") > 2, F.col("n") - 2)))
 
@@ -172,8 +202,43 @@ def bh_fdr_large(df: DataFrame, p: str = "p", out: str = "q", bands: int = 1024)
     return final.drop("__b", "__before", "__m", "__q", "__after")
 
 
-def _flip(seed: int) -> Column:
-    return F.when(F.pmod(F.xxhash64(F.lit(seed), "perm", "obs"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+def _signs(obs: np.ndarray, perms: np.ndarray) -> np.ndarray:
+    """1 or -1 for each observation's hash and each permutation; permutation 0 is the identity."""
+    x = obs[:, None] + perms[None, :].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.where((x >> np.uint64(63)).astype(bool) & (perms > 0), -1.0, 1.0)
+
+
+def signed_sums(rows: DataFrame, keys: list[str], n_perm: int, block: int = 256) -> DataFrame:
+    """(keys, perm, s, ss, n): sums of x over rows (keys, o, x) with the signs of each permutation, of squares, and counts.
+
+    Batches sum their rows by keys for all permutations at once, as products with the sign matrix of the
+    observations' hashes o; what is shuffled is one row for each batch, keys and permutation.
+    """
+    kinds = dict(rows.dtypes)
+    names = [*keys, "sums", "ss", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = b.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+            x, o = b.column("x").to_numpy()[order], b.column("o").to_numpy()[order].view(np.uint64)
+            sums = np.empty((len(first), n_perm + 1))
+            for p in range(0, n_perm + 1, block):
+                perms = np.arange(p, min(p + block, n_perm + 1))
+                sums[:, perms] = np.add.reduceat(_signs(o, perms) * x[:, None], first, axis=0)
+            cols = [b.column(k).take(pa.array(order[first])) for k in keys]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, n_perm + 1, dtype=np.int32)), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*cols, flat, pa.array(np.add.reduceat(x * x, first)), pa.array(np.diff(np.r_[first, len(x)]))], names)
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sums array<double>, ss double, n long"])
+    parts = rows.select(*keys, "o", "x").mapInArrow(run, schema)
+    parts = parts.select(*keys, "ss", "n", F.posexplode("sums").alias("perm", "y"))
+    return parts.groupBy(*keys, "perm").agg(F.sum("y").alias("s"), F.sum("ss").alias("ss"), F.sum("n").alias("n"))
 
 
 def cluster_permutation(df: DataFrame, keys: list[str], value: str, n_perm: int = 200, seed: int = 5, alpha: float = 0.05, grid: bool = False) -> DataFrame:
@@ -185,10 +250,8 @@ def cluster_permutation(df: DataFrame, keys: list[str], value: str, n_perm: int
     permutations, the identity included, whose largest absolute mass reaches it.
     """
     cell = ["freq_idx", "time_idx"] if grid else ["time_idx"]
-    rows = df.select(*keys, "obs", *cell, F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
-    perms = df.sparkSession.range(n_perm + 1).withColumnRenamed("id", "perm")
-    flipped = rows.crossJoin(F.broadcast(perms)).withColumn("y", F.when(F.col("perm") == 0, F.col("x")).otherwise(F.col("x") * _flip(seed)))
-    sums = flipped.groupBy(*keys, "perm", *cell).agg(F.sum("y").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.count(F.lit(1)).alias("n"))
+    rows = df.select(*keys, *cell, F.xxhash64(F.lit(seed), "obs").alias("o"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
+    sums = signed_sums(rows, [*keys, *cell], n_perm)
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     t = F.when((F.col("n") > 1) & (var > 0), F.col("s") / F.col("n") / F.sqrt(var / F.col("n"))).otherwise(0.0)
     limits = F.pandas_udf(lambda n: n.map({k: t_quantile(1 - alpha / 2, k - 1) if k > 1 else float("inf") for k in n.unique()}), T.DoubleType())
@@ -215,7 +278,7 @@ def cluster_permutation(df: DataFrame, keys: list[str], value: str, n_perm: int
 def _grid_clusters(marked: DataFrame, keys: list[str]) -> DataFrame:
     """4-neighbour labels on one small map a (keys, perm, sign): the group is a map, not the data."""
     kinds = dict(marked.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "perm long, sign int, first_idx int, last_idx int, size long, mass double, c int"])
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "perm int, sign int, first_idx int, last_idx int, size long, mass double, c int"])
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = {(int(f), int(t)): float(x) for f, t, x in zip(pdf.freq_idx, pdf.time_idx, pdf.t, strict=True)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evoked.operators import binning as bn
 from evoked.operators import intervals as iv
 from evoked.operators import spiketrain as st
 from evoked.plans import views as v
@@ -107,14 +108,18 @@ HIST = f"""{v.FX}, c AS (SELECT t.session, p.unit_id, t.stim_index, CASE WHEN p.
   h AS (SELECT session, unit_id, stim_index, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT session, unit_id FROM fx_units) JOIN (SELECT session, stim_index FROM fx_trials) USING (session) CROSS JOIN (SELECT unnest(range({-HN}, {HN})) AS bin) LEFT JOIN c USING (session, unit_id, stim_index, bin))"""
 
 
-def histogram(spark: SparkSession, d: str) -> DataFrame:
-    return st.event_histogram(v.spikes(spark, d), v.trials(spark, d), v.units(spark, d), HB, HN, v.CELL)
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return st.binned_counts(v.spikes(spark, d), v.trials(spark, d), HB, HN, v.CELL)
+
+
+def unit_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return st.unit_histogram(counts(spark, d), v.trials(spark, d), v.units(spark, d), HN)
 
 
 @query(f"WITH {HIST} SELECT stim_index, bin, sum(n) AS n, count(*) AS units, count_if(n = 0) AS silent FROM h GROUP BY ALL")
 def peri_event_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Counts by trial and bin, zero bins included."""
-    return histogram(spark, d).groupBy("stim_index", "bin").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"), F.count_if(F.col("n") == 0).alias("silent"))
+    return st.trial_histogram(counts(spark, d), v.trials(spark, d), v.units(spark, d), HN).drop("session")
 
 
 @query(f"""WITH {HIST}, m AS (SELECT session, unit_id, bin, sum(n) AS n FROM h GROUP BY ALL), b AS (SELECT session, unit_id, avg(n) FILTER (bin < 0) AS mu, stddev_samp(n) FILTER (bin < 0) AS sd FROM m GROUP BY ALL),
@@ -122,8 +127,7 @@ def peri_event_histogram(spark: SparkSession, d: str) -> DataFrame:
 SELECT *, (n_above > 0 AND n_below = 0)::INT AS excit_only, (n_below > 0 AND n_above = 0)::INT AS inhib_only, coalesce(first_below < first_above, FALSE)::INT AS inhib_then_excit, coalesce(first_above < first_below, FALSE)::INT AS excit_then_inhib, (n_above > 0)::INT AS excit_general, (n_below > 0)::INT AS inhib_general FROM x""")
 def response_classes(spark: SparkSession, d: str) -> DataFrame:
     """A7 on unit histograms summed over trials."""
-    summed = histogram(spark, d).groupBy(*UNIT, "bin").agg(F.sum("n").alias("n"))
-    out = st.response_classes(summed, UNIT)
+    out = st.response_classes(unit_histogram(spark, d), UNIT)
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("inhib_then_excit", "excit_then_inhib")})
 
 
@@ -150,3 +154,23 @@ def dead_overlap(spark: SparkSession, d: str) -> DataFrame:
     wins = v.trials(spark, d).select("session", "stim_index", (F.col("t0") - 10_000_000).alias("lo"), (F.col("t1") + 10_000_000).alias("hi"))
     both = iv.overlap(wins, merged(spark, d), ["session"], "lo", "hi", "s", "e", v.CELL)
     return both.groupBy("session", "stim_index", "electrode").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("overlap").alias("lost"))
+
+
+BINS_SQL = f"""bins AS (SELECT session, stim_index, bin, CASE WHEN bin < 0 THEN t0 + bin * {HB} ELSE t1 + bin * {HB} END AS lo FROM fx_trials, (SELECT unnest(range({-HN}, {HN})) AS bin)),
+  dd AS (SELECT b.session, d.electrode, stim_index, bin, sum(least(d.e, lo + {HB}) - greatest(d.s, lo)) AS dead FROM bins b JOIN fx_merged d ON d.session = b.session AND d.s < lo + {HB} AND d.e > lo GROUP BY ALL)"""
+
+
+@query(f"WITH {v.FX}, {BINS_SQL} SELECT session, electrode, stim_index, bin, dead, dead <= 0 AS strict_valid, {HB} - dead >= 0.8 * {HB} AS valid FROM dd")
+def bin_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Bins that dead time touches, strict and by live share."""
+    wins = st.windows_of(v.trials(spark, d), HB * HN).select("session", "stim_index", "win", F.col("lo").alias("from"), F.explode(F.sequence(F.lit(0), F.lit(HN - 1))).alias("k"))
+    at = F.col("from") + F.col("k") * HB
+    wins = wins.select("session", "stim_index", F.when(F.col("win") == "pre", F.col("k") - HN).otherwise(F.col("k")).alias("bin"), at.alias("lo"), (at + HB).alias("hi"))
+    return bn.bin_validity(wins, merged(spark, d), ["session", "stim_index", "bin"], ELECTRODE, v.CELL)
+
+
+@query(f"WITH {v.FX}, {EXTENT} SELECT t.session, t.stim_index, t.t0, t.t1 FROM fx_trials t JOIN ext USING (session) WHERE t0 - 10000000 >= 0 AND t1 + 10000000 <= duration AND session IN ('S0', 'S2')")
+def fitting_trials(spark: SparkSession, d: str) -> DataFrame:
+    """trials whose windows fit the recording, of an allow-list of sessions."""
+    rows = bn.fitting(v.trials(spark, d), extent(spark, d), ["session"], F.col("t0") - 10_000_000, F.col("t1") + 10_000_000)
+    return bn.allowed(rows, "session", ["S0", "S2"]).select("session", "stim_index", "t0", "t1")

@@ -15,13 +15,13 @@ from evoked.operators import spiketrain as st
 from evoked.operators import stats
 
 
-def unit_summary(spikes: DataFrame, trials: DataFrame, units: DataFrame, dead: DataFrame, extent: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unit_summary(spikes: DataFrame, trials: DataFrame, units: DataFrame, dead: DataFrame, extent: DataFrame, acg_bin: int = 1000, acg_bins: int = 100) -> tuple[DataFrame, DataFrame]:
     """Unit table (rates, interval and autocorrelogram features) and unit x trial table."""
     keys, dead_keys = ["session", "unit_id"], ["session", "electrode"]
     merged = iv.merge_intervals(dead, dead_keys)
     rates = st.unit_rates(spikes, extent, trials, units, merged)
     isi = st.isi_features(spikes, units, merged, keys, dead_keys)
-    acg = st.acg_features(spikes, units, merged, keys, dead_keys, 1000, 100)
+    acg = st.acg_features(spikes, units, merged, keys, dead_keys, acg_bin, acg_bins)
     return rates.join(isi, keys, "left").join(acg, keys, "left"), st.trial_responses(spikes, trials, units, dead)
 
 
@@ -32,11 +32,10 @@ def psd(epochs: DataFrame, keys: list[str], column: str, fs: float, nperseg: int
     return rows, ds.grand_average(rows, [*[k for k in keys if k != "trial_idx"], "freq_hz"], [*rest, "freq_hz"], "psd")
 
 
-def morlet(epochs: DataFrame, keys: list[str], column: str, fs: float, freqs: list[float], condition: str, n_perm: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Baseline-normalised time-frequency power (first half of the epoch is the baseline) and clusters by condition."""
+def morlet(epochs: DataFrame, keys: list[str], column: str, fs: float, freqs: list[float], condition: str, n: int, n_perm: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Baseline-normalised time-frequency power (the first half of the epoch's n samples is the baseline) and clusters by condition."""
     power = sg.morlet_power(epochs, keys, column, fs, freqs)
-    half = F.col("time_idx") < F.expr("max(time_idx) OVER () / 2")
-    power = power.withColumn("pre", half)
+    power = power.withColumn("pre", F.col("time_idx") < n / 2)
     norm = bn.baseline_normalise(power, [*keys, "freq_hz"], "power", F.col("pre"), ["logratio", "zscore"], eps=1e-12, ddof=0)
     index = F.array_position(F.array(*map(F.lit, map(float, freqs))), F.col("freq_hz")).cast("int")
     rows = norm.select(condition, F.xxhash64(*keys).alias("obs"), index.alias("freq_idx"), "time_idx", F.col("logratio").alias("x"))

@@ -11,6 +11,8 @@ from evoked.operators import celltypes as ct
 from evoked.operators import signal as sg
 from evoked.operators import stats
 from evoked.operators.binning import decimate
+from evoked.functions.tails import two_sided_sql
+from evoked.plans import pipelines as pl
 from evoked.plans import views as v
 from evoked.plans.registry import query
 
@@ -103,16 +105,17 @@ def proximity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
-  s AS (SELECT vec_id % 5 AS channel, (vec_id // 5) * 64 + i AS sample_idx, x FROM l), t AS (SELECT o_orderkey AS trial_idx, o_custkey * 3 AS first FROM orders WHERE o_orderkey % 16 = 1),
+  s AS (SELECT vec_id % 5 AS channel, (vec_id // 5) * 64 + i AS sample_idx, x FROM l), t AS (SELECT o_orderkey AS trial_idx, o_custkey * 3 AS first FROM orders),
   g AS (SELECT channel, trial_idx, first, k FROM (SELECT DISTINCT channel FROM s), t, (SELECT unnest(range(16)) AS k)),
   j AS (SELECT g.channel, g.trial_idx, g.k AS time_idx, s.x AS value FROM g JOIN s ON s.channel = g.channel AND s.sample_idx = g.first + g.k)
-SELECT channel, trial_idx, time_idx, value FROM j QUALIFY count(*) OVER (PARTITION BY channel, trial_idx) = 16""")
+SELECT channel, trial_idx, count(*) AS n, avg(value) AS mean, min(value) AS lo, arg_max(value, time_idx) AS last FROM j GROUP BY ALL HAVING count(*) = 16""")
 def trial_epochs(spark: SparkSession, d: str) -> DataFrame:
-    """Epochs by an equi-join on sample numbers; incomplete trials go."""
+    """Epochs by an equi-join on sample numbers; incomplete trials go. Summed up by channel and trial."""
     s = long(spark, d).select((F.col("vec_id") % 5).alias("channel"), (F.expr("vec_id div 5") * 64 + F.col("i")).alias("sample_idx"), F.col("x").alias("value"))
-    t = v.read(spark, d, "orders").filter("o_orderkey % 16 = 1").select(F.col("o_orderkey").alias("trial_idx"), (F.col("o_custkey") * 3).alias("first"))
+    t = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("trial_idx"), (F.col("o_custkey") * 3).alias("first"))
     t = t.join(F.broadcast(spark.range(5).withColumnRenamed("id", "channel")))
-    return sg.epochs(s, t, ["channel"], 16)
+    rows = sg.epochs(s, t, ["channel"], 16)
+    return rows.groupBy("channel", "trial_idx").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("lo"), F.max_by("value", "time_idx").alias("last"))
 
 
 @query("""WITH a AS (SELECT vec_id // 5 AS trial, vec_id % 5 AS contact, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings WHERE NOT (vec_id % 5 = 3 AND (vec_id // 5) % 4 = 0))
@@ -131,7 +134,7 @@ def bipolar_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT label, (i // 4)::BIGINT AS band, vec_id, avg(x) AS m FROM (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL)
 SELECT label, band // 4 AS main, avg(m) AS mean, median(m) AS med, bool_or(m > 0.2) AS any_high, bool_and(m > -0.2) AS all_above, count(DISTINCT vec_id) AS n_obs FROM f GROUP BY ALL""")
 def band_reduction(spark: SparkSession, d: str) -> DataFrame:
-    """A16, A13, P26."""
+    """A16, A13."""
     f = long(spark, d).groupBy("label", F.expr("i div 4").alias("band"), "vec_id").agg(F.avg("x").alias("m"))
     return f.groupBy("label", F.expr("band div 4").alias("main")).agg(F.avg("m").alias("mean"), F.median("m").alias("med"), F.bool_or(F.col("m") > 0.2).alias("any_high"), F.bool_and(F.col("m") > -0.2).alias("all_above"), F.countDistinct("vec_id").alias("n_obs"))
 
@@ -200,3 +203,55 @@ def waveform_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def waveform_communities(spark: SparkSession, d: str) -> DataFrame:
     """Communities of the neighbour graph."""
     return ct.graph_communities(ct.neighbour_graph(waves(spark, d), "vec_id", "w", 15), 4)
+
+
+@query(f"WITH {WELCH} SELECT label AS channel, freq_hz, avg(psd) AS mean, stddev_samp(psd) AS sd, count(*) AS n, stddev_samp(psd) / sqrt(count(*)) AS sem FROM (SELECT vec_id % 4 AS session, label, freq_hz, avg(psd) AS psd FROM p JOIN embeddings USING (vec_id) WHERE freq_hz BETWEEN 2 AND 24 GROUP BY ALL) GROUP BY label, freq_hz")
+def psd_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """L2: power spectra of epochs and their grand average over sessions."""
+    rows = waves(spark, d).select((F.col("vec_id") % 4).alias("session"), F.col("label").alias("channel"), F.col("vec_id").alias("trial_idx"), "w")
+    return pl.psd(rows, ["session", "channel", "trial_idx"], "w", FS, N, 2, 24)[1]
+
+
+@query()
+def morlet_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """L3: baseline-normalised time-frequency power and its clusters by condition."""
+    return pl.morlet(waves(spark, d), ["vec_id", "label"], "w", FS, [6.0, 10.0, 16.0], "label", 64, n_perm=200)[1]
+
+
+@query()
+def hilbert_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """L4: band envelopes cut to epochs and decimated, as means by band and time."""
+    rows = waves(spark, d).select((F.col("vec_id") % 5).alias("channel"), F.expr("vec_id div 5").alias("chunk_id"), (F.expr("vec_id div 5") * 64).alias("start_sample"), F.col("w").alias("samples"))
+    trials = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("trial_idx"), (F.col("o_custkey") * 3).alias("first")).join(F.broadcast(spark.range(5).withColumnRenamed("id", "channel")))
+    out = pl.hilbert(rows, ["channel"], FS, [("low", 4.0, 8.0), ("high", 12.0, 24.0)], trials, 16, 4)
+    return out.groupBy("channel", "band", "time_idx").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+
+
+SR = """l AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS time_idx, unnest(embedding)::DOUBLE - 0.01 AS d FROM embeddings),
+  r AS (SELECT label, time_idx, d, rank() OVER (PARTITION BY label, time_idx ORDER BY abs(d)) + (count(*) OVER (PARTITION BY label, time_idx, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY label, time_idx, abs(d)) AS t FROM l WHERE d <> 0),
+  s AS (SELECT label, time_idx, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS rp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS rm, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY ALL),
+  z AS (SELECT label, time_idx, n, least(rp, rm) AS stat, (least(rp, rm) - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM s)"""
+
+
+@query(f"""WITH {SR}, p AS (SELECT label, time_idx, n, stat, {two_sided_sql('z')} AS p FROM z), m AS (SELECT *, p * count(*) OVER (PARTITION BY label) / row_number() OVER (PARTITION BY label ORDER BY p) AS raw FROM p)
+SELECT *, q <= 0.05 AS reject FROM (SELECT label, time_idx, n, stat, p, least(1.0, min(raw) OVER (PARTITION BY label ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)) AS q FROM m)""")
+def envelope_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Signed-rank tests at each time against mu0, q within a condition."""
+    rows = long(spark, d).select("label", F.col("i").alias("time_idx"), F.col("x").alias("value"))
+    return pl.hilbert_tests(rows, ["label"], ["vec_id"], 0.01)
+
+
+@query()
+def cell_type_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Waveform features with mixture labels."""
+    return pl.cell_types(waves(spark, d), "vec_id", "w", 20000.0).select("vec_id", "trough_to_peak_ms", "half_width", "cluster", "confidence", "cell_type")
+
+
+@query("""WITH l AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM l GROUP BY ALL), t AS (SELECT label, max(abs(m)) AS amplitude, any_value(n) AS num_waveforms FROM m GROUP BY label),
+  c AS (SELECT label, median(x) AS c FROM l GROUP BY label), n AS (SELECT l.label, median(abs(x - c)) * 1.4826 AS noise FROM l JOIN c ON c.label = l.label GROUP BY l.label)
+SELECT label, num_waveforms, amplitude, noise, CASE WHEN noise > 0 THEN amplitude / noise END AS snr, amplitude / noise >= 0.05 AS good FROM t JOIN n USING (label)""")
+def template_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Amplitude of the mean waveform, noise by the median absolute deviation, their ratio, and a mask on it."""
+    rows = ct.template_quality(long(spark, d), ["label"])
+    return rows.withColumn("good", F.col("snr") >= 0.05)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evoked.functions.tails import two_sided_sql
+from evoked.functions.tails import chi2_upper_sql, t_two_sided_sql, two_sided_sql
 from evoked.operators import binning as bn
 from evoked.operators import describe as ds
+from evoked.operators import spiketrain as st
 from evoked.operators import stats
 from evoked.plans import event_queries as eq
 from evoked.plans import views as v
@@ -28,18 +29,18 @@ def signed_rank_test(spark: SparkSession, d: str) -> DataFrame:
     return stats.signed_rank(rows, ["g"])
 
 
-T1_HIST = eq.HIST
-@query(f"""WITH {T1_HIST}, p AS (SELECT session, unit_id, (bin + {eq.HN}) % {eq.HN} AS k, sum(n) FILTER (bin >= 0) - sum(n) FILTER (bin < 0) AS d FROM h GROUP BY ALL),
-  r AS (SELECT session, unit_id, d, rank() OVER (PARTITION BY session, unit_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY session, unit_id, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY session, unit_id, abs(d)) AS t FROM p),
-  s AS (SELECT session, unit_id, count_if(d <> 0) AS n, count(*) AS na, count_if(d = 0) AS nz, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS rp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS rm, sum(CASE WHEN d <> 0 THEN t::DOUBLE * t - 1 ELSE 0 END) AS ties FROM r GROUP BY ALL),
+@query(f"""WITH {eq.HIST}, {eq.BINS_SQL},
+  q AS (SELECT h.session, h.unit_id, h.stim_index, h.bin, h.n, {eq.HB} - coalesce(dead, 0) AS live FROM h JOIN fx_units u USING (session, unit_id) LEFT JOIN dd ON dd.session = h.session AND dd.electrode = u.electrode AND dd.stim_index = h.stim_index AND dd.bin = h.bin),
+  p AS (SELECT session, unit_id, stim_index, a.n * 1e6 / a.live AS ra, b.n * 1e6 / b.live AS rb FROM q a JOIN q b USING (session, unit_id, stim_index) WHERE a.bin < 0 AND b.bin = a.bin + {eq.HN} AND a.live >= 0.8 * {eq.HB} AND b.live >= 0.8 * {eq.HB}),
+  f AS (SELECT *, rb - ra AS d FROM p),
+  r AS (SELECT *, rank() OVER (PARTITION BY session, unit_id, stim_index ORDER BY abs(d)) + (count(*) OVER (PARTITION BY session, unit_id, stim_index, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY session, unit_id, stim_index, abs(d)) AS t FROM f),
+  s AS (SELECT session, unit_id, stim_index, count_if(d <> 0) AS n, count(*) AS na, count_if(d = 0) AS nz, avg(ra) AS fr_pre, avg(rb) AS fr_post, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS rp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS rm, sum(CASE WHEN d <> 0 THEN t::DOUBLE * t - 1 ELSE 0 END) AS ties FROM r GROUP BY ALL),
   z AS (SELECT *, least(rp, rm) AS stat, na * (na + 1) / 4.0 - nz * (nz + 1) / 4.0 AS mu, (na * (na + 1) * (2 * na + 1) - nz * (nz + 1) * (2 * nz + 1)) / 24.0 - ties / 48.0 AS va FROM s)
-SELECT session, unit_id, n, stat, CASE WHEN n = 0 THEN 1.0 WHEN va > 0 THEN {two_sided_sql('(stat - mu) / sqrt(va)')} END AS p FROM z""")
+SELECT u.session, u.unit_id, t.stim_index, coalesce(na, 0) AS n_bins, coalesce(n, 0) AS n, fr_pre, fr_post, CASE WHEN na >= 5 THEN stat END AS stat, CASE WHEN na >= 5 THEN CASE WHEN n = 0 THEN 1.0 WHEN va > 0 THEN {two_sided_sql('(stat - mu) / sqrt(va)')} END END AS p
+FROM fx_units u JOIN fx_trials t USING (session) LEFT JOIN z USING (session, unit_id, stim_index)""")
 def pre_post_test(spark: SparkSession, d: str) -> DataFrame:
-    """The k-th bin before with the k-th bin after, zeros by Pratt."""
-    h = eq.histogram(spark, d).withColumn("k", (F.col("bin") + eq.HN) % eq.HN)
-    post, pre = F.when(F.col("bin") >= 0, F.col("n")).otherwise(0), F.when(F.col("bin") < 0, F.col("n")).otherwise(0)
-    pairs = h.groupBy("session", "unit_id", "k").agg((F.sum(post) - F.sum(pre)).alias("d"))
-    return stats.signed_rank(pairs, ["session", "unit_id"], zeros="pratt", min_n=5)
+    """T1, O-W7: for each unit and trial the k-th bin before with the k-th bin after, live bins only, zeros by Pratt."""
+    return st.paired_bins_test(v.spikes(spark, d), v.trials(spark, d), v.units(spark, d), eq.merged(spark, d), eq.HB, eq.HN)
 
 
 MW_Z = "greatest(0.0, (abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))))"
@@ -51,23 +52,23 @@ MW_Z = "greatest(0.0, (abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 / 12.0 * (n1
   s AS (SELECT k, g, sum(one) AS n1, sum(1 - one) AS n2, sum(r * one) - sum(one) * (sum(one) + 1) / 2.0 AS u, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY k, g),
   p AS (SELECT k, g, n1, n2, u, {two_sided_sql(MW_Z)} AS p FROM s WHERE n1 >= 3 AND n2 >= 3),
   m AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p)
-SELECT k, g, n1, n2, u, p, least(1.0, min(raw) OVER (ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)) AS q FROM m""")
+SELECT *, q <= 0.05 AS reject FROM (SELECT k, g, n1, n2, u, p, least(1.0, min(raw) OVER (ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)) AS q FROM m)""")
 def mann_whitney_fdr(spark: SparkSession, d: str) -> DataFrame:
     """T4, T7, O-L1."""
     rows = v.read(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_orderstatus").alias("g"), F.col("o_totalprice").alias("x"))
     tests = stats.mann_whitney(rows, ["k"], "x", "g", "O").withColumn("all", F.lit(1))
-    return stats.bh_fdr(tests, ["all"]).drop("all", "reject").orderBy("q", "p")
+    return stats.bh_fdr(tests, ["all"]).drop("all")
 
 
-@query("""WITH o AS (SELECT o_orderpriority AS k, o_orderstatus AS g, o_totalprice AS x FROM orders),
+@query(f"""WITH o AS (SELECT o_orderpriority AS k, o_orderstatus AS g, o_totalprice AS x FROM orders),
   r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY k, x) AS t FROM o),
   s AS (SELECT k, g, sum(r) AS s, count(*) AS n, sum(t::DOUBLE * t - 1) AS t FROM r GROUP BY k, g),
   h AS (SELECT k, sum(s * s / n) AS ss, sum(n)::DOUBLE AS n, sum(t) AS t, count(*) - 1 AS df FROM s GROUP BY k)
-SELECT k, n::BIGINT AS n, df, (12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM h""")
+SELECT *, {chi2_upper_sql('h', 'df')} AS p FROM (SELECT k, n::BIGINT AS n, df, (12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM h)""")
 def kruskal_wallis(spark: SparkSession, d: str) -> DataFrame:
-    """T5; the chi-square p is held against golden values in the tests."""
+    """T5 with the chi-square p."""
     rows = v.read(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_orderstatus").alias("g"), F.col("o_totalprice").alias("x"))
-    return stats.kruskal(rows, ["k"], "x", "g").drop("p")
+    return stats.kruskal(rows, ["k"], "x", "g")
 
 
 COND = """c AS (SELECT l_suppkey AS unit, l_quantity AS x, l_extendedprice AS y, CASE WHEN l_returnflag = 'A' THEN 'cog+' ELSE l_returnflag END AS grp,
@@ -95,20 +96,36 @@ def condition_expansion(spark: SparkSession, d: str) -> DataFrame:
     return conditions(spark, d).groupBy("grouping", "condition").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.stddev_samp("x").alias("sd_x"), F.avg("y").alias("mean_y"))
 
 
-@query(f"WITH {COND} SELECT unit, grouping, condition, count(*) AS n, round(CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END, 6) AS r FROM e GROUP BY ALL HAVING count(*) >= 10")
+def r_and_p(r: str, n: str) -> str:
+    """SQL for the p of a correlation r of n pairs."""
+    return f"CASE WHEN {n} > 2 AND abs({r}) < 1 THEN {t_two_sided_sql(f'({r} * sqrt(({n} - 2) / (1 - {r} * {r})))', f'({n} - 2)')} WHEN {n} > 2 AND abs({r}) >= 1 THEN 0.0 END"
+
+
+@query(f"""WITH {COND}, s AS (SELECT unit, grouping, condition, count(*) AS n, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS r, avg(x) AS x_mean, stddev_samp(x) AS x_sd, avg(y) AS y_mean, stddev_samp(y) AS y_sd FROM e GROUP BY ALL HAVING count(*) >= 10),
+  p AS (SELECT *, {r_and_p('r', 'n')} AS p FROM s), b AS (SELECT *, p * count(p) OVER (PARTITION BY grouping) / row_number() OVER (PARTITION BY grouping, p IS NULL ORDER BY p) AS raw FROM p)
+SELECT unit, grouping, condition, n, round(r, 6) AS r, x_mean, x_sd, y_mean, y_sd, round(p, 6) AS p, CASE WHEN p IS NOT NULL THEN round(least(1.0, min(raw) OVER (PARTITION BY grouping, p IS NULL ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)), 5) END AS q FROM b""")
 def correlation_table(spark: SparkSession, d: str) -> DataFrame:
-    """A12, T6 Pearson, F9."""
-    out = stats.correlation(conditions(spark, d), ["unit", "grouping", "condition"], "x", "y").drop("p").filter("n >= 10")
-    return out.withColumn("r", F.round("r", 6))
+    """A12, T6 Pearson, T7: pairs, r, p, q within a grouping, means and sds; groups of ten pairs or more."""
+    out = stats.correlation(conditions(spark, d), ["unit", "grouping", "condition"], "x", "y").filter("n >= 10")
+    out = stats.bh_fdr(out, ["grouping"]).drop("reject")
+    return out.withColumns({"r": F.round("r", 6), "p": F.round("p", 6), "q": F.round("q", 5)})
+
+
+@query(f"""WITH {COND}, g AS (SELECT *, count(*) OVER (PARTITION BY unit, grouping, condition) AS k FROM e) SELECT grouping, condition, count(*) AS n, count(DISTINCT unit) AS units, avg(x) AS mean_x FROM g WHERE k >= 20 GROUP BY ALL""")
+def session_gate(spark: SparkSession, d: str) -> DataFrame:
+    """conditions of twenty rows or more in a session (here a unit) only, before they are pooled."""
+    rows = bn.min_trials(conditions(spark, d), ["unit", "grouping", "condition"], 20)
+    return rows.groupBy("grouping", "condition").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("unit").alias("units"), F.avg("x").alias("mean_x"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS unit, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS a,
-  rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2.0 AS b FROM lineitem)
-SELECT unit, count(*) AS n, round(corr(a, b), 6) AS r FROM r GROUP BY unit""")
+@query(f"""WITH r AS (SELECT l_suppkey AS unit, l_quantity AS x, l_extendedprice AS y, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2.0 AS b FROM lineitem),
+  s AS (SELECT unit, count(*) AS n, corr(a, b) AS r, avg(x) AS l_quantity_mean, stddev_samp(x) AS l_quantity_sd, avg(y) AS l_extendedprice_mean, stddev_samp(y) AS l_extendedprice_sd FROM r GROUP BY unit)
+SELECT * REPLACE (round(r, 6) AS r), round({r_and_p('r', 'n')}, 6) AS p FROM s""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     """T6 Spearman."""
     rows = v.read(spark, d, "lineitem").withColumnRenamed("l_suppkey", "unit")
-    return stats.correlation(rows, ["unit"], "l_quantity", "l_extendedprice", "spearman").drop("p").withColumn("r", F.round("r", 6))
+    return stats.correlation(rows, ["unit"], "l_quantity", "l_extendedprice", "spearman").withColumns({"r": F.round("r", 6), "p": F.round("p", 6)})
 
 
 PV = "((l_orderkey * 7919 + l_linenumber * 104729) % 100003) / 100003e0"
@@ -140,8 +157,12 @@ def _p_values(spark: SparkSession, d: str) -> DataFrame:
 SELECT bin, count(*) AS rows, avg(fr_hz - m) AS sub, avg(100 * (fr_hz - m) / (m + 0.1)) AS pct, avg(ln((fr_hz + 0.1) / (m + 0.1))) AS lr, avg(CASE WHEN sd > 0 THEN (fr_hz - m) / sd END) AS z FROM b GROUP BY bin""")
 def firing_rate_bins(spark: SparkSession, d: str) -> DataFrame:
     """A8, P23, O-W9."""
-    rows = bn.fr_bins(eq.histogram(spark, d), None, 1.0)
-    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.avg("fr_subtract").alias("sub"), F.avg("fr_percent").alias("pct"), F.avg("fr_logratio").alias("lr"), F.avg("fr_zscore").alias("z"))
+    rows = bn.fr_bins(st.event_histogram(eq.counts(spark, d), eq.HN), None, 1.0)
+    sums = rows.groupBy("bin").agg(F.sum("fr_subtract").alias("sub"), F.sum("fr_percent").alias("pct"), F.sum("fr_logratio").alias("lr"), F.avg("fr_zscore").alias("z"))
+    # Pairs of unit and trial without a spike have rate 0, differences 0 and no z.
+    n = lambda t, c: t.groupBy("session").agg(F.count(F.lit(1)).alias(c))
+    pairs = n(v.units(spark, d), "u").join(n(v.trials(spark, d), "t"), "session").agg(F.sum(F.col("u") * F.col("t")).alias("rows"))
+    return sums.join(F.broadcast(pairs)).select("bin", "rows", *((F.col(c) / F.col("rows")).alias(c) for c in ("sub", "pct", "lr")), "z")
 
 
 KERNEL = ", ".join(f"({k}, {math.exp(-0.5 * (k / 1.5) ** 2)!r})" for k in range(-6, 7))
@@ -151,7 +172,7 @@ KERNEL = ", ".join(f"({k}, {math.exp(-0.5 * (k / 1.5) ** 2)!r})" for k in range(
 SELECT a.unit_id, a.bin, any_value(a.x) AS x, sum(b.x * g) / sum(CASE WHEN b.x IS NOT NULL THEN g END) AS smooth FROM m a JOIN m b USING (unit_id) JOIN k ON a.bin - b.bin = k.k AND (a.bin < 0) = (b.bin < 0) GROUP BY a.unit_id, a.bin""")
 def smoothed_rates(spark: SparkSession, d: str) -> DataFrame:
     """O-W8: inside windows, with a NULL bin that is filled."""
-    m = eq.histogram(spark, d).groupBy("unit_id", "bin").agg(F.when(F.col("bin") != 3, F.sum("n")).alias("x"))
+    m = eq.unit_histogram(spark, d).groupBy("unit_id", "bin").agg(F.when(F.col("bin") != 3, F.sum("n")).alias("x"))
     return bn.smooth(m.withColumn("w", F.col("bin") < 0), ["unit_id", "w"], "bin", "x", 1.5).drop("w")
 
 

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from evoked.functions import labels as lb
 from evoked.operators import celltypes as ct
 from evoked.operators import reconcile as rc
+from evoked.operators import binning as bn
 from evoked.operators.binning import locality
+from evoked.functions import frequency as fq
+from evoked.functions.tails import two_sided_sql
 from evoked.plans import event_queries as eq
 from evoked.plans import views as v
-from evoked.plans.registry import query
+from evoked.plans import pipelines as pl
+from evoked.plans.registry import ORACLES, query
+from evoked.plans.stat_queries import MW_Z, r_and_p
 
 STIM = "concat('Bp', p_size % 12 + 1, '-Bp', p_size % 12 + 2, '2.0mA', p_size, '.0Hz1025µsec')"
 
@@ -122,35 +127,92 @@ def run_ledger(spark: SparkSession, d: str) -> DataFrame:
     return rc.ledger(c, o.filter("o_orderstatus <> 'P'"), o.filter("o_orderstatus = 'P'"), ["k"])
 
 
-@query("""WITH p AS (SELECT p_partkey, concat('P', p_size % 3) AS patient, concat('E', p_size % 4) AS electrode, p_size % 12 AS a, p_size % 12 + 1 AS b FROM part),
-  z(patient, zone, electrode, lo, hi) AS (VALUES ('P0','ZE','E0',0,1000000),('P0','ZE','E1',2,5),('P0','ZE','E1',9,10),('P1','ZI','E1',1,12),('P2','ZP','E2',3,4)), k AS (SELECT DISTINCT zone FROM z)
-SELECT patient, electrode, a, b, zone, inside FROM (SELECT p.patient AS patient, p.electrode AS electrode, a, b, k.zone AS zone, bool_or(coalesce(a >= lo AND b <= hi, FALSE)) AS inside FROM p CROSS JOIN k LEFT JOIN z ON z.patient = p.patient AND z.zone = k.zone AND z.electrode = p.electrode GROUP BY ALL)""")
+@query("""WITH p AS (SELECT p_partkey, concat('P', p_size % 4) AS patient, concat('E', p_size % 4) AS electrode, p_size % 12 AS a, p_size % 12 + 1 AS b FROM part),
+  z(patient, zone, electrode, lo, hi) AS (VALUES ('P0','ZE','E0',0,1000000),('P0','ZE','E1',2,5),('P0','ZE','E1',9,10),('P1','ZI','E1',1,12),('P2','ZP','E2',3,4)), k AS (SELECT DISTINCT zone FROM z),
+  i AS (SELECT p.patient AS patient, p.electrode AS electrode, a, b, k.zone AS zone, CASE WHEN bool_or(p.patient IN ('P0', 'P1', 'P2')) THEN bool_or(coalesce(a >= lo AND b <= hi, FALSE)) END AS inside FROM p CROSS JOIN k LEFT JOIN z ON z.patient = p.patient AND z.zone = k.zone AND z.electrode = p.electrode GROUP BY ALL)
+SELECT * FROM i UNION ALL SELECT patient, electrode, a, b, 'NI', NOT bool_or(inside) FROM i GROUP BY ALL""")
 def zones(spark: SparkSession, d: str) -> DataFrame:
-    """Contact ranges as numbers."""
-    p = v.read(spark, d, "part").select(F.concat(F.lit("P"), (F.col("p_size") % 3).cast("string")).alias("patient"), F.concat(F.lit("E"), (F.col("p_size") % 4).cast("string")).alias("electrode"), (F.col("p_size") % 12).alias("a"), (F.col("p_size") % 12 + 1).alias("b")).distinct()
+    """Contact ranges as numbers, NULL for patients without zones, and NI for pairs in none."""
+    p = v.read(spark, d, "part").select(F.concat(F.lit("P"), (F.col("p_size") % 4).cast("string")).alias("patient"), F.concat(F.lit("E"), (F.col("p_size") % 4).cast("string")).alias("electrode"), (F.col("p_size") % 12).alias("a"), (F.col("p_size") % 12 + 1).alias("b")).distinct()
     z = spark.createDataFrame([("P0", "ZE", "E0", "Full"), ("P0", "ZE", "E1", "2-5_9-10"), ("P1", "ZI", "E1", "1-12"), ("P2", "ZP", "E2", "3-4")], "patient string, zone string, electrode string, ranges string")
     return rc.zone_membership(p, z)
 
 
 @query(f"""WITH {v.FX}, {eq.EXTENT}, i AS (SELECT *, t_tick - lag(t_tick) OVER (PARTITION BY session, unit_id ORDER BY t_tick) AS isi FROM fx_spikes),
   s AS (SELECT session, unit_id, count(*) AS num_spikes, count(DISTINCT t_tick // 60000000) AS present, avg((isi < 100000)::INT) AS isi_violations_ratio FROM i GROUP BY ALL)
-SELECT session, unit_id, num_spikes, num_spikes * 1e6 / duration AS firing_rate, present / ((duration + 59999999) // 60000000) AS presence_ratio, isi_violations_ratio FROM s JOIN ext USING (session) WHERE num_spikes >= 20""")
+SELECT session, unit_id, num_spikes, num_spikes * 1e6 / duration AS firing_rate, present / ((duration + 59999999) // 60000000) AS presence_ratio, isi_violations_ratio FROM s JOIN ext USING (session) WHERE num_spikes >= 20 AND present / ((duration + 59999999) // 60000000) >= 0.2 AND coalesce(isi_violations_ratio, 0) <= 0.5""")
 def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
     """A26, F4."""
-    return ct.quality_metrics(v.spikes(spark, d), eq.extent(spark, d), ["session", "unit_id"], 60_000_000, 100_000).filter("num_spikes >= 20")
+    return ct.good_units(ct.quality_metrics(v.spikes(spark, d), eq.extent(spark, d), ["session", "unit_id"], 60_000_000, 100_000), 20, 0.2, 0.5)
 
 
-@query("""WITH f AS (SELECT l_orderkey % 200 AS trial, l_suppkey % 10 AS unit, l_linenumber AS bin, avg(l_quantity) AS fr FROM lineitem GROUP BY ALL), l AS (SELECT l_orderkey % 200 AS trial, l_partkey % 5 AS channel, l_linenumber AS bin, avg(l_extendedprice) AS pw FROM lineitem GROUP BY ALL)
-SELECT unit, channel, bin, count(*) AS n_trials, round(CASE WHEN var_pop(fr) > 0 AND var_pop(pw) > 0 THEN corr(fr, pw) END, 5) AS r FROM f JOIN l USING (trial, bin) WHERE bin > 2 GROUP BY ALL""")
+@query(f"""WITH f AS (SELECT l_orderkey % 200 AS trial, l_suppkey % 10 AS unit, l_linenumber AS bin, avg(l_quantity) AS fr_raw, avg(l_tax) AS fr_tax FROM lineitem WHERE l_linenumber > 2 GROUP BY ALL), l AS (SELECT l_orderkey % 200 AS trial, l_partkey % 5 AS channel, l_linenumber AS bin, avg(l_extendedprice) AS lfp_raw FROM lineitem WHERE l_linenumber > 2 GROUP BY ALL),
+  j AS (SELECT 'fr_fr_raw__lfp_lfp_raw' AS variant, unit, channel, bin, fr_raw AS x, lfp_raw AS y FROM f JOIN l USING (trial, bin) UNION ALL SELECT 'fr_fr_tax__lfp_lfp_raw', unit, channel, bin, fr_tax, lfp_raw FROM f JOIN l USING (trial, bin)),
+  s AS (SELECT variant, unit, channel, bin, count(*) AS n, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS r, avg(x) AS x_mean, stddev_samp(x) AS x_sd, avg(y) AS y_mean, stddev_samp(y) AS y_sd FROM j GROUP BY ALL HAVING count(*) >= 5),
+  p AS (SELECT *, {r_and_p('r', 'n')} AS p FROM s), b AS (SELECT *, p * count(p) OVER (PARTITION BY variant) / row_number() OVER (PARTITION BY variant, p IS NULL ORDER BY p) AS raw FROM p)
+SELECT variant, unit, channel, bin, n, round(r, 5) AS r, x_mean, x_sd, y_mean, y_sd, round(p, 5) AS p, CASE WHEN p IS NOT NULL THEN round(least(1.0, min(raw) OVER (PARTITION BY variant, p IS NULL ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)), 4) END AS q FROM b""")
 def rate_power(spark: SparkSession, d: str) -> DataFrame:
-    """Bins of two tables by trial and bin, then correlations by unit, channel and bin."""
-    from evoked.operators.stats import correlation
-
+    """Bins of two tables by trial and bin, then correlations of each variant by unit, channel and bin, with q."""
     li = v.read(spark, d, "lineitem").filter("l_linenumber > 2").withColumn("trial", F.col("l_orderkey") % 200).withColumnRenamed("l_linenumber", "bin")
-    fr = li.groupBy("trial", (F.col("l_suppkey") % 10).alias("unit"), "bin").agg(F.avg("l_quantity").alias("fr"))
-    pw = li.groupBy("trial", (F.col("l_partkey") % 5).alias("channel"), "bin").agg(F.avg("l_extendedprice").alias("pw"))
-    out = correlation(fr.join(pw, ["trial", "bin"]), ["unit", "channel", "bin"], "fr", "pw")
-    return out.select("unit", "channel", "bin", F.col("n").alias("n_trials"), F.round("r", 5).alias("r"))
+    fr = li.groupBy("trial", (F.col("l_suppkey") % 10).alias("unit"), "bin").agg(F.avg("l_quantity").alias("fr_raw"), F.avg("l_tax").alias("fr_tax"))
+    pw = li.groupBy("trial", (F.col("l_partkey") % 5).alias("channel"), "bin").agg(F.avg("l_extendedprice").alias("lfp_raw"))
+    out = pl.rate_power(fr, pw, ["trial", "bin"], ["unit", "channel", "bin"], [("fr_raw", "lfp_raw"), ("fr_tax", "lfp_raw")], "pearson").drop("reject")
+    return out.withColumns({"r": F.round("r", 5), "p": F.round("p", 5), "q": F.round("q", 4)})
+
+
+NAMES = ("va", "vtp1", "da1", "vhip2", "dtp3", "B_p", "TP_", "TPp", "TPp_", "ABC", "ABCp", "A'", "B", "xyz", "Ab", " dha12 ")
+NAMES_SQL = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in NAMES) + "]"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {NAMES_SQL}[p_partkey % 16 + 1] AS name, {NAMES_SQL}[p_size % 16 + 1] AS stim, CASE WHEN p_size % 3 = 0 THEN ' F' ELSE 'T' END AS lobe, p_size FROM part),
+  e AS (SELECT *, trim(name) AS t, trim(stim) AS u FROM n),
+  m AS (SELECT *, list_transform([t, u], lambda z: CASE WHEN regexp_matches(z, '^[vd][a-z]+[0-9]*$') THEN upper(regexp_extract(z, '^[vd]([a-z]{{1,2}})', 1)) || CASE WHEN length(regexp_extract(z, '^[vd]([a-z]+)', 1)) > 3 THEN upper(regexp_extract(z, '^[vd][a-z]{{2}}([a-z]+)', 1)) ELSE '' END || CASE WHEN z[1] = 'v' THEN '_L' ELSE '_R' END
+    WHEN regexp_matches(z, '^[A-Z]{{1,3}}(_p|p_|p|''|_)?$') THEN regexp_extract(z, '^([A-Z]{{1,2}})', 1) || CASE WHEN regexp_matches(z, '(p|p_|'')$') THEN '_L' ELSE '_R' END END) AS w FROM e)
+SELECT p_partkey, name, w[1] AS electrode, w[1] = w[2] AS same_electrode, trim(lobe) = 'F' AS same_lobe, p_size % 4 IN (1, 2) AS local_after_discharge, left({STIM}, length({STIM}) - 8) AS label FROM m""")
+def electrode_names(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised electrode names and topology flags."""
+    p = v.read(spark, d, "part").withColumn("names", F.array(*map(F.lit, NAMES)))
+    p = p.select("p_partkey", "p_size", F.get("names", (F.col("p_partkey") % 16).cast("int")).alias("name"), F.get("names", F.col("p_size") % 16).alias("stim"), F.when(F.col("p_size") % 3 == 0, " F").otherwise("T").alias("lobe"), F.expr(STIM).alias("full"))
+    flags = lb.topology(F.col("name"), F.col("stim"), F.col("lobe"), F.lit("F "), F.col("p_size") % 4, F.array(F.lit(1), F.lit(2)))
+    return p.select("p_partkey", "name", lb.electrode_name(F.col("name")).alias("electrode"), *(x.alias(c) for c, x in flags.items()), lb.short_label(F.col("full")).alias("label"))
+
+
+BANDS = fq.flat_bands({"low": (0, 20), "high": (20, 50)}, 8)
+
+
+@query(f"""WITH b(main, band, lo, hi) AS (VALUES {", ".join(f"('{m}', '{n}', {a}, {b})" for m, n, a, b in BANDS)}) SELECT main, band, count(*) AS n, avg(l_extendedprice) AS power, min(l_quantity) AS lowest FROM lineitem JOIN b ON l_quantity >= lo AND l_quantity < hi GROUP BY ALL""")
+def frequency_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-bands of the main bands, and the band of each frequency (here a quantity)."""
+    li = v.read(spark, d, "lineitem").withColumn("band", fq.band_of(F.col("l_quantity"), [(n, a, b) for _, n, a, b in BANDS])).filter("band IS NOT NULL")
+    return li.groupBy(F.split("band", "_")[0].alias("main"), "band").agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("power"), F.min("l_quantity").alias("lowest"))
+
+
+@query("""WITH s AS (SELECT l_suppkey % 50 AS session, l_returnflag AS band, array_agg(DISTINCT l_quantity ORDER BY l_quantity) AS axis FROM lineitem GROUP BY ALL)
+SELECT band, count(*) AS n_sessions, count(DISTINCT axis) AS n_axes, count(DISTINCT axis) = 1 AS same FROM s GROUP BY band""")
+def same_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Do all sessions have the same axis."""
+    li = v.read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("session"), F.col("l_returnflag").alias("band"), "l_quantity")
+    return bn.same_axis(li, "session", ["band"], "l_quantity")
+
+
+GROUPS = f"""b AS (SELECT o_orderpriority AS region, o_orderstatus AS tag, o_totalprice AS x FROM orders), o AS (SELECT * FROM b WHERE tag <> 'O'),
+  a AS (SELECT *, 1 AS one FROM o UNION ALL SELECT q.region, q.tag, b.x, 0 FROM (SELECT DISTINCT region, tag FROM o) q JOIN b ON b.region = q.region AND b.tag = 'O'),
+  r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY region, tag, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY region, tag, x) AS t FROM a WINDOW w AS (PARTITION BY region, tag ORDER BY x)),
+  s AS (SELECT region, tag, sum(one) AS n1, sum(1 - one) AS n2, sum(r * one) - sum(one) * (sum(one) + 1) / 2.0 AS u, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY ALL),
+  p AS (SELECT region, tag, n1, n2, u, {two_sided_sql(MW_Z)} AS p FROM s WHERE n1 >= 3 AND n2 >= 3), m AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p)"""
+
+
+@query(f"WITH {GROUPS} SELECT *, q <= 0.05 AS reject FROM (SELECT region, tag, n1, n2, u, p, least(1.0, min(raw) OVER (ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)) AS q FROM m)")
+def group_study(spark: SparkSession, d: str) -> DataFrame:
+    """Each tag against the reference within regions, q over all tests."""
+    o = v.read(spark, d, "orders").select(F.col("o_orderpriority").alias("region"), F.col("o_orderstatus").alias("tag"), F.col("o_totalprice").alias("x"))
+    return pl.group_study(o, "region", "tag", "x", "O")[0]
+
+
+@query(f"""SELECT r.*, i.* EXCLUDE (session, unit_id), a.* EXCLUDE (session, unit_id) FROM ({ORACLES["unit_rates"]}) r LEFT JOIN ({ORACLES["isi_features"]}) i USING (session, unit_id) LEFT JOIN ({ORACLES["autocorrelogram"]}) a USING (session, unit_id)""".replace("1e6 / (", "1e6 / ("))
+def unit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """L1: one row a unit with rates, intervals and autocorrelogram."""
+    return pl.unit_summary(v.spikes(spark, d), v.trials(spark, d), v.units(spark, d), v.dead(spark, d), eq.extent(spark, d), eq.BIN, eq.BINS)[0]
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, (o_orderkey * 37 % 1000) / 10.0::DOUBLE AS t, (o_orderkey % 1000) / 1000.0::DOUBLE AS p, (o_orderkey % 7)::DOUBLE AS pre, (o_custkey % 9)::DOUBLE AS post, o_custkey AS c FROM orders)

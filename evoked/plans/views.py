@@ -13,7 +13,7 @@ FX = """fx_events AS (SELECT event_id, user_id, event_type, value, concat('S', u
     date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 3600 AS t_tick FROM events),
   fx_spikes AS (SELECT session, electrode, user_id AS unit_id, event_id AS spike_id, t_tick FROM fx_events WHERE event_type IN ('click','view','purchase')),
   fx_trials AS (SELECT session, event_id AS stim_index, t_tick AS t0, t_tick + CAST(round(value * 10000) AS BIGINT) AS t1, (event_id // 20) % 4 AS cond
-    FROM fx_events WHERE event_type = 'signup' AND event_id % 20 = 0),
+    FROM fx_events WHERE event_type = 'signup'),
   fx_dead AS (SELECT session, electrode, t_tick AS s, t_tick + CAST(round(value * 20000) AS BIGINT) AS e FROM fx_events WHERE event_type = 'error'),
   fx_units AS (SELECT DISTINCT session, electrode, unit_id FROM fx_spikes),
   d1 AS (SELECT *, max(e) OVER (PARTITION BY session, electrode ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_dead WHERE e > s),
@@ -37,7 +37,7 @@ def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).filter("event_type = 'signup' AND event_id % 20 = 0")
+    rows = events(spark, sf_dir).filter("event_type = 'signup'")
     return rows.select("session", F.col("event_id").alias("stim_index"), F.col("t_tick").alias("t0"), (F.col("t_tick") + F.round(F.col("value") * 10000).cast("long")).alias("t1"), F.expr("(event_id div 20) % 4").alias("cond"))
 
 

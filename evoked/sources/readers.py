@@ -16,6 +16,32 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")})
 
 
+#: Names of the label column in a header.
+LABEL_COLUMNS = ("label_stim", "label", "stim", "stimulation", "name")
+
+
+def is_header(first: Column) -> Column:
+    return F.lower(F.trim(first)).isin(*LABEL_COLUMNS)
+
+
+def first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(value, file, first): lines that aren't blank, and whether a line is the first of its file.
+
+    Lines are read in splits; that of offset 0 begins with the file's first line.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    lines = lines.filter(F.trim("value") != "")
+    first = lines.filter("__start = 0").groupBy("file").agg(F.min("__at").alias("__first"))
+    return lines.join(first, "file").select("value", "file", (F.col("__at") == F.col("__first")).alias("first"))
+
+
+def existing(spark: SparkSession, glob: str) -> list[str]:
+    """Files that a glob names, by the Hadoop file system of the path; none is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [s.getPath().toString() for s in found or []]
+
+
 def _fields(line: Column, sep: str) -> Column:
     return F.transform(F.split(line, sep), lambda x: F.trim(x))
 
@@ -23,12 +49,13 @@ def _fields(line: Column, sep: str) -> Column:
 def stim_events(spark: SparkSession, paths: str | list[str], sep: str = "\t") -> DataFrame:
     """label_stim, t_start, duration, lobe, t_end, part: 3 or 4 columns, with or without a header.
 
-    A line whose second field is no number is a header if it is the label line, else an error.
+    A line without numbers is a header if it is the first of its file and its first field names the label column; any other
+    such line is an error.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("part")).filter(F.trim("value") != "")
+    lines = first_lines(spark, paths).withColumnRenamed("file", "part")
     f = _fields(F.col("value"), sep)
-    rows = lines.select(F.get(f, F.lit(0)).alias("label_stim"), number(F.get(f, F.lit(1))).alias("t_start"), number(F.get(f, F.lit(2))).alias("duration"), F.get(f, F.lit(3)).alias("lobe"), "part", "value")
-    header = F.col("t_start").isNull() & F.lower("value").rlike("start|label|stim")
+    rows = lines.select(F.get(f, F.lit(0)).alias("label_stim"), number(F.get(f, F.lit(1))).alias("t_start"), number(F.get(f, F.lit(2))).alias("duration"), F.get(f, F.lit(3)).alias("lobe"), "part", "value", "first")
+    header = F.col("first") & F.col("t_start").isNull() & is_header(F.col("label_stim"))
     bad = F.col("t_start").isNull() | F.col("duration").isNull()
     rows = rows.filter(~header).withColumn("t_start", F.when(bad, F.raise_error(F.concat(F.lit("no event: "), "value"))).otherwise(F.col("t_start")))
     return rows.select("label_stim", "t_start", "duration", "lobe", (F.col("t_start") + F.col("duration")).alias("t_end"), "part")
@@ -66,16 +93,24 @@ def annotated_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def corrected_events(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated corrected events: t_end filled from t_start + duration, default part columns; rows without a time are an error."""
-    schema = "label_stim string, t_start double, duration double, t_end double, correction_start double, macro_part string, macro_part_index int, macro_event_index int"
-    rows = spark.read.csv(path, schema=schema, sep="\t", header=True, enforceSchema=True)
+    """Tab-separated corrected events with or without a header: t_end filled from t_start + duration, default part columns.
+
+    Only a first line that names the label column is a header; rows without a time are an error.
+    """
+    f = lambda i: F.nullif(F.get(_fields(F.col("value"), "\t"), F.lit(i)), F.lit(""))
+    lines = first_lines(spark, path).filter(~(F.col("first") & is_header(f(0))))
+    rows = lines.select(f(0).alias("label_stim"), *(number(f(i)).alias(c) for i, c in enumerate(("t_start", "duration", "t_end", "correction_start"), 1)), f(5).alias("macro_part"), f(6).try_cast("int").alias("macro_part_index"), f(7).try_cast("int").alias("macro_event_index"))
     time = F.when(F.col("t_start").isNull(), F.raise_error(F.lit("an event has no time"))).otherwise(F.col("t_start"))
     return rows.withColumns({"t_start": time, "t_end": F.coalesce("t_end", F.col("t_start") + F.col("duration")), "macro_part": F.coalesce("macro_part", F.lit("session")), "macro_part_index": F.coalesce("macro_part_index", F.lit(0))})
 
 
 def dead_intervals(spark: SparkSession, glob: str, rate: float) -> DataFrame:
     """electrode (from the file name), s and e in seconds, from tab files of sample numbers; empty where no file is."""
-    rows = spark.read.csv(glob, schema="start_sample long, end_sample long", sep="\t")
+    schema = "start_sample long, end_sample long"
+    files = existing(spark, glob)
+    if not files:
+        return spark.createDataFrame([], "electrode string, s double, e double")
+    rows = spark.read.csv(files, schema=schema, sep="\t")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/_]+)\.[^.]*$", 1)
     return rows.select(name.alias("electrode"), (F.col("start_sample") / rate).alias("s"), (F.col("end_sample") / rate).alias("e"))
 
@@ -119,6 +154,14 @@ def stored_or_computed(keys: list[str], stored: DataFrame, computed: DataFrame,
     return computed.withColumnRenamed(value, "__c").join(stored.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, "__c")).drop("__c")
 
 
+def read_tensor(spark: SparkSession, path: str, filters: dict[str, list] | None = None) -> DataFrame:
+    """A feature tensor back from its folders; filters on partition columns prune folders."""
+    rows = spark.read.parquet(path)
+    for column, values in (filters or {}).items():
+        rows = rows.filter(F.col(column).isin(values))
+    return rows
+
+
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     df.write.mode("overwrite").csv(path, header=True, compression="gzip" if gzip else "none")
 

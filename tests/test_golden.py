@@ -107,7 +107,7 @@ def test_condition_classes(spark):
 
 
 def test_names(spark):
-    for raw_name, want in {"va1": "A_L", "dtp2": "TP_R", "A": "A_R", "B'": "B_L", "TPp": "TP_L", "TP_": "TP_L", "ABCp": "AB_L"}.items():
+    for raw_name, want in {"va1": "A_L", "dtp2": "TP_R", "A": "A_R", "B'": "B_L", "TPp": "TP_L", "TP_": "TP_R", "ABCp": "AB_L", "vtp1": "TP_L", "da1": "A_R", "vhip2": "HI_L", "B_p": "B_L", "x9": None}.items():
         assert one(spark, lb.electrode_name(F.lit(raw_name))) == [want], raw_name
     for label in ("3", "stim3", "stimic3"):
         assert one(spark, lb.session_label(F.lit(label))) == ["stimic3"]
