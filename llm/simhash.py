@@ -506,11 +506,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limi
     found = components(verified(met.filter("node <> least").select("node", "least").distinct()))
     more = opened(found)
     for turn in range(ROUNDS):
-        if more.isEmpty():
-            break
         pivots = more.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp")).alias("pivot"))
         pairs = more.join(pivots, "key").filter(F.col("comp") != F.col("pivot.comp")).groupBy("node").agg(F.min(F.struct("pivot.h", "pivot.node")).alias("pivot"))
-        new = verified(pairs.select("node", F.col("pivot.node").alias("least")))
+        new = cut(verified(pairs.select("node", F.col("pivot.node").alias("least"))))
+        if new.isEmpty():
+            break
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
         more = opened(found)
     more = cut(more.join(near, "node"))
