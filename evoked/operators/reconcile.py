@@ -98,12 +98,19 @@ def pending(candidates: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
     return candidates.join(done, keys, "left_anti")
 
 
-def ledger(candidates: DataFrame, sources: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a candidate: status ok, reused_existing, skipped_no_source, and the rows seen."""
+def ledger(candidates: DataFrame, sources: DataFrame, outputs: DataFrame, keys: list[str], errors: DataFrame | None = None) -> DataFrame:
+    """One row a candidate: status ok, reused_existing, skipped_no_source or error, and the rows seen.
+
+    errors (keys, message) are those of the run; the least message of a key is kept, and message is NULL without one.
+    """
     s = sources.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_source"))
     o = outputs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_output"))
     out = candidates.select(*keys).distinct().join(s, keys, "left").join(o, keys, "left").fillna(0, ["n_source", "n_output"])
-    return out.withColumn("status", F.when(F.col("n_output") > 0, "reused_existing").when(F.col("n_source") == 0, "skipped_no_source").otherwise("ok"))
+    status = F.when(F.col("n_output") > 0, "reused_existing").when(F.col("n_source") == 0, "skipped_no_source")
+    if errors is None:
+        return out.withColumn("status", status.otherwise("ok"))
+    out = out.join(errors.groupBy(*keys).agg(F.min("message").alias("message")), keys, "left")
+    return out.withColumn("status", F.when(F.col("message").isNotNull(), "error").otherwise(status.otherwise("ok")))
 
 
 def zone_membership(pairs: DataFrame, zones: DataFrame) -> DataFrame:
@@ -133,3 +140,37 @@ def resolve_name(wanted: DataFrame, known: DataFrame, spellings: list[Column]) -
     hits = tries.join(known.select("spelling").distinct(), "spelling")
     best = hits.groupBy("name").agg(F.min_by("spelling", "priority").alias("resolved"))
     return wanted.join(best, "name", "left")
+
+
+#: Suffixes of macro names by side, in order of preference.
+SUFFIXES = {"L": ["p", "'", "_p"], "R": ["", "_"]}
+
+
+def macro_electrodes(wanted: DataFrame, contacts: DataFrame) -> DataFrame:
+    """wanted (patient, name) with macro, contacts, x, y and z of the macro electrode behind a normalised name.
+
+    contacts: patient, spelling, model, tetrodes, channel, x, y, z, place (order in the list). A spelling is the core and a suffix of
+    the side; if there is none, one capital may stand between the two, and the first in the list is taken. The model and the number of
+    tetrodes give the pair of contacts, without which all are NULL. Coordinates need exactly one row of the pair. Each spelling is
+    keyed by the cores that it can stand for, so names meet by equality.
+    """
+    known = contacts.groupBy("patient", "spelling").agg(
+        F.min("place").alias("place"),
+        F.when((F.min("model") == F.max("model")) & (F.count("model") == F.count(F.lit(1))), F.min("model")).alias("model"),
+        F.when((F.min("tetrodes") == F.max("tetrodes")) & (F.count("tetrodes") == F.count(F.lit(1))), F.min("tetrodes")).alias("tetrodes"),
+    )
+    pair = F.when(F.col("model") == "hybride", "1-2").when((F.col("model") == "hybride latérale") & (F.col("tetrodes") == 2), "8-9").when((F.col("model") == "hybride latérale") & (F.col("tetrodes") == 3), "5-6")
+    suffix = F.regexp_extract("spelling", "(_p|p|'|_)?$", 1)
+    known = known.withColumns({"pair": pair, "suffix": suffix}).withColumn("core", F.expr("substring(spelling, 1, length(spelling) - length(suffix))"))
+    side = F.when(F.col("suffix").isin(SUFFIXES["L"]), "L").otherwise("R")
+    rank = F.coalesce(*(F.when(F.col("suffix") == x, F.lit(i)) for of in SUFFIXES.values() for i, x in enumerate(of)))
+    exact = F.struct(F.col("core").alias("core"), rank.alias("rank"))
+    wild = F.struct(F.expr("substring(core, 1, length(core) - 1)").alias("core"), F.lit(9).alias("rank"))
+    keys = F.when(F.col("core").rlike("[A-Z]$"), F.array(exact, wild)).otherwise(F.array(exact))
+    known = known.select("patient", side.alias("side"), F.explode(keys).alias("k"), F.struct("spelling", "pair").alias("found"), "place").select("patient", "side", "k.*", "found", "place")
+    names = wanted.select("patient", "name").distinct().withColumns({"core": F.expr("substring(name, 1, length(name) - 2)"), "side": F.when(F.col("name").endswith("L"), "L").otherwise("R")})
+    best = names.join(known, ["patient", "side", "core"]).groupBy("patient", "name").agg(F.min_by("found", F.struct("rank", "place")).alias("found"))
+    best = best.filter("found.pair IS NOT NULL").select("patient", "name", F.col("found.spelling").alias("macro"), F.col("found.pair").alias("contacts"))
+    at = contacts.select("patient", F.col("spelling").alias("macro"), F.col("channel").alias("contacts"), "x", "y", "z")
+    one = at.groupBy("patient", "macro", "contacts").agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in "xyz")).filter("n = 1").drop("n")
+    return wanted.join(best.join(one, ["patient", "macro", "contacts"], "left"), ["patient", "name"], "left")

@@ -251,6 +251,60 @@ def waveform_features(df: DataFrame, column: str, fs: float) -> DataFrame:
     return rows.select("*", "__f.*").drop("__f")
 
 
+def standardise(df: DataFrame, column: str, fs: float, before_ms: float, from_ms: float = -1.0, to_ms: float = 2.0, n: int = 121, max_outside: float = 0.1) -> DataFrame:
+    """Adds w_std, w_norm (largest magnitude 1), flipped, trough_ms, outside (share of held points) and ok.
+
+    Samples that aren't finite are interpolated between finite ones, edges held; the median of the first 0.2 ms goes; the
+    largest deflection becomes negative and its trough 0 ms of n points. NULL, flat and short arrays, and those of fewer than five
+    finite samples, give zeros, outside 1 and not ok. More than max_outside held points aren't ok either.
+    """
+    first, step, base = from_ms * fs / 1000, (to_ms - from_ms) * fs / 1000 / (n - 1), max(3, int(0.2 * fs / 1000))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    def line(w: Column, i: Column, lo: Column, hi: Column) -> Column:
+        a, b = F.get(w, lo), F.get(w, hi)
+        return F.coalesce(a + (i - lo) * (b - a) / (hi - lo), a, b)
+
+    def filled(w: Column) -> Column:
+        place = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: finite(F.get(w, i)))
+        before = lambda g, i: F.array_max(F.filter(g, lambda k: k < i))
+        after = lambda g, i: F.array_min(F.filter(g, lambda k: k > i))
+        missing = lambda g, i: let(before(g, i), lambda lo: let(after(g, i), lambda hi: line(w, i, lo, hi)))
+        return let(place, lambda g: F.when(F.size(g) >= 5, F.transform(w, lambda x, i: F.when(finite(x), x).otherwise(missing(g, i)))))
+
+    def median(y: Column) -> Column:
+        size = F.least(F.lit(base), F.size(y))
+        return let(F.array_sort(F.slice(y, F.lit(1), size)), lambda b: (F.get(b, F.floor((F.size(b) - 1) / 2).cast("int")) + F.get(b, F.floor(F.size(b) / 2).cast("int"))) / 2)
+
+    def value(s: Column, place: Column) -> Column:
+        held = F.greatest(F.lit(0.0), F.least(place, F.size(s) - 1.0))
+        left = lambda h: F.floor(h).cast("int")
+        return let(held, lambda h: F.get(s, left(h)) + (h - left(h)) * (F.get(s, F.least(left(h) + 1, F.size(s) - 1)) - F.get(s, left(h))))
+
+    def result(s: Column, flipped: Column, at: Column, places: Column, w: Column, top: Column) -> Column:
+        outside = F.size(F.filter(places, lambda p: (p < 0) | (p > F.size(s) - 1))) / n
+        norm = F.transform(w, lambda x: F.when(top > 1e-12, x / top).otherwise(0.0))
+        return F.struct(w.alias("w_std"), norm.alias("w_norm"), flipped.alias("flipped"), (at * 1000.0 / fs - before_ms).alias("trough_ms"), outside.alias("outside"), ((top > 1e-12) & (outside <= max_outside)).alias("ok"))
+
+    def of_signed(s: Column, flipped: Column) -> Column:
+        at = (F.array_position(s, F.array_min(s)) - 1).cast("int")
+        places = lambda a: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: a + F.lit(first) + j * step)
+        top = lambda w: F.array_max(F.transform(w, F.abs))
+        return let(at, lambda a: let(places(a), lambda q: let(F.transform(q, lambda p: value(s, p)), lambda w: let(top(w), lambda t: result(s, flipped, a, q, w, t)))))
+
+    def of_flat(c: Column) -> Column:
+        up = F.abs(F.array_max(c)) > F.abs(F.array_min(c))
+        signed = lambda f: F.transform(c, lambda x: F.when(f, -x).otherwise(x))
+        some = F.greatest(F.abs(F.array_max(c)), F.abs(F.array_min(c))) > 1e-12
+        return F.when(some, let(up, lambda f: let(signed(f), lambda s: of_signed(s, f))))
+
+    flat = lambda y: let(median(y), lambda m: F.transform(y, lambda x: x - m))
+    zeros = F.array_repeat(F.lit(0.0), n)
+    none = F.struct(zeros.alias("w_std"), zeros.alias("w_norm"), F.lit(False).alias("flipped"), F.lit(None).cast("double").alias("trough_ms"), F.lit(1.0).alias("outside"), F.lit(False).alias("ok"))
+    rows = df.withColumn("__w", F.coalesce(let(filled(F.col(column)), lambda y: let(flat(y), of_flat)), none))
+    return rows.select("*", "__w.*").drop("__w")
+
+
 def resample(df: DataFrame, keys: list[str], column: str, origin: Column, step: float, n: int) -> DataFrame:
     """(keys, i, value, outside): linear interpolation at positions origin + i * step of the array, edges held."""
     grid = df.select(*keys, F.col(column).alias("a"), origin.alias("o"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))

@@ -90,6 +90,24 @@ def aligned_waveforms(spark: SparkSession, d: str) -> DataFrame:
     return sg.resample(rows, ["vec_id"], "w", F.col("trough_idx") - 8.0, 0.5, 33)
 
 
+@query("""WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  n AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 17 <> 0 THEN x END AS x FROM l),
+  o AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY vec_id ORDER BY i) AS lo, min(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY vec_id ORDER BY i DESC) AS hi FROM n),
+  u AS (SELECT o.vec_id, o.i, CASE WHEN o.x IS NOT NULL THEN o.x ELSE coalesce(a.x + (o.i - o.lo) * (b.x - a.x) / (o.hi - o.lo), a.x, b.x) END AS y FROM o LEFT JOIN n a ON a.vec_id = o.vec_id AND a.i = o.lo LEFT JOIN n b ON b.vec_id = o.vec_id AND b.i = o.hi),
+  y AS (SELECT vec_id, list(y ORDER BY i) AS y FROM u GROUP BY 1), c AS (SELECT vec_id, list_transform(y, lambda x: x - m) AS c FROM (SELECT *, (list_sort(y[1:4])[2] + list_sort(y[1:4])[3]) / 2 AS m FROM y)),
+  f AS (SELECT vec_id, list_max(c) > -list_min(c) AS flipped, CASE WHEN list_max(c) > -list_min(c) THEN list_transform(c, lambda x: -x) ELSE c END AS s FROM c),
+  g AS (SELECT *, list_position(s, list_min(s)) - 1 - 20 + j * 0.5 AS place FROM f, (SELECT unnest(range(121)) AS j)),
+  h AS (SELECT *, greatest(0.0, least(place, len(s) - 1.0)) AS held FROM g),
+  v AS (SELECT vec_id, flipped, list_position(s, list_min(s)) - 1 AS low, j, place <> held AS off, s[floor(held)::INT + 1] + (held - floor(held)) * (s[least(floor(held)::INT + 2, len(s))] - s[floor(held)::INT + 1]) AS value FROM h)
+SELECT vec_id, flipped, low * 1000.0 / 20000 - 1 AS trough_ms, j AS i, value, value / max(abs(value)) OVER w AS norm, avg(off::INT) OVER w AS outside, avg(off::INT) OVER w <= 0.1 AS ok FROM v WINDOW w AS (PARTITION BY vec_id)""")
+def standard_waveforms(spark: SparkSession, d: str) -> DataFrame:
+    """D5 in full, with samples that aren't finite: interpolation, baseline, sign, alignment, amplitude, ok flag."""
+    gaps = F.transform("w", lambda x, i: F.when((F.col("vec_id") + i) % 17 == 0, float("nan")).otherwise(x))
+    rows = sg.standardise(waves(spark, d).select("vec_id", gaps.alias("w")), "w", 20000.0, 1.0)
+    points = F.posexplode(F.zip_with("w_std", "w_norm", lambda a, b: F.struct(a.alias("value"), b.alias("norm")))).alias("i", "p")
+    return rows.select("vec_id", "flipped", "trough_ms", "outside", "ok", points).select("vec_id", "flipped", "trough_ms", "outside", "ok", "i", "p.*")
+
+
 @query("""WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z FROM embeddings),
   c AS (SELECT label, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM p) WHERE r = 1),
   d AS (SELECT p.vec_id, c.label AS other, sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z)) AS dist, p.label = c.label AS same, p.label % 3 = c.label % 3 AS lobe, p.vec_id % 2 AS a, c.label % 2 AS b FROM p CROSS JOIN c)
@@ -201,8 +219,9 @@ def waveform_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def waveform_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of the neighbour graph."""
-    return ct.graph_communities(ct.neighbour_graph(waves(spark, d), "vec_id", "w", 15), 4)
+    """Communities of the neighbour graph of normalised waveforms that are ok."""
+    rows = sg.standardise(waves(spark, d), "w", 20000.0, 1.0).filter("ok")
+    return ct.graph_communities(ct.neighbour_graph(rows, "vec_id", "w_norm", 15), 4)
 
 
 @query(f"WITH {WELCH} SELECT label AS channel, freq_hz, avg(psd) AS mean, stddev_samp(psd) AS sd, count(*) AS n, stddev_samp(psd) / sqrt(count(*)) AS sem FROM (SELECT vec_id % 4 AS session, label, freq_hz, avg(psd) AS psd FROM p JOIN embeddings USING (vec_id) WHERE freq_hz BETWEEN 2 AND 24 GROUP BY ALL) GROUP BY label, freq_hz")

@@ -119,12 +119,14 @@ def session_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT DISTINCT c_custkey AS k FROM customer), s AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), o AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
-SELECT k, coalesce(s.n, 0) AS n_source, coalesce(o.n, 0) AS n_output, CASE WHEN o.n > 0 THEN 'reused_existing' WHEN s.n IS NULL THEN 'skipped_no_source' ELSE 'ok' END AS status FROM c LEFT JOIN s USING (k) LEFT JOIN o USING (k)""")
+SELECT k, coalesce(s.n, 0) AS n_source, coalesce(o.n, 0) AS n_output, CASE WHEN e.message IS NOT NULL THEN 'error' WHEN o.n > 0 THEN 'reused_existing' WHEN s.n IS NULL THEN 'skipped_no_source' ELSE 'ok' END AS status, e.message AS message
+FROM c LEFT JOIN s USING (k) LEFT JOIN o USING (k) LEFT JOIN (SELECT o_custkey AS k, min(concat('bad order ', o_orderkey)) AS message FROM orders WHERE o_totalprice > 490000 GROUP BY 1) e USING (k)""")
 def run_ledger(spark: SparkSession, d: str) -> DataFrame:
     """S16, S17."""
     o = v.read(spark, d, "orders").withColumnRenamed("o_custkey", "k")
     c = v.read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return rc.ledger(c, o.filter("o_orderstatus <> 'P'"), o.filter("o_orderstatus = 'P'"), ["k"])
+    bad = o.filter("o_totalprice > 490000").select("k", F.concat(F.lit("bad order "), F.col("o_orderkey").cast("string")).alias("message"))
+    return rc.ledger(c, o.filter("o_orderstatus <> 'P'"), o.filter("o_orderstatus = 'P'"), ["k"], bad)
 
 
 @query("""WITH p AS (SELECT p_partkey, concat('P', p_size % 4) AS patient, concat('E', p_size % 4) AS electrode, p_size % 12 AS a, p_size % 12 + 1 AS b FROM part),
@@ -262,3 +264,32 @@ def resolved_names(spark: SparkSession, d: str) -> DataFrame:
     known = n.select(F.concat(F.lit("E"), text(F.col("n_nationkey") * 2)).alias("spelling")).union(n.select(F.concat(F.lit("F"), text(F.col("n_nationkey") % 4)))).union(spark.createDataFrame([("G1",)], "spelling string"))
     s = [F.concat(F.lit("E"), text(F.col("p_size"))), F.concat(F.lit("F"), text(F.col("p_size") % 9)), F.concat(F.lit("G"), text(F.col("p_size") % 5))]
     return rc.resolve_name(p, known, s).select("name", "resolved")
+
+
+LETTER = "substring('ABCDEF', CAST({} AS INT) + 1, 1)"
+KNOWN = [
+    "concat('P', c_custkey % 20) AS patient",
+    f"concat({LETTER.format('floor(c_custkey / 20) % 5')}, {LETTER.format('floor(c_custkey / 100) % 2')}, CASE WHEN c_custkey % 3 = 0 THEN {LETTER.format('c_custkey % 4')} ELSE '' END, CASE c_custkey % 6 WHEN 0 THEN 'p' WHEN 1 THEN chr(39) WHEN 2 THEN '_p' WHEN 3 THEN '' WHEN 4 THEN '_' ELSE 'p' END) AS spelling",
+    "CASE WHEN c_custkey % 20 < 9 THEN 'hybride' WHEN c_custkey % 20 < 17 THEN 'hybride latérale' ELSE 'other' END AS model",
+    "CASE WHEN c_custkey % 20 < 15 THEN 2 ELSE 3 END AS tetrodes",
+    "CASE WHEN c_custkey % 20 < 9 THEN '1-2' WHEN c_custkey % 7 < 4 THEN '8-9' ELSE '5-6' END AS channel",
+    *(f"CAST(c_custkey * {k} AS DOUBLE) AS {c}" for c, k in {"x": 2, "y": 3, "z": -1}.items()),
+    "c_custkey AS place",
+]
+WANTED = [
+    "concat('P', p_partkey % 20) AS patient",
+    f"concat({LETTER.format('floor(p_partkey / 20) % 6')}, {LETTER.format('floor(p_partkey / 120) % 2')}, CASE WHEN p_partkey % 3 = 0 THEN '_L' ELSE '_R' END) AS name",
+]
+
+
+@query(f"""WITH k AS (SELECT {', '.join(KNOWN)} FROM customer), w AS (SELECT DISTINCT {', '.join(WANTED)} FROM part), b AS (SELECT *, left(name, length(name) - 2) AS core, right(name, 1) = 'L' AS l FROM w),
+  u AS (SELECT patient, spelling, min(place) AS place, CASE WHEN min(model) <> max(model) THEN NULL WHEN min(model) = 'hybride' THEN '1-2' WHEN min(model) = 'hybride latérale' AND min(tetrodes) = 2 AND max(tetrodes) = 2 THEN '8-9' WHEN min(model) = 'hybride latérale' AND min(tetrodes) = 3 AND max(tetrodes) = 3 THEN '5-6' END AS contacts FROM k GROUP BY ALL),
+  m AS (SELECT b.patient, name, u.spelling, contacts FROM b JOIN u ON b.patient = u.patient AND regexp_full_match(u.spelling, concat(core, '[A-Z]?', CASE WHEN l THEN '(p|_p|[^A-Za-z_])' ELSE '_?' END))
+    QUALIFY row_number() OVER (PARTITION BY b.patient, name ORDER BY CASE u.spelling[length(core) + 1:] WHEN 'p' THEN 0 WHEN chr(39) THEN 1 WHEN '_p' THEN 2 WHEN '' THEN 0 WHEN '_' THEN 1 ELSE 9 END, u.place) = 1),
+  c AS (SELECT patient, spelling, channel, max(x) AS x, max(y) AS y, max(z) AS z FROM k GROUP BY ALL HAVING count(*) = 1)
+SELECT w.patient, w.name, m.spelling AS macro, m.contacts, c.x, c.y, c.z FROM w LEFT JOIN m ON m.patient = w.patient AND m.name = w.name AND m.contacts IS NOT NULL LEFT JOIN c ON c.patient = m.patient AND c.spelling = m.spelling AND c.channel = m.contacts""")
+def macro_electrodes(spark: SparkSession, d: str) -> DataFrame:
+    """P20: exact spellings, one wildcard letter, contact pair, the only row of coordinates."""
+    known = v.read(spark, d, "customer").selectExpr(*KNOWN)
+    wanted = v.read(spark, d, "part").selectExpr(*WANTED).distinct()
+    return rc.macro_electrodes(wanted, known)

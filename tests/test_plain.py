@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evoked.functions import frequency as fq
+from evoked.operators import reconcile as rc
+from evoked.operators import signal as sg
 from evoked.operators import stats
 from evoked.plans import all_queries
 from evoked.sources import readers as rd
@@ -111,3 +113,50 @@ def test_tensor_round_trip(spark, tmp_path):
     rd.write_tensor(df, str(tmp_path / "t"), ["session", "band"])
     back = rd.read_tensor(spark, str(tmp_path / "t"), {"band": ["low"]})
     assert sorted(tuple(r) for r in back.select(*df.columns).collect()) == [("s1", "low", 1, 0.5), ("s2", "low", 2, 0.1)]
+
+
+def plain_waveform(w):
+    """(values, flipped, trough ms, outside share) at 20 kHz, 1 ms before the event, or None."""
+    x = np.array([np.nan if v is None else v for v in w or []], float)
+    good = np.isfinite(x)
+    if good.sum() < 5:
+        return None
+    y = np.interp(np.arange(len(x)), np.flatnonzero(good), x[good])
+    y = y - np.median(y[:4])
+    if np.abs(y).max() <= 1e-12:
+        return None
+    flipped = y.max() > -y.min()
+    y = -y if flipped else y
+    low = int(y.argmin())
+    place = low + np.linspace(-20, 40, 121)
+    return np.interp(place, np.arange(len(y)), y), flipped, low / 20 - 1, np.mean((place < 0) | (place > len(y) - 1))
+
+
+def test_standard_waveforms(spark):
+    rng = np.random.default_rng(5)
+    waves = [list(map(float, rng.normal(size=90))) for _ in range(12)]
+    for w in waves[:6]:
+        w[25] = 9.0 if w[0] > 0 else -9.0
+    waves[0][0], waves[1][-1], waves[2][30], waves[3][10:14] = math.nan, math.inf, None, [math.nan] * 4
+    waves += [None, [], [1.0] * 4, [2.0] * 40, [math.nan] * 40, [math.nan] * 36 + [1.0, 2.0, 0.5, 3.0], [1.0, 2.0, 0.5, 3.0, -1.0]]
+    df = spark.createDataFrame(list(enumerate(waves)), "k int, w array<double>")
+    rows = {r["k"]: r for r in sg.standardise(df, "w", 20000.0, 1.0).collect()}
+    assert len(rows) == len(waves)
+    for k, w in enumerate(waves):
+        r, want = rows[k], plain_waveform(w)
+        if want is None:
+            assert (set(r["w_std"]), set(r["w_norm"]), r["flipped"], r["trough_ms"], r["outside"], r["ok"]) == ({0.0}, {0.0}, False, None, 1.0, False)
+            continue
+        assert np.allclose(r["w_std"], want[0]) and np.allclose(r["w_norm"], want[0] / np.abs(want[0]).max())
+        assert r["flipped"] == want[1] and math.isclose(r["trough_ms"], want[2], abs_tol=1e-9) and math.isclose(r["outside"], want[3]) and r["ok"] == (want[3] <= 0.1)
+    assert any(r["ok"] for r in rows.values())
+
+
+def test_macro_electrodes(spark):
+    schema = "patient string, spelling string, model string, tetrodes int, channel string, x double, y double, z double, place long"
+    rows = [("P", "TPp", "hybride", 2, "1-2"), ("P", "TP_p", "hybride", 2, "1-2"), ("P", "TPB", "hybride latérale", 3, "5-6"), ("P", "TPA_", "hybride latérale", 2, "8-9"), ("P", "HI'", "hybride", 2, "1-2"), ("P", "HI'", "hybride", 2, "1-2"), ("P", "OF", "plain", 2, "1-2"), ("P", "AM", "hybride", 2, "3-4")]
+    contacts = spark.createDataFrame([(*r, i + 0.5, i + 1.0, i + 2.0, i) for i, r in enumerate(rows)], schema)
+    wanted = spark.createDataFrame([("P", n) for n in ("TP_L", "TP_R", "HI_L", "HI_R", "OF_R", "AM_R")] + [("Q", "TP_L")], "patient string, name string")
+    got = {(r["patient"], r["name"]): (r["macro"], r["contacts"], r["x"]) for r in rc.macro_electrodes(wanted, contacts).collect()}
+    none = (None, None, None)
+    assert got == {("P", "TP_L"): ("TPp", "1-2", 0.5), ("P", "TP_R"): ("TPB", "5-6", 2.5), ("P", "HI_L"): ("HI'", "1-2", None), ("P", "HI_R"): none, ("P", "OF_R"): none, ("P", "AM_R"): ("AM", "1-2", None), ("Q", "TP_L"): none}
