@@ -17,7 +17,7 @@ ORDER = 5
 SHARE, BEST = 0.05, 3
 FEATURES = ("mean", "mixture", "best", "log_words")
 #: Characters that are worked on at once; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _symbols: list[np.ndarray] = []
 
 
@@ -141,29 +141,38 @@ class Model:
     scale: np.ndarray = None
     weights: np.ndarray = None
 
-    def table(self) -> np.ndarray:
-        """The ratio of every gram."""
-        out = np.repeat(self.history, SYMBOLS)
-        out[self.gram] = self.ratio
-        return out
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, ratio): the ratio of gram g is ratio[place[g // SYMBOLS] + g % SYMBOLS].
+
+        Only histories that were seen have a row of their own; the others share the first, of zeros. Ratios are rounded to
+        multiples of 2**-16, so sums over words are exact and don't depend on the texts before.
+        """
+        seen = np.unique(self.gram // SYMBOLS)
+        place = np.zeros(len(self.history), np.int32)
+        place[seen] = np.arange(1, len(seen) + 1) * SYMBOLS
+        ratio = np.repeat(np.r_[np.float32(0), self.history[seen]], SYMBOLS)
+        ratio[place[self.gram // SYMBOLS] + self.gram % SYMBOLS] = self.ratio
+        return place, np.round(ratio * 65536) / 65536
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = np.column_stack([np.ones(len(features)), (features - self.mean) / self.scale]) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def features(texts: list[str], table: np.ndarray) -> np.ndarray:
+def features(texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """For each text, length-normalised log-likelihood ratios a word, toxic over ordinary, and the log of its number of words.
 
     The ratios: of all its words; of a mixture in which SHARE of the words are toxic; of its BEST likeliest words. Zeros for a
     text of no letters.
     """
     out = np.zeros((len(texts), len(FEATURES)))
+    place, ratio = table
     for i, some in chunks(texts):
         g = grams_of(some)
         if not len(g.start):
             continue
-        sums = np.r_[0.0, np.cumsum(np.where(g.code >= 0, table[np.maximum(g.code, 0)], 0), dtype=np.float64)]
+        known = np.maximum(g.code, 0)
+        sums = np.r_[0.0, np.cumsum(np.where(g.code >= 0, ratio[place[known >> 5] + (known & 31)], 0), dtype=np.float64)]
         word = sums[g.stop] - sums[g.start]
         n = np.bincount(g.word_doc, minlength=len(some))
         has = np.flatnonzero(n)

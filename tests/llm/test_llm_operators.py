@@ -377,6 +377,22 @@ def test_kneser_ney(spark):
         assert abs(r - np.log(p(1, g) / p(0, g))) < 1e-4
 
 
+def test_ratio_table():
+    """The compact table holds each gram's ratio and each history's; equal texts have equal features wherever they stand."""
+    rng = np.random.default_rng(4)
+    gram = np.unique(rng.integers(0, 32**5, 500))
+    ratio, history = toxicity.ratios(gram, rng.integers(0, 5, len(gram)), rng.integers(1, 5, len(gram)))
+    place, row = table = toxicity.Model(gram, ratio, history).table()
+    plain = np.repeat(history, 32)
+    plain[gram] = ratio
+    asked = np.r_[gram, (gram[:, None] // 32 * 32 + np.arange(32)).ravel(), rng.integers(0, 32**5, 5000)]
+    assert np.abs(row[place[asked // 32] + asked % 32] - plain[asked]).max() <= 2**-17
+    texts = ["an apt ape", "", "idle idiots " * 40_000, "an apt ape", "", "tape", "an apt ape"]
+    made = toxicity.features(texts, table)
+    assert (made[[0, 3, 6]] == made[0]).all() and (made[[1, 4]] == 0).all()
+    assert (made[2] == toxicity.features(texts[2:3], table)[0]).all()
+
+
 def test_encoded_lengths(spark):
     import tiktoken
 
