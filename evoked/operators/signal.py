@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evoked.operators.chunks import with_halo
+
 
 def map_arrays(df: DataFrame, column: str, f: Callable[[np.ndarray], np.ndarray], keep: list[str], out: str = "samples") -> DataFrame:
     """(keep, out array<double>): f of each array, NULL and empty arrays unchanged."""
@@ -22,27 +24,19 @@ def map_arrays(df: DataFrame, column: str, f: Callable[[np.ndarray], np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for x in b.column(len(keep)):
-                v = None if not x.is_valid else np.array(x.as_py(), float)
-                made.append(None if v is None else f(v).tolist() if len(v) else [])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(made, pa.list_(pa.float64()))], [*keep, out])
+            column = b.column(len(keep))
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            valid = column.is_valid().to_numpy(zero_copy_only=False)
+            made = [f(x) if len(x) else x for x in np.split(flat, ends[:-1])] if len(ends) else []
+            lengths = np.array([len(x) for x in made], np.int32)
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32), mask=np.r_[~valid, False])
+            values = pa.array(np.concatenate(made) if made else np.empty(0))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(offsets, values)], [*keep, out])
 
     return df.select(*keep, column).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), f"{out} array<double>"]))
 
 
-def with_halo(chunks: DataFrame, keys: list[str], halo: int) -> DataFrame:
-    """Chunks (keys, chunk_id, samples) with up to `halo` samples of each neighbour: padded, left (samples added in front)."""
-    w = W.partitionBy(*keys).orderBy("chunk_id")
-    before, after = F.lag("samples").over(w), F.lead("samples").over(w)
-    rows = chunks.withColumns({"__b": before, "__a": after})
-    size = F.least(F.lit(halo), F.coalesce(F.size("__b"), F.lit(0)))
-    empty = F.array().cast("array<double>")
-    front = F.when(F.col("__b").isNotNull(), F.slice("__b", F.size("__b") - size + 1, size)).otherwise(empty)
-    back = F.when(F.col("__a").isNotNull(), F.slice("__a", F.lit(1), F.least(F.lit(halo), F.size("__a")))).otherwise(empty)
-    return rows.withColumn("padded", F.concat(front, "samples", back)).withColumn("left", F.when(F.col("__b").isNotNull(), size).otherwise(0)).drop("__b", "__a")
-
-
 def butter_gain(freq: np.ndarray, low: float | None, high: float | None, order: int = 4) -> np.ndarray:
     """Gain of a Butterworth filter run forward and backward: the squared magnitude, no phase."""
     gain = np.ones_like(freq)

@@ -241,64 +241,127 @@ def signed_sums(rows: DataFrame, keys: list[str], n_perm: int, block: int = 256)
     return parts.groupBy(*keys, "perm").agg(F.sum("y").alias("s"), F.sum("ss").alias("ss"), F.sum("n").alias("n"))
 
 
-def cluster_permutation(df: DataFrame, keys: list[str], value: str, n_perm: int = 200, seed: int = 5, alpha: float = 0.05, grid: bool = False) -> DataFrame:
-    """One-sample cluster permutation over time_idx (or, with grid, freq_idx x time_idx): cluster, sign, size, mass, p, significant.
-
-    df: keys, obs, time_idx (freq_idx), value. A permutation flips the signs of whole observations; sums of squares don't
-    change, so only signed sums are aggregated again, by (keys, permutation, cell). Cells beyond
-    t(1 - alpha / 2, n - 1) that touch and share a sign are a cluster, its mass the sum of t. p is the share of
-    permutations, the identity included, whose largest absolute mass reaches it.
-    """
+def _tested(df: DataFrame, keys: list[str], value: str, n_perm: int, seed: int, alpha: float, grid: bool, tail: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, perm, cell, n, mean, t) of all cells, and those beyond the threshold with their sign."""
     cell = ["freq_idx", "time_idx"] if grid else ["time_idx"]
     rows = df.select(*keys, *cell, F.xxhash64(F.lit(seed), "obs").alias("o"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
     sums = signed_sums(rows, [*keys, *cell], n_perm)
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     t = F.when((F.col("n") > 1) & (var > 0), F.col("s") / F.col("n") / F.sqrt(var / F.col("n"))).otherwise(0.0)
-    limits = F.pandas_udf(lambda n: n.map({k: t_quantile(1 - alpha / 2, k - 1) if k > 1 else float("inf") for k in n.unique()}), T.DoubleType())
+    sides = 1 if tail else 2
+    limits = F.pandas_udf(lambda n: n.map({k: t_quantile(1 - alpha / sides, k - 1) if k > 1 else float("inf") for k in n.unique()}), T.DoubleType())
     sums = sums.withColumn("t", t)
     sizes = sums.select("n").distinct().withColumn("limit", limits("n"))
-    marked = sums.join(F.broadcast(sizes), "n").filter(F.abs("t") > F.col("limit")).withColumn("sign", F.signum("t").cast("int"))
+    marked = sums.join(sizes, "n").filter(F.abs("t") > F.col("limit")).withColumn("sign", F.signum("t").cast("int"))
+    marked = marked.filter(F.col("sign") == tail) if tail else marked
+    return sums.withColumn("mean", F.col("s") / F.col("n")), marked
+
+
+def _labelled(marked: DataFrame, keys: list[str], grid: bool) -> DataFrame:
+    """marked with c: cells of one (keys, perm, sign) that touch share it."""
     if grid:
-        clusters = _grid_clusters(marked, keys)
-    else:
-        w = W.partitionBy(*keys, "perm", "sign").orderBy("time_idx")
-        marked = marked.withColumn("c", F.col("time_idx") - F.row_number().over(w))
-        clusters = marked.groupBy(*keys, "perm", "sign", "c").agg(F.min("time_idx").alias("first_idx"), F.max("time_idx").alias("last_idx"), F.count(F.lit(1)).alias("size"), F.sum("t").alias("mass"))
+        return _grid_labels(marked, keys)
+    w = W.partitionBy(*keys, "perm", "sign").orderBy("time_idx")
+    return marked.withColumn("c", F.col("time_idx") - F.row_number().over(w)).select(*keys, "perm", "sign", "time_idx", "t", "c")
+
+
+def _grid_labels(marked: DataFrame, keys: list[str], maps: int = 64) -> DataFrame:
+    """4-neighbour labels of small maps; a group is `maps` permutations of one map, not the data.
+
+    Labels of all maps of a group spread at once: each cell takes the least label of itself and its neighbours of the same sign.
+    """
+    kinds = dict(marked.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"perm {kinds['perm']}, sign int, freq_idx {kinds['freq_idx']}, time_idx {kinds['time_idx']}, t double, c int"])
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = [np.unique(pdf[c], return_inverse=True)[1] if c == "perm" else (pdf[c] - pdf[c].min()).to_numpy(int) for c in ("perm", "freq_idx", "time_idx")]
+        shape = [i.max() + 3 for i in at]
+        sign = np.zeros(shape, np.int8)
+        inner = tuple(i + 1 for i in at)
+        sign[inner] = pdf.sign
+        of = np.arange(sign.size, dtype=np.int64).reshape(shape)
+        while True:
+            least = of
+            for axis in (1, 2):
+                for step in (1, -1):
+                    least = np.where(np.roll(sign, step, axis) == sign, np.minimum(least, np.roll(of, step, axis)), least)
+            if (least[inner] == of[inner]).all():
+                break
+            of = least
+        names = (of - np.arange(shape[0])[:, None, None] * (shape[1] * shape[2]))[inner]
+        return pdf[[*keys, "perm", "sign", "freq_idx", "time_idx", "t"]].assign(c=names.astype(np.int32))
+
+    return marked.groupBy(*keys, F.expr(f"perm div {maps}")).applyInPandas(label, schema)
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns where the columns `on` are equal or both NULL."""
+    own = right.select(*(F.col(k).alias(f"__{k}") for k in on), *(c for c in right.columns if c not in on))
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(own, cond, how).drop(*(f"__{k}" for k in on))
+
+
+def _p_values(labelled: DataFrame, keys: list[str], n_perm: int) -> DataFrame:
+    """(keys, sign, c, first_idx, last_idx, size, mass, p) of the observed clusters: p is the share of permutations whose largest absolute mass reaches theirs."""
+    by = [*keys, "perm", "sign", "c"]
+    clusters = labelled.groupBy(*by).agg(F.min("time_idx").alias("first_idx"), F.max("time_idx").alias("last_idx"), F.count(F.lit(1)).alias("size"), F.sum("t").alias("mass"))
     null = clusters.groupBy(*keys, "perm").agg(F.max(F.abs("mass")).alias("top"))
-    seen = clusters.filter("perm = 0").drop("perm", "c")
+    seen = clusters.filter("perm = 0").drop("perm")
     cond = F.lit(True)
     null = null.select(*(F.col(k).alias(f"__{k}") for k in keys), "top")
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__{k}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
     hits = seen.join(null, cond & (F.col("top") >= F.abs("mass") - 1e-9))
-    out = hits.groupBy(*seen.columns).agg((F.count(F.lit(1)) / (n_perm + 1)).alias("p"))
+    return hits.groupBy(*seen.columns).agg((F.count(F.lit(1)) / (n_perm + 1)).alias("p"))
+
+
+def cluster_permutation(df: DataFrame, keys: list[str], value: str, n_perm: int = 200, seed: int = 5, alpha: float = 0.05, grid: bool = False, tail: int = 0) -> DataFrame:
+    """One-sample cluster permutation over time_idx (or, with grid, freq_idx x time_idx): cluster, sign, size, mass, p, significant.
+
+    df: keys, obs, time_idx (freq_idx), value. A permutation flips the signs of whole observations; sums of squares don't
+    change, so only signed sums are aggregated again, by (keys, permutation, cell). Cells beyond
+    t(1 - alpha / 2, n - 1) that touch and share a sign are a cluster, its mass the sum of t; with a tail of 1 or -1, those of that sign
+    beyond t(1 - alpha, n - 1). p is the share of permutations, the identity included, whose largest absolute mass reaches it.
+    """
+    _, marked = _tested(df, keys, value, n_perm, seed, alpha, grid, tail)
+    out = _p_values(_labelled(marked, keys, grid), keys, n_perm).drop("c")
     return out.withColumn("significant", F.col("p") <= alpha)
 
 
-def _grid_clusters(marked: DataFrame, keys: list[str]) -> DataFrame:
-    """4-neighbour labels on one small map a (keys, perm, sign): the group is a map, not the data."""
-    kinds = dict(marked.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "perm int, sign int, first_idx int, last_idx int, size long, mass double, c int"])
+def cluster_mask(df: DataFrame, keys: list[str], value: str, n_perm: int = 200, seed: int = 5, alpha: float = 0.05, grid: bool = False, tail: int = 0, level: float = 0.05) -> DataFrame:
+    """The test of cluster_permutation as a map: one row a cell, (keys, cell, n, mean, t, cluster, p, mask).
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = {(int(f), int(t)): float(x) for f, t, x in zip(pdf.freq_idx, pdf.time_idx, pdf.t, strict=True)}
-        out = []
-        while cells:
-            start = min(cells)
-            todo, members = [start], []
-            mass = cells.pop(start)
-            while todo:
-                f, t = todo.pop()
-                members.append((f, t))
-                for near in ((f - 1, t), (f + 1, t), (f, t - 1), (f, t + 1)):
-                    if near in cells:
-                        mass += cells.pop(near)
-                        todo.append(near)
-            times = [t for _, t in members]
-            out.append({**{k: pdf[k].iloc[0] for k in keys}, "perm": pdf.perm.iloc[0], "sign": pdf.sign.iloc[0], "first_idx": min(times), "last_idx": max(times), "size": len(members), "mass": mass, "c": len(out)})
-        return pd.DataFrame(out)
-
-    return marked.groupBy(*keys, "perm", "sign").applyInPandas(label, schema)
+    cluster names the observed cluster of the cell within keys and p is its p; mask is p <= level. Cells in no cluster have NULL and
+    a mask of FALSE. Labels of the observed cells and maxima of the permutations are kept apart and meet by cluster only.
+    """
+    cell = ["freq_idx", "time_idx"] if grid else ["time_idx"]
+    tested, marked = _tested(df, keys, value, n_perm, seed, alpha, grid, tail)
+    labelled = _labelled(marked, keys, grid)
+    p = _p_values(labelled, keys, n_perm)
+    cells = labelled.filter("perm = 0").select(*keys, *cell, "sign", "c")
+    name = F.min(F.struct(*cell)).alias("first")
+    names = cells.groupBy(*keys, "sign", "c").agg(name)
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("first", "sign"))  # a few clusters a map
+    names = names.select(*keys, "sign", "c", rank.alias("cluster"))
+    both = _met(_met(cells, names, [*keys, "sign", "c"]), p.select(*keys, "sign", "c", "p"), [*keys, "sign", "c"])
+    every = tested.filter("perm = 0").select(*keys, *cell, "n", "mean", "t")
+    out = _met(every, both.select(*keys, *cell, "cluster", "p"), [*keys, *cell], "left")
+    return out.withColumn("mask", F.coalesce(F.col("p") <= level, F.lit(False)))
+
+
+def band_mask(cells: DataFrame, bands: DataFrame, keys: list[str], mode: str = "any", effect: str = "mean") -> DataFrame:
+    """A mask over freq_idx x time_idx by band: (keys, band, time_idx, effect, sig, sig_pos, sig_neg).
+
+    cells: keys, freq_idx, time_idx, mean, mask; bands: band, freq_idx, in which a frequency may have several bands. sig holds where any, or
+    all, of the band's frequencies are in the mask; the effect is the mean or median of their means, and its sign splits sig.
+    """
+    if mode not in ("any", "all") or effect not in ("mean", "median"):
+        raise ValueError(f"no mode {mode} or effect {effect}")
+    rows = cells.join(bands, "freq_idx")
+    out = rows.groupBy(*keys, "band", "time_idx").agg((F.avg if effect == "mean" else F.median)("mean").alias("effect"), (F.bool_or if mode == "any" else F.bool_and)("mask").alias("sig"))
+    return out.select("*", (F.col("sig") & (F.col("effect") > 0)).alias("sig_pos"), (F.col("sig") & (F.col("effect") < 0)).alias("sig_neg"))
 
 
 def ols(df: DataFrame, formula: str) -> list[dict]:

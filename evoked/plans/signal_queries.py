@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from evoked.functions import labels as lb
 from evoked.operators import celltypes as ct
+from evoked.operators import chunks as ck
+from evoked.operators import intervals as iv
 from evoked.operators import signal as sg
 from evoked.operators import stats
 from evoked.operators.binning import decimate
@@ -196,11 +197,90 @@ def time_clusters(spark: SparkSession, d: str) -> DataFrame:
 def map_clusters(spark: SparkSession, d: str) -> DataFrame:
     """T3 on a frequency x time lattice."""
     power = sg.morlet_power(waves(spark, d), ["vec_id", "label"], "w", FS, [6.0, 10.0, 16.0], step=8)
-    mean = F.avg("power").over(W.partitionBy("freq_hz", "time_idx"))
-    rows = power.withColumn("x", F.col("power") - mean)
-    rows = rows.select("label", F.col("vec_id").alias("obs"), F.col("freq_hz").cast("int").alias("f"), (F.col("time_idx") / 8).cast("int").alias("time_idx"), "x")
-    idx = F.when(F.col("f") == 6, 0).when(F.col("f") == 10, 1).otherwise(2)
-    return stats.cluster_permutation(rows.withColumn("freq_idx", idx), ["label"], "x", n_perm=2000, grid=True)
+    return stats.cluster_permutation(deviations(spark, d), ["label"], "x", n_perm=2000, grid=True)
+
+
+def deviations(spark: SparkSession, d: str) -> DataFrame:
+    """(label, obs, freq_idx, time_idx, x): power of each epoch less the mean over all epochs."""
+    power = sg.morlet_power(waves(spark, d), ["vec_id", "label"], "w", FS, [6.0, 10.0, 16.0], step=8)
+    rows = power.join(power.groupBy("freq_hz", "time_idx").agg(F.avg("power").alias("m")), ["freq_hz", "time_idx"])
+    idx = F.when(F.col("freq_hz") == 6, 0).when(F.col("freq_hz") == 10, 1).otherwise(2)
+    return rows.select("label", F.col("vec_id").alias("obs"), idx.alias("freq_idx"), (F.col("time_idx") / 8).cast("int").alias("time_idx"), (F.col("power") - F.col("m")).alias("x"))
+
+
+@query()
+def map_mask(spark: SparkSession, d: str) -> DataFrame:
+    """T3 as a mask: t, cluster, p and membership of each frequency and time."""
+    return stats.cluster_mask(deviations(spark, d), ["label"], "x", n_perm=2000, grid=True)
+
+
+@query("""WITH l AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  c AS (SELECT label, i % 8 AS freq_idx, i // 8 AS time_idx, avg(x) AS mean, avg(x) ** 2 > 0.0004 AS mask FROM l GROUP BY ALL),
+  b AS (SELECT * FROM (VALUES ('low', 0), ('low', 1), ('low', 2), ('mid', 2), ('mid', 3), ('high', 4), ('high', 5), ('high', 6), ('high', 7)) AS t(band, freq_idx)),
+  g AS (SELECT label, band, time_idx, avg(mean) AS m, median(mean) AS md, bool_or(mask) AS one, bool_and(mask) AS every FROM c JOIN b USING (freq_idx) GROUP BY ALL)
+SELECT label, band, time_idx, 'any' AS mode, m AS effect, one AS sig, one AND m > 0 AS sig_pos, one AND m < 0 AS sig_neg FROM g
+UNION ALL SELECT label, band, time_idx, 'all', md, every, every AND md > 0, every AND md < 0 FROM g""")
+def band_masks(spark: SparkSession, d: str) -> DataFrame:
+    """A16 on masks: any and all of a band's frequencies, split by the sign of the band's mean or median."""
+    cells = long(spark, d).groupBy("label", (F.col("i") % 8).alias("freq_idx"), F.expr("i div 8").alias("time_idx")).agg(F.avg("x").alias("mean"))
+    cells = cells.withColumn("mask", F.col("mean") * F.col("mean") > 0.0004)
+    bands = spark.createDataFrame([("low", 0), ("low", 1), ("low", 2), ("mid", 2), ("mid", 3), ("high", 4), ("high", 5), ("high", 6), ("high", 7)], "band string, freq_idx int")
+    made = [stats.band_mask(cells, bands, ["label"], mode, effect).withColumn("mode", F.lit(mode)) for mode, effect in (("any", "mean"), ("all", "median"))]
+    return made[0].unionByName(made[1])
+
+
+def recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Five channels in chunks of 64 samples, every third one stored in two parts of 20 and 44."""
+    rows = waves(spark, d).select((F.col("vec_id") % 5).alias("channel"), F.expr("vec_id div 5").alias("k"), "w")
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(64).alias("n")))
+    halves = F.array(F.struct(F.lit(0).alias("at"), F.lit(20).alias("n")), F.struct(F.lit(20).alias("at"), F.lit(44).alias("n")))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("k") % 3 == 0, halves).otherwise(whole)))
+    return rows.select("channel", (2 * F.col("k") + (F.col("p.at") > 0).cast("int")).alias("chunk_id"), (64 * F.col("k") + F.col("p.at")).alias("start_sample"), F.slice("w", F.col("p.at") + 1, F.col("p.n")).alias("samples"))
+
+
+SAMPLES = "x AS (SELECT vec_id % 5 AS channel, (vec_id // 5) * 64 + generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+
+@query(f"""WITH {SAMPLES},
+  d AS (SELECT user_id % 5 AS channel, round_even(event_id * 37 % 20000 / 64.0 * 64.0, 0)::BIGINT AS s, round_even((event_id * 37 % 20000 / 64.0 + value / 640.0) * 64.0, 0)::BIGINT AS e FROM events WHERE event_type = 'error'),
+  g AS (SELECT channel, i FROM x WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.channel = x.channel AND d.s <= x.i AND x.i < d.e))
+SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY i) - 1 AS sample_idx, x AS value FROM x JOIN g USING (channel, i)""")
+def compacted_signal(spark: SparkSession, d: str) -> DataFrame:
+    """J15 on signals: recordings without their dead intervals, in new chunks of 50 samples."""
+    rows = recordings(spark, d)
+    e = v.read(spark, d, "events").filter("event_type = 'error'")
+    s = F.col("event_id") * 37 % 20000 / 64.0
+    dead = ck.dead_samples(e.select((F.col("user_id") % 5).alias("channel"), s.alias("s"), (s + F.col("value") / 640.0).alias("e")), ["channel"], FS)
+    extent = rows.groupBy("channel").agg(F.max(F.col("start_sample") + F.size("samples")).alias("duration"))
+    out = ck.compact_signal(rows, iv.good_chunks(dead, extent, ["channel"]), ["channel"], 50)
+    return out.select("channel", "start_sample", F.posexplode("samples").alias("i", "value")).select("channel", (F.col("start_sample") + F.col("i")).alias("sample_idx"), "value")
+
+
+@query(f"""WITH {SAMPLES}, f AS (SELECT o_orderkey % 5 AS channel, greatest(round_even(min(o_custkey * 3 + 200) / 64.0 * 64.0, 0)::BIGINT, 1) AS stop FROM orders GROUP BY ALL),
+  r AS (SELECT channel, 'session' AS ref, avg(x) AS m, stddev_pop(x) AS sd FROM x GROUP BY channel
+    UNION ALL SELECT channel, 'before first', avg(x), stddev_pop(x) FROM x JOIN f USING (channel) WHERE i < stop GROUP BY channel),
+  e AS (SELECT channel, i // 64 AS k, avg(x) AS m, stddev_pop(x) AS sd FROM x WHERE i % 64 < 16 GROUP BY ALL),
+  z AS (SELECT channel, i // 64 AS k, ref, 100 * x / (m + 1e-12) AS a, (x - m) / (sd + 1e-12) AS b FROM x JOIN r USING (channel)
+    UNION ALL SELECT x.channel, k, 'epoch', 100 * x / (m + 1e-12), (x - m) / (sd + 1e-12) FROM x JOIN e ON e.channel = x.channel AND e.k = x.i // 64)
+SELECT channel, k, ref, count(*) AS n, avg(a) AS mean_form, max(b) AS z_max, min(b) AS z_min FROM z GROUP BY ALL""")
+def reference_forms(spark: SparkSession, d: str) -> DataFrame:
+    """J12 and P23 over chunks: percent of the mean and z against the whole session, the time before the first stimulation, and an epoch's baseline."""
+    rows = recordings(spark, d)
+    trials = v.read(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("channel"), ((F.col("o_custkey") * 3 + 200) / 64.0).alias("t0"))
+    stops = rows.join(ck.first_stimulation(trials, ["channel"], FS), "channel")
+    epochs = waves(spark, d).select((F.col("vec_id") % 5).alias("channel"), F.expr("vec_id div 5").alias("k"), F.lit(0).alias("start_sample"), F.col("w").alias("samples"))
+    forms = ["mean", "zscore"]
+    k = F.expr("start_sample div 64").alias("k")
+    made = {
+        "session": ck.normalise_chunks(rows, ["channel"], forms).select("channel", k, *forms),
+        "before first": ck.normalise_chunks(stops, ["channel"], forms, F.col("stop_sample")).select("channel", k, *forms),
+        "epoch": ck.normalise_chunks(epochs, ["channel", "k"], forms, F.lit(16)).select("channel", "k", *forms),
+    }
+    out = None
+    for name, part in made.items():
+        part = part.select("channel", "k", F.lit(name).alias("ref"), F.explode(F.arrays_zip(*forms)).alias("z"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("channel", "k", "ref").agg(F.count(F.lit(1)).alias("n"), F.avg("z.mean").alias("mean_form"), F.max("z.zscore").alias("z_max"), F.min("z.zscore").alias("z_min"))
 
 
 @query()
