@@ -63,19 +63,6 @@ def decimate(df: DataFrame, at: str, step: int) -> DataFrame:
     return df.filter(F.col(at) % step == 0)
 
 
-def fr_bins(histogram: DataFrame, dead: DataFrame | None, bin_s: float, min_live: float = 0.8) -> DataFrame:
-    """Rates of a dense histogram (session, unit_id, stim_index, bin, n): fr_hz, NULL in bins with too little live time, and its normalised forms."""
-    rows = histogram
-    if dead is not None:
-        rows = rows.join(dead, ["session", "unit_id", "stim_index", "bin"], "left").fillna(0.0, ["dead_s"])
-        live = F.lit(bin_s) - F.col("dead_s")
-        rows = rows.withColumn("fr_hz", F.when(live >= min_live * bin_s, F.col("n") / live)).drop("dead_s")
-    else:
-        rows = rows.withColumn("fr_hz", F.col("n") / bin_s)
-    keys = ["session", "unit_id", "stim_index"]
-    return baseline_normalise(rows, keys, "fr_hz", F.col("bin") < 0, ["subtract", "percent", "logratio", "zscore"], prefix="fr_")
-
-
 def expand_conditions(df: DataFrame, group: str = "group_label", locality: str = "locality", tags: str = "cog_labels") -> DataFrame:
     """Each row once for every condition it belongs to: all, its group, its locality, group x locality, each tag, tag x locality.
 

@@ -213,33 +213,50 @@ def standard_waveform(w: Column) -> Column:
     return let(flat, lambda c: let(sign(c), lambda f: F.transform(c, lambda x: x * f)))
 
 
+def half_width(s: Column, at: Column, level: Column, below: bool, fs: float) -> Column:
+    """Milliseconds between the first samples to both sides of `at` that leave the level (or the array's ends); NULL if `at` isn't beyond it.
+
+    With below, samples at or under the level belong to the width, else those at or over it.
+    """
+    inside = (lambda x: x <= level) if below else (lambda x: x >= level)
+    out = F.filter(F.transform(s, lambda x, i: F.when(~inside(x), i)), lambda i: i.isNotNull())
+    ends = lambda o: F.coalesce(F.array_min(F.filter(o, lambda i: i > at)), F.size(s) - 1) - F.coalesce(F.array_max(F.filter(o, lambda i: i < at)), F.lit(0))
+    return F.when(inside(F.get(s, at)), let(out, ends) * 1000.0 / fs)
+
+
 def waveform_features(df: DataFrame, column: str, fs: float) -> DataFrame:
-    """Adds trough, trough_idx, peak and peak_idx (after the trough), trough_to_peak_ms, ptp, peak_trough_ratio, half_width in samples.
+    """Adds trough, trough_idx, peak and peak_idx (from the trough on), trough_to_peak_ms, ptp, peak_trough_ratio, both half widths in ms, slope.
 
-    The half width is the walk out from the trough while values stay below half of it. NULL arrays give NULLs.
+    A half width is the walk out from the trough or peak while values stay beyond half of it. A trough in the last two samples has no
+    peak; a peak at or below 0 has no width, a trough at or above 0 no ratio. slope is the rise per ms from trough to peak. NULL
+    arrays give NULLs.
     """
 
-    def features(s: Column, trough: Column, at: Column, after: Column, high: Column) -> Column:
-        peak = F.array_max(after)
-        peak_at = (F.array_position(after, peak) - 1 + at).cast("int")
-        right = F.array_min(F.filter(high, lambda i: i > at))
-        left = F.array_max(F.filter(high, lambda i: i < at))
-        return F.struct(
-            trough.alias("trough"),
-            at.alias("trough_idx"),
-            peak.alias("peak"),
-            peak_at.alias("peak_idx"),
-            ((peak_at - at) * 1000.0 / fs).alias("trough_to_peak_ms"),
-            (peak - trough).alias("ptp"),
-            F.when(trough != 0, peak / F.abs(trough)).alias("peak_trough_ratio"),
-            (F.coalesce(right, F.size(s)) - F.coalesce(left, F.lit(-1)) - 1).alias("half_width"),
+    def features(s: Column, trough: Column, at: Column, after: Column) -> Column:
+        has = at < F.size(s) - 2
+        peak = F.when(has, F.array_max(after))
+        peak_at = F.when(has, (F.array_position(after, F.array_max(after)) - 1 + at).cast("int"))
+        ms = (peak_at - at) * 1000.0 / fs
+        return let(
+            F.struct(peak.alias("peak"), peak_at.alias("at"), ms.alias("ms")),
+            lambda p: F.struct(
+                trough.alias("trough"),
+                at.alias("trough_idx"),
+                p["peak"].alias("peak"),
+                p["at"].alias("peak_idx"),
+                p["ms"].alias("trough_to_peak_ms"),
+                (F.array_max(s) - trough).alias("ptp"),
+                F.when(trough < 0, p["peak"] / F.abs(trough)).alias("peak_trough_ratio"),
+                half_width(s, at, trough / 2, True, fs).alias("trough_half_width_ms"),
+                F.when(p["peak"] > 0, half_width(s, p["at"], p["peak"] / 2, False, fs)).alias("peak_half_width_ms"),
+                F.when(p["ms"] > 0, (p["peak"] - trough) / p["ms"]).alias("slope"),
+            ),
         )
 
     def of_signed(s: Column) -> Column:
-        high = lambda t: F.filter(F.transform(s, lambda x, i: F.when(x >= t / 2, i)), lambda i: i.isNotNull())
         after = lambda at: F.slice(s, at + 1, F.size(s))
         place = lambda t: (F.array_position(s, t) - 1).cast("int")
-        return let(F.array_min(s), lambda t: let(place(t), lambda at: let(after(at), lambda rest: let(high(t), lambda h: features(s, t, at, rest, h)))))
+        return let(F.array_min(s), lambda t: let(place(t), lambda at: let(after(at), lambda rest: features(s, t, at, rest))))
 
     rows = df.withColumn("__f", let(standard_waveform(F.col(column)), of_signed))
     return rows.select("*", "__f.*").drop("__f")

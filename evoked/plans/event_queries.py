@@ -69,7 +69,7 @@ ISI = f"""{v.FX}, p AS (SELECT *, lag(t_tick) OVER (PARTITION BY session, unit_i
     avg(2 * abs(ms - b) / (ms + b)) AS cv2, avg(3 * pow((ms - b) / (ms + b), 2)) AS lv, count_if(ms < 2) AS n_refractory, avg((ms < 2)::INT) AS refractory_ratio,
     avg((ms < 6)::INT) AS burst6, avg((ms < 10)::INT) AS burst10, CASE WHEN avg(ms) > 0 THEN stddev_samp(ms) / avg(ms) END AS cv FROM g GROUP BY ALL),
   t AS (SELECT session, unit_id, count(*) AS n_isi_total FROM i GROUP BY ALL)
-SELECT session, unit_id, coalesce(n_isi_total, 0) AS n_isi_total, coalesce(n_isi_valid, 0) AS n_isi_valid, isi_mean_ms, isi_median_ms, isi_sd_ms, isi_min_ms, isi_max_ms, cv2, lv, n_refractory, refractory_ratio, burst6, burst10, cv
+SELECT session, unit_id, coalesce(n_isi_total, 0) AS n_isi_total, coalesce(n_isi_valid, 0) AS n_isi_valid, isi_mean_ms, isi_median_ms, isi_sd_ms, isi_min_ms, isi_max_ms, CASE WHEN n_isi_total + 1 >= 10 THEN cv2 END AS cv2, CASE WHEN n_isi_total + 1 >= 10 THEN lv END AS lv, n_refractory, refractory_ratio, burst6, burst10, cv
 FROM fx_units LEFT JOIN t USING (session, unit_id) LEFT JOIN s USING (session, unit_id)""")
 def isi_features(spark: SparkSession, d: str) -> DataFrame:
     """A3, A5, O-W1, O-W2, J10."""
@@ -84,14 +84,16 @@ BIN, BINS = 100_000, 100
     WHERE NOT EXISTS (SELECT 1 FROM fx_merged d WHERE d.session = a.session AND d.electrode = a.electrode AND d.s < b.t_tick AND d.e > a.t_tick)),
   c AS (SELECT session, unit_id, bin, count(*) AS n FROM l GROUP BY ALL),
   g AS (SELECT session, unit_id, bin, coalesce(n, 0) AS n FROM fx_units CROSS JOIN (SELECT unnest(range({BINS})) AS bin) LEFT JOIN c USING (session, unit_id, bin)),
-  a AS (SELECT session, unit_id, sum(n) AS n_pairs, arg_min(bin, -n * 1000 + bin) FILTER (bin >= 2) AS pk, max(n) FILTER (bin >= 2) AS pn, sum(n) FILTER (bin < 2) AS rf, avg(n) FILTER (bin BETWEEN 3 AND 9) AS m1, avg(n) FILTER (bin >= 10) AS m2 FROM g GROUP BY ALL),
-  k AS (SELECT session, unit_id, count(*) AS ns FROM fx_spikes GROUP BY ALL)
-SELECT session, unit_id, n_pairs, CASE WHEN n_pairs > 0 THEN pk END AS peak_bin, CASE WHEN n_pairs > 0 THEN pn / ns END AS peak_rate, CASE WHEN n_pairs > 0 THEN rf / n_pairs END AS refractory_share,
-  CASE WHEN n_pairs > 0 THEN m1 END AS mean_3_9, CASE WHEN n_pairs > 0 THEN m2 END AS mean_10_up, CASE WHEN n_pairs > 0 AND m2 > 0 THEN m1 / m2 END AS burst_ratio FROM a JOIN k USING (session, unit_id)""")
+  k AS (SELECT session, unit_id, count(*) AS ns FROM fx_spikes GROUP BY ALL),
+  r AS (SELECT session, unit_id, bin, bin + 0.5 AS ms, n, n / ns / 0.1 AS hz FROM g JOIN k USING (session, unit_id)),
+  a AS (SELECT session, unit_id, sum(n)::BIGINT AS n_lags, arg_min(ms, -n * 1000 + bin) FILTER (ms >= 2) AS pk, max(n) FILTER (ms >= 2) AS pn, max(hz) FILTER (ms >= 2) AS ph, avg(hz) FILTER (ms >= 3 AND ms < 10) AS m1, avg(hz) FILTER (ms >= 10 AND ms < 50) AS m2,
+    sum(n) FILTER (ms < 2)::BIGINT AS rf, sum(n) FILTER (ms >= 3 AND ms < 10) AS b, sum(n) FILTER (ms >= 3 AND ms < 50) AS w FROM r GROUP BY ALL)
+SELECT session, unit_id, n_lags, CASE WHEN n_lags > 0 THEN pk END AS peak_lag_ms, CASE WHEN n_lags > 0 THEN pn END AS peak_count, CASE WHEN n_lags > 0 THEN ph END AS peak_rate_hz, CASE WHEN n_lags > 0 THEN m1 END AS mean_3_10ms_rate_hz, CASE WHEN n_lags > 0 THEN m2 END AS mean_10_50ms_rate_hz,
+  CASE WHEN n_lags > 0 THEN rf END AS refractory_count, CASE WHEN n_lags > 0 THEN rf / n_lags END AS refractory_ratio, CASE WHEN w > 0 THEN b / w END AS burst_ratio FROM a""")
 def autocorrelogram(spark: SparkSession, d: str) -> DataFrame:
-    """A4, J11, O-L2."""
+    """A4, J11, O-L2: windows in bins, as if a bin of 100 ms were one of 1 ms."""
     units = v.spikes(spark, d).select("session", "electrode", "unit_id").distinct()
-    return st.acg_features(v.spikes(spark, d), units, merged(spark, d), UNIT, ELECTRODE, BIN, BINS)
+    return st.acg_features(v.spikes(spark, d), units, merged(spark, d), UNIT, ELECTRODE, BIN, BINS, BIN)
 
 
 @query(f"""WITH {v.FX}, {EXTENT}, b AS (SELECT session, unit_id, t_tick // 5000000 AS bin, count(*) AS n FROM fx_spikes GROUP BY ALL),
@@ -118,7 +120,7 @@ def unit_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {HIST} SELECT stim_index, bin, sum(n) AS n, count(*) AS units, count_if(n = 0) AS silent FROM h GROUP BY ALL")
 def peri_event_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by trial and bin, zero bins included."""
+    """Counts by trial and bin, zero bins included."""
     return st.trial_histogram(counts(spark, d), v.trials(spark, d), v.units(spark, d), HN).drop("session")
 
 

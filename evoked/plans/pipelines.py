@@ -78,7 +78,7 @@ def rate_power(fr_bins: DataFrame, lfp_bins: DataFrame, bin_keys: list[str], by:
 def cell_types(waveforms: DataFrame, key: str, vector: str, fs: float) -> DataFrame:
     """Waveform features with mixture labels."""
     rows = sg.waveform_features(waveforms, vector, fs)
-    labels = ct.mixture_labels(rows.select(key, F.col("trough_to_peak_ms").cast("double"), F.col("half_width").cast("double")), ["trough_to_peak_ms", "half_width"], "trough_to_peak_ms", [key])
+    labels = ct.mixture_labels(rows.select(key, F.col("trough_to_peak_ms").cast("double"), F.col("trough_half_width_ms").cast("double")), ["trough_to_peak_ms", "trough_half_width_ms"], "trough_to_peak_ms", [key])
     return rows.join(labels, key)
 
 

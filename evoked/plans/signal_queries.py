@@ -70,13 +70,15 @@ FEATURES = """w AS (SELECT vec_id, label, list_transform(embedding, lambda x: x:
   a AS (SELECT vec_id, label, list_transform(w, lambda x: x - m) AS c FROM (SELECT *, median_of[1] AS m FROM (SELECT *, [(list_sort(w[1:4])[2] + list_sort(w[1:4])[3]) / 2] AS median_of FROM w))),
   s AS (SELECT vec_id, label, CASE WHEN abs(list_max(c)) > abs(list_min(c)) THEN list_transform(c, lambda x: -x) ELSE c END AS s FROM a),
   t AS (SELECT *, list_min(s) AS trough, list_position(s, list_min(s)) - 1 AS trough_idx FROM s),
-  p AS (SELECT *, list_max(s[trough_idx + 1 :]) AS peak, list_position(s[trough_idx + 1 :], list_max(s[trough_idx + 1 :])) - 1 + trough_idx AS peak_idx FROM t),
-  h AS (SELECT *, list_filter(range(len(s)), lambda i: s[i + 1] >= trough / 2) AS hi FROM p),
-  feat AS (SELECT vec_id, label, trough, trough_idx, peak, peak_idx, (peak_idx - trough_idx) * 1000.0 / 20000 AS trough_to_peak_ms, peak - trough AS ptp, peak / abs(trough) AS peak_trough_ratio,
-    coalesce(list_min(list_filter(hi, lambda i: i > trough_idx)), len(s)) - coalesce(list_max(list_filter(hi, lambda i: i < trough_idx)), -1) - 1 AS half_width FROM h)"""
+  p AS (SELECT *, CASE WHEN trough_idx < len(s) - 2 THEN list_max(s[trough_idx + 1 :]) END AS peak, CASE WHEN trough_idx < len(s) - 2 THEN list_position(s[trough_idx + 1 :], list_max(s[trough_idx + 1 :])) - 1 + trough_idx END AS peak_idx FROM t),
+  h AS (SELECT *, list_filter(range(len(s)), lambda i: s[i + 1] > trough / 2) AS out_t, list_filter(range(len(s)), lambda i: s[i + 1] < peak / 2) AS out_p, (peak_idx - trough_idx) * 1000.0 / 20000 AS trough_to_peak_ms FROM p),
+  feat AS (SELECT vec_id, label, trough, trough_idx, peak, peak_idx, trough_to_peak_ms, list_max(s) - trough AS ptp, CASE WHEN trough < 0 THEN peak / abs(trough) END AS peak_trough_ratio,
+    CASE WHEN trough <= 0 THEN (coalesce(list_min(list_filter(out_t, lambda i: i > trough_idx)), len(s) - 1) - coalesce(list_max(list_filter(out_t, lambda i: i < trough_idx)), 0)) * 1000.0 / 20000 END AS trough_half_width_ms,
+    CASE WHEN peak > 0 THEN (coalesce(list_min(list_filter(out_p, lambda i: i > peak_idx)), len(s) - 1) - coalesce(list_max(list_filter(out_p, lambda i: i < peak_idx)), 0)) * 1000.0 / 20000 END AS peak_half_width_ms,
+    CASE WHEN trough_to_peak_ms > 0 THEN (peak - trough) / trough_to_peak_ms END AS slope FROM h)"""
 
 
-@query(f"WITH {FEATURES} SELECT vec_id, trough, trough_idx, peak, peak_idx, trough_to_peak_ms, ptp, peak_trough_ratio, half_width FROM feat")
+@query(f"WITH {FEATURES} SELECT vec_id, trough, trough_idx, peak, peak_idx, trough_to_peak_ms, ptp, peak_trough_ratio, trough_half_width_ms, peak_half_width_ms, slope FROM feat")
 def waveform_features(spark: SparkSession, d: str) -> DataFrame:
     """D5 baseline and sign, D6."""
     return sg.waveform_features(waves(spark, d), "w", 20000.0).drop("w", "label")
@@ -286,8 +288,8 @@ def reference_forms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cell_types(spark: SparkSession, d: str) -> DataFrame:
     """T9, O-L2: mixture labels of waveform features."""
-    rows = sg.waveform_features(waves(spark, d), "w", 20000.0).select("vec_id", F.col("trough_to_peak_ms").cast("double"), F.col("half_width").cast("double"))
-    return ct.mixture_labels(rows, ["trough_to_peak_ms", "half_width"], "trough_to_peak_ms", ["vec_id"])
+    rows = sg.waveform_features(waves(spark, d), "w", 20000.0).select("vec_id", F.col("trough_to_peak_ms").cast("double"), F.col("trough_half_width_ms").cast("double"))
+    return ct.mixture_labels(rows, ["trough_to_peak_ms", "trough_half_width_ms"], "trough_to_peak_ms", ["vec_id"])
 
 
 @query("""WITH p AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
@@ -335,7 +337,7 @@ SR = """l AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS time_idx, u
 @query(f"""WITH {SR}, p AS (SELECT label, time_idx, n, stat, {two_sided_sql('z')} AS p FROM z), m AS (SELECT *, p * count(*) OVER (PARTITION BY label) / row_number() OVER (PARTITION BY label ORDER BY p) AS raw FROM p)
 SELECT *, q <= 0.05 AS reject FROM (SELECT label, time_idx, n, stat, p, least(1.0, min(raw) OVER (PARTITION BY label ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)) AS q FROM m)""")
 def envelope_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Signed-rank tests at each time against mu0, q within a condition."""
+    """Signed-rank tests at each time against mu0, q within a condition."""
     rows = long(spark, d).select("label", F.col("i").alias("time_idx"), F.col("x").alias("value"))
     return pl.hilbert_tests(rows, ["label"], ["vec_id"], 0.01)
 
@@ -343,7 +345,7 @@ def envelope_tests(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cell_type_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Waveform features with mixture labels."""
-    return pl.cell_types(waves(spark, d), "vec_id", "w", 20000.0).select("vec_id", "trough_to_peak_ms", "half_width", "cluster", "confidence", "cell_type")
+    return pl.cell_types(waves(spark, d), "vec_id", "w", 20000.0).select("vec_id", "trough_to_peak_ms", "trough_half_width_ms", "cluster", "confidence", "cell_type")
 
 
 @query("""WITH l AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),

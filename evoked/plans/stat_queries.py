@@ -156,13 +156,33 @@ def _p_values(spark: SparkSession, d: str) -> DataFrame:
   b AS (SELECT *, avg(fr_hz) FILTER (bin < 0) OVER w AS m, stddev_samp(fr_hz) FILTER (bin < 0) OVER w AS sd FROM f WINDOW w AS (PARTITION BY session, unit_id, stim_index))
 SELECT bin, count(*) AS rows, avg(fr_hz - m) AS sub, avg(100 * (fr_hz - m) / (m + 0.1)) AS pct, avg(ln((fr_hz + 0.1) / (m + 0.1))) AS lr, avg(CASE WHEN sd > 0 THEN (fr_hz - m) / sd END) AS z FROM b GROUP BY bin""")
 def firing_rate_bins(spark: SparkSession, d: str) -> DataFrame:
-    """A8, P23, O-W9."""
-    rows = bn.fr_bins(st.event_histogram(eq.counts(spark, d), eq.HN), None, 1.0)
-    sums = rows.groupBy("bin").agg(F.sum("fr_subtract").alias("sub"), F.sum("fr_percent").alias("pct"), F.sum("fr_logratio").alias("lr"), F.avg("fr_zscore").alias("z"))
-    # Pairs of unit and trial without a spike have rate 0, differences 0 and no z.
-    n = lambda t, c: t.groupBy("session").agg(F.count(F.lit(1)).alias(c))
-    pairs = n(v.units(spark, d), "u").join(n(v.trials(spark, d), "t"), "session").agg(F.sum(F.col("u") * F.col("t")).alias("rows"))
-    return sums.join(F.broadcast(pairs)).select("bin", "rows", *((F.col(c) / F.col("rows")).alias(c) for c in ("sub", "pct", "lr")), "z")
+    """A8, P23, O-W9: rates without dead time or smoothing."""
+    table, quiet = st.rate_table(v.spikes(spark, d), v.trials(spark, d), v.units(spark, d), None, eq.HB, eq.HN, [1], v.CELL, sigma=None)
+    rows = st.mean_rates(table, quiet, v.trials(spark, d), v.units(spark, d), eq.HN, [1])
+    return rows.select("bin", F.col("n_fr").alias("rows"), F.col("mean_subtract").alias("sub"), F.col("mean_percent").alias("pct"), F.col("mean_logratio").alias("lr"), F.col("mean_zscore").alias("z"))
+
+
+WIDTHS = [1, 2, 5]
+NEAR = ", ".join(f"({k}, {math.exp(-0.5 * k * k)!r})" for k in range(-4, 5))
+
+
+@query(f"""WITH {v.FX}, {eq.BINS_SQL}, sp AS (SELECT * FROM fx_spikes p WHERE NOT EXISTS (SELECT 1 FROM fx_merged d WHERE d.session = p.session AND d.electrode = p.electrode AND d.s <= p.t_tick AND p.t_tick < d.e)),
+  c AS (SELECT p.unit_id, t.stim_index, CASE WHEN p.t_tick < t.t0 THEN (p.t_tick - t.t0 + {eq.HB * eq.HN}) // {eq.HB} - {eq.HN} ELSE (p.t_tick - t.t1) // {eq.HB} END AS bin, count(*) AS n
+    FROM fx_trials t JOIN sp p ON p.session = t.session AND ((p.t_tick >= t.t0 - {eq.HB * eq.HN} AND p.t_tick < t.t0) OR (p.t_tick >= t.t1 AND p.t_tick < t.t1 + {eq.HB * eq.HN})) GROUP BY ALL),
+  h AS (SELECT u.unit_id, t.stim_index, b.bin, coalesce(c.n, 0) AS n, coalesce(dd.dead, 0) AS dead FROM fx_units u JOIN fx_trials t USING (session) CROSS JOIN (SELECT unnest(range({-eq.HN}, {eq.HN})) AS bin) b
+    LEFT JOIN c ON c.unit_id = u.unit_id AND c.stim_index = t.stim_index AND c.bin = b.bin LEFT JOIN dd ON dd.session = u.session AND dd.electrode = u.electrode AND dd.stim_index = t.stim_index AND dd.bin = b.bin),
+  e AS (SELECT m, unit_id, stim_index, bin < 0 AS pre, (CASE WHEN bin < 0 THEN bin + {eq.HN} ELSE bin END) // m AS k, sum(n) AS n, sum(dead) AS dead
+    FROM h, (SELECT unnest({WIDTHS}) AS m) WHERE (CASE WHEN bin < 0 THEN bin + {eq.HN} ELSE bin END) // m < {eq.HN} // m GROUP BY ALL),
+  r AS (SELECT m, unit_id, stim_index, pre, k, CASE WHEN 1 - dead / (m * {eq.HB}.0) >= 0.8 THEN n / m::DOUBLE END AS fr FROM e),
+  g(o, g) AS (VALUES {NEAR}),
+  s AS (SELECT a.m, a.unit_id, a.stim_index, a.pre, a.k, any_value(a.fr) AS fr, sum(b.fr * g) / sum(CASE WHEN b.fr IS NOT NULL THEN g END) AS x FROM r a JOIN r b ON a.m = b.m AND a.unit_id = b.unit_id AND a.stim_index = b.stim_index AND a.pre = b.pre JOIN g ON a.k - b.k = g.o GROUP BY ALL),
+  z AS (SELECT m AS multiple, CASE WHEN pre THEN k - {eq.HN} // m ELSE k END AS bin, fr, x, avg(x) FILTER (pre) OVER w AS mu, stddev_samp(x) FILTER (pre) OVER w AS sd FROM s WINDOW w AS (PARTITION BY m, unit_id, stim_index)),
+  f AS (SELECT multiple, bin, fr, x AS smooth, x - mu AS subtract, 100 * (x - mu) / (mu + 0.1) AS percent, ln((x + 0.1) / (mu + 0.1)) AS logratio, CASE WHEN sd > 1e-9 THEN (x - mu) / sd END AS zscore FROM z)
+SELECT multiple, bin, {", ".join(f"count({c}) AS n_{c}, avg({c}) AS mean_{c}" for c in st.RATES)} FROM f GROUP BY ALL""")
+def firing_rate_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Rates in bins of 1, 2 and 5 s without dead time, smoothed, in all forms, as means over all units and trials."""
+    table, quiet = st.rate_table(v.spikes(spark, d), v.trials(spark, d), v.units(spark, d), eq.merged(spark, d), eq.HB, eq.HN, WIDTHS, v.CELL)
+    return st.mean_rates(table, quiet, v.trials(spark, d), v.units(spark, d), eq.HN, WIDTHS)
 
 
 KERNEL = ", ".join(f"({k}, {math.exp(-0.5 * (k / 1.5) ** 2)!r})" for k in range(-6, 7))
