@@ -7,6 +7,7 @@ still has to visit. Each pair of a range and a block of queries is one cogrouped
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -74,20 +75,28 @@ def visit(order: np.ndarray, stop: Callable[[np.ndarray, np.ndarray], np.ndarray
             score(int(at[group[0]]), active[group])
 
 
-def chi_square(x: np.ndarray, m: int) -> np.ndarray:
+def chi_square(x: float, m: int) -> float:
     """Distribution function for an even number m of degrees of freedom."""
-    half, term, total = x / 2, np.ones_like(x), np.ones_like(x)
+    half, term, total = x / 2, 1.0, 1.0
     for i in range(1, m // 2):
         term = term * half / i
         total = total + term
-    return 1 - np.exp(-np.minimum(half, 700)) * total
+    return 1 - math.exp(-min(half, 700)) * total
+
+
+def chi_square_quantile(p: float, m: int) -> float:
+    lo, hi = 0.0, 1e4
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square(mid, m) < p else (lo, mid)
+    return hi
 
 
 class Best:
-    """The k best (score, id) of each query: larger scores first, ties to smaller ids. `least` is a score that must be reached."""
+    """The k best (score, id) of each query row, which keys name: larger scores first, ties to smaller ids. `least` is a score that must be reached."""
 
-    def __init__(self, queries: np.ndarray, k: int, kind: type, worst: float, least: np.ndarray):
-        self.own, self.k = queries, k
+    def __init__(self, queries: np.ndarray, keys: np.ndarray, k: int, kind: type, worst: float, least: np.ndarray):
+        self.own, self.keys, self.k = queries, keys, k
         self.worst, self.least = worst, least
         self.score = np.full((len(queries), k), worst, kind)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
@@ -106,7 +115,7 @@ class Best:
 
     def table(self) -> pa.Table:
         q, r = np.nonzero(self.score != self.worst)
-        return pa.table({"query_id": self.own[q], "vec_id": self.id[q, r], "score": self.score[q, r]})
+        return pa.table({"key": self.keys[q], "query_id": self.own[q], "vec_id": self.id[q, r], "score": self.score[q, r]})
 
 
 @dataclass(frozen=True)
@@ -127,7 +136,7 @@ class Exact:
         """Whether a box can hold a row that reaches the k-th score."""
         return ~(bounds < kth)
 
-    def block(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, kth: np.ndarray, leaf: int = 32) -> pa.Table:
+    def block(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, keys: np.ndarray, kth: np.ndarray, leaf: int = 32) -> pa.Table:
         """Top k of integer vectors by block-at-a-time pruning.
 
         Rows are put in order of a kd-tree and cut into ranges, with a maximum and a minimum of each term. A query
@@ -138,7 +147,7 @@ class Exact:
             x, q, kth = x.astype("int64"), q.astype("int64"), np.where(np.isfinite(kth), kth, np.iinfo(np.int64).min).astype("int64")
         blocks = leaves(x, leaf)
         bound = self.bounds(q, np.array([x[b].min(0) for b in blocks]), np.array([x[b].max(0) for b in blocks]))
-        best = Best(own, self.k, x.dtype.type, -np.inf if x.dtype == np.float64 else np.iinfo(np.int64).min, kth)
+        best = Best(own, keys, self.k, x.dtype.type, -np.inf if x.dtype == np.float64 else np.iinfo(np.int64).min, kth)
         forward = [(x[b], ids[b]) for b in blocks]
         visit(
             np.argsort(-bound, axis=1, kind="stable"),
@@ -161,9 +170,10 @@ class Near:
     """Nearest by inner product, found through m stable projections.
 
     A row gets one more component so that all rows are of one length; then the largest inner product is the
-    least Euclidean distance. Gaussian projections are indexed by a kd-tree. A query verifies projected neighbours leaf by
-    leaf, nearest leaf first; it stops when rows as near as its k-th would, with probability `sure`, have shown up:
-    the squared ratio of the next leaf's distance to the k-th true distance follows a chi-square law of m degrees.
+    least Euclidean distance. Gaussian projections are indexed by a kd-tree. A query takes leaves by projected distance, nearest
+    first, and verifies a row only while the test is open for it: the squared ratio of its projected distance to the k-th true distance
+    so far follows a chi-square law of m degrees for rows at that distance, so beyond its quantile `sure` a row as near as the k-th is
+    missed with probability 1 - sure at most. A query stops at the first leaf that lies beyond the quantile whole.
     """
 
     k: int
@@ -195,23 +205,31 @@ class Near:
             away += np.maximum(np.maximum(low[None, :, d] - pq[:, None, d], pq[:, None, d] - high[None, :, d]), 0) ** 2
         return -away
 
-    def open(self, q: np.ndarray, bounds: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    def reach(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """The squared projected distance up to which a row has to be verified."""
         with np.errstate(invalid="ignore"):
             true = np.maximum(1 + self.longest - 2 * kth / self.scale / self.lengths(q)[:, None], 1e-12)
-            return ~(np.isfinite(kth) & (chi_square(np.where(np.isfinite(true), -bounds / true, 0), self.m) >= self.sure))
+            return np.where(np.isfinite(kth), true * chi_square_quantile(self.sure, self.m), np.inf)
 
-    def block(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, kth: np.ndarray, leaf: int = 32) -> pa.Table:
+    def open(self, q: np.ndarray, bounds: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        return -bounds <= self.reach(q, kth)
+
+    def block(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, keys: np.ndarray, kth: np.ndarray, leaf: int = 32) -> pa.Table:
         p = self.coordinates(x)
         tree = leaves(p, leaf)
         bound = self.bounds(q, np.array([p[b].min(0) for b in tree]), np.array([p[b].max(0) for b in tree]))
-        best = Best(own, self.k, np.float64, -np.inf, kth)
+        best = Best(own, keys, self.k, np.float64, -np.inf, kth)
         forward = [(x[b], ids[b]) for b in tree]
         slack = self.lengths(q) * np.sqrt((x**2).sum(1).max()) * 1e-12
+        pq = (q / self.lengths(q)[:, None]) @ self.project(q.shape[1])[:-1]
+        near = [p[b] for b in tree]
 
         def score(b: int, a: np.ndarray) -> None:
             rows, names = forward[b]
+            away = ((pq[a][:, None, :] - near[b][None, :, :]) ** 2).sum(2)
+            verified = away <= self.reach(q[a], best.kth(a)[:, None])
             fast = q[a] @ rows.T
-            i, j = np.nonzero(fast >= (best.kth(a) - slack[a])[:, None])
+            i, j = np.nonzero(verified & (fast >= (best.kth(a) - slack[a])[:, None]))
             exact = np.full(fast.shape, -np.inf)
             exact[i, j] = in_order(q[a][i], rows[j])
             best.offer(a, exact, names)
@@ -273,28 +291,29 @@ def search(rows: DataFrame, is_query: Column, k: int, method: Exact | Near, row_
                 some = np.flatnonzero(dims == dim)
                 x = matrix(pa.Table.from_batches([b.take(pa.array(some))]), "v", "float64")
                 block[some] = ranges(method.coordinates(x), trees[dim]) * parts[dim] + salt[some] % parts[dim]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(block)], ["id", "v", "dim", "asked", "block"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), b.column(5), pa.array(block)], ["id", "v", "dim", "asked", "key", "block"])
 
     kind = dict(rows.dtypes)["v"]
-    dealt = sides.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"), is_query.alias("asked"))
-    dealt = cut(dealt.mapInArrow(deal, f"id long, v {kind}, dim int, asked boolean, block long"))
+    dealt = sides.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"), is_query.alias("asked"), F.monotonically_increasing_id().alias("key"))
+    # Written once, so a row keeps its key: two rows of one id are two queries.
+    dealt = cut(dealt.mapInArrow(deal, f"id long, v {kind}, dim int, asked boolean, key long, block long"))
 
     def box(key: tuple, t: pa.Table) -> pa.Table:
         p = method.coordinates(matrix(t, "v", "float64"))
         return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "low": [p.min(0).tolist()], "high": [p.max(0).tolist()]}, pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
 
     boxes = cut(dealt.groupBy("dim", "block").applyInArrow(box, "dim int, block long, low array<double>, high array<double>"))
-    queries = dealt.filter("asked").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "dim")
+    queries = dealt.filter("asked").select("key", F.col("id").alias("query_id"), F.col("v").alias("q"), "dim")
     groups = spark.createDataFrame([(d, g, a) for d, (_, q) in sizes.items() for g in range(-(-(parts[d] << len(trees[d])) // BOXES)) for a in range(-(-q // BOUND_QUERIES))], "dim int, g int, a int")
     blocks_of = {d: max(1, -(-q // BOUND_QUERIES)) for d, (_, q) in sizes.items()}
     many = F.coalesce(*(F.when(F.col("dim") == d, F.lit(n)) for d, n in blocks_of.items()), F.lit(1)) if blocks_of else F.lit(1)
     grouped = boxes.withColumn("g", F.expr(f"block div {BOXES}").cast("int")).join(F.broadcast(groups), ["dim", "g"])
 
     def asked(found: DataFrame | None) -> DataFrame:
-        """(query_id, block): the pairs of the first round, or with (query_id, kth) of what it found, those that are still open."""
+        """(key, block): the pairs of the first round, or with (key, kth) of what it found, those that are still open."""
         opening = found is None
-        known = queries.withColumn("kth", F.lit(None).cast("double")) if found is None else queries.join(found, "query_id", "left")
-        known = known.withColumn("a", F.pmod(F.xxhash64("query_id"), many).cast("int")).join(F.broadcast(groups), ["dim", "a"])
+        known = queries.withColumn("kth", F.lit(None).cast("double")) if found is None else queries.join(found, "key", "left")
+        known = known.withColumn("a", F.pmod(F.xxhash64("key"), many).cast("int")).join(F.broadcast(groups), ["dim", "a"])
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             made = [[np.empty(0, np.int64)] * 2]
@@ -311,50 +330,51 @@ def search(rows: DataFrame, is_query: Column, k: int, method: Exact | Near, row_
                         r, c = np.repeat(np.arange(len(q)), min(first, len(low))), order[:, :first].ravel()
                     else:
                         r, c = np.nonzero(method.open(q, bounds, np.where(np.isnan(kth), -np.inf, kth)))
-                    made.append([some["query_id"].to_numpy()[r], block[c]])
+                    made.append([some["key"].to_numpy()[r], block[c]])
                     bounds_.append(bounds[r, c].astype(float))
             ids, blocks = (np.concatenate(x) for x in zip(*made, strict=True))
-            return pa.table({"query_id": ids, "block": blocks, "bound": np.concatenate(bounds_)})
+            return pa.table({"key": ids, "block": blocks, "bound": np.concatenate(bounds_)})
 
-        pairs = renewed(known).groupBy("dim", "g", "a").cogroup(grouped.groupBy("dim", "g", "a")).applyInArrow(run, "query_id long, block long, bound double")
+        pairs = renewed(known).groupBy("dim", "g", "a").cogroup(grouped.groupBy("dim", "g", "a")).applyInArrow(run, "key long, block long, bound double")
         if opening:
-            order = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+            order = W.partitionBy("key").orderBy(F.desc("bound"), "block")
             pairs = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= first)
-        return pairs.select("query_id", "block")
+        return pairs.select("key", "block")
 
     def met(pairs: DataFrame, kth: DataFrame | None) -> DataFrame:
-        """(query_id, vec_id, score): each query's best in each of its blocks."""
-        with_q = pairs.join(queries, "query_id")
-        with_q = with_q.withColumn("kth", F.lit(None).cast("double")) if kth is None else with_q.join(kth, "query_id", "left")
-        with_q = with_q.withColumn("s", F.xxhash64("query_id"))
+        """(key, query_id, vec_id, score): each query row's best in each of its blocks."""
+        with_q = pairs.join(queries, "key")
+        with_q = with_q.withColumn("kth", F.lit(None).cast("double")) if kth is None else with_q.join(kth, "key", "left")
+        with_q = with_q.withColumn("s", F.xxhash64("key"))
         load = with_q.groupBy("dim", "block").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("k"))
         with_q = with_q.join(load, ["dim", "block"]).withColumn("a", F.pmod("s", "k").cast("int"))
         held = dealt.join(load, ["dim", "block"]).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if score == "long" else pa.float64())])
+        schema = pa.schema([("key", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if score == "long" else pa.float64())])
 
         def run(x: pa.Table, q: pa.Table) -> pa.Table:
             if not x.num_rows or not q.num_rows:
                 return schema.empty_table()
             least = q["kth"].to_numpy().astype(float)
-            out = method.block(matrix(x, "v", "float64"), x["id"].to_numpy(), matrix(q, "q", "float64"), q["query_id"].to_numpy(), np.where(np.isnan(least), -np.inf, least))
+            out = method.block(matrix(x, "v", "float64"), x["id"].to_numpy(), matrix(q, "q", "float64"), q["query_id"].to_numpy(), q["key"].to_numpy(), np.where(np.isnan(least), -np.inf, least))
             return out.cast(schema)
 
-        key = ["dim", "block", "a"]
-        return held.select("id", "v", *key).groupBy(*key).cogroup(renewed(with_q.select("query_id", "q", "kth", *key)).groupBy(*key)).applyInArrow(run, f"query_id long, vec_id long, score {score}")
+        by = ["dim", "block", "a"]
+        return held.select("id", "v", *by).groupBy(*by).cogroup(renewed(with_q.select("key", "query_id", "q", "kth", *by)).groupBy(*by)).applyInArrow(run, f"key long, query_id long, vec_id long, score {score}")
 
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    order = W.partitionBy("key").orderBy(F.desc("score"), F.asc("vec_id"))
     pairs = cut(asked(None))
     early = cut(met(pairs, None).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-    kth = early.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-    later = met(asked(kth).join(pairs, ["query_id", "block"], "left_anti"), kth)
-    out = early.select("query_id", "vec_id", "score").union(later).withColumn("rank", F.row_number().over(order).cast("int"))
+    kth = early.filter(F.col("rank") == k).select("key", F.col("score").cast("double").alias("kth"))
+    later = met(asked(kth).join(pairs, ["key", "block"], "left_anti"), kth)
+    out = early.select("key", "query_id", "vec_id", "score").union(later).withColumn("rank", F.row_number().over(order).cast("int"))
     return out.select("query_id", "rank", "vec_id", "score").filter(F.col("rank") <= k)
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, row_block: int = ROW_BLOCK) -> DataFrame:
     """Exact k best by integer inner product of floor(scale * x): query_id, rank, vec_id, score long.
 
-    is_query is a condition on the column `id`. A query's own row, and rows of its id, are no candidates. NULL vectors,
+    is_query is a condition on the column `id`. A query's own row, and rows of its id, are no candidates; two rows of one
+    id are two queries, with ranks of their own under that id. NULL vectors,
     vectors holding NULL or non-finite components, empty vectors and NULL ids take no part. Ties go to
     the smaller id. A query with fewer candidates gets them all; repeated rows of one id are candidates each; an empty table
     gives no rows. Other columns are not read. Scores below 2**53 are compared as they are; above, bounds are doubles.
@@ -364,7 +384,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec
     return search(rows, is_query, k, Exact(k), row_block)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector: str = "embedding", m: int = 8, sure: float = 0.99, seed: int = 11, row_block: int = ROW_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector: str = "embedding", m: int = 32, sure: float = 0.88, seed: int = 11, row_block: int = ROW_BLOCK) -> DataFrame:
     """k nearest found by largest inner product: query_id, rank, vec_id, score double.
 
     As exact_top_k, but zero vectors take no part either, and a neighbour may be missed: `sure` is the
