@@ -25,14 +25,14 @@ def is_header(first: Column) -> Column:
 
 
 def first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(value, file, first): lines that aren't blank, and whether a line is the first of its file.
+    """(value, file, first, place): lines that aren't blank, whether a line is the first of its file, and what orders a file's lines.
 
     Lines are read in splits; that of offset 0 begins with the file's first line.
     """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
     lines = lines.filter(F.trim("value") != "")
     first = lines.filter("__start = 0").groupBy("file").agg(F.min("__at").alias("__first"))
-    return lines.join(first, "file").select("value", "file", (F.col("__at") == F.col("__first")).alias("first"))
+    return lines.join(first, "file").select("value", "file", (F.col("__at") == F.col("__first")).alias("first"), F.struct("__start", "__at").alias("place"))
 
 
 def existing(spark: SparkSession, glob: str) -> list[str]:
@@ -92,16 +92,41 @@ def annotated_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.withColumn("t_start", F.when(bad, F.raise_error(F.concat(F.lit("no event: "), "value"))).otherwise(F.col("t_start"))).drop("value")
 
 
+#: Columns of corrected events, in their order where no header names them.
+CORRECTED = ("label_stim", "t_start", "duration", "t_end", "correction_start", "macro_part", "macro_part_index", "macro_event_index")
+
+
 def corrected_events(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated corrected events with or without a header: t_end filled from t_start + duration, default part columns.
 
-    Only a first line that names the label column is a header; rows without a time are an error.
+    A first line that has a field label_stim, or whose first field names the label column, is a header, and its names say which column is which;
+    without one the columns are CORRECTED in order. Columns that a file lacks are NULL, macro_event_index is then the line's number in its file from
+    0, macro_part 'session' and macro_part_index 0. A header without label, t_start or duration, and a row without either time,
+    are errors.
     """
-    f = lambda i: F.nullif(F.get(_fields(F.col("value"), "\t"), F.lit(i)), F.lit(""))
-    lines = first_lines(spark, path).filter(~(F.col("first") & is_header(f(0))))
-    rows = lines.select(f(0).alias("label_stim"), *(number(f(i)).alias(c) for i, c in enumerate(("t_start", "duration", "t_end", "correction_start"), 1)), f(5).alias("macro_part"), f(6).try_cast("int").alias("macro_part_index"), f(7).try_cast("int").alias("macro_event_index"))
-    time = F.when(F.col("t_start").isNull(), F.raise_error(F.lit("an event has no time"))).otherwise(F.col("t_start"))
-    return rows.withColumns({"t_start": time, "t_end": F.coalesce("t_end", F.col("t_start") + F.col("duration")), "macro_part": F.coalesce("macro_part", F.lit("session")), "macro_part_index": F.coalesce("macro_part_index", F.lit(0))})
+    lines = first_lines(spark, path).withColumn("f", _fields(F.col("value"), "\t"))
+    names = F.transform("f", F.lower)
+    head = F.col("first") & (F.array_contains(names, "label_stim") | is_header(F.get("f", F.lit(0))))
+    named = F.transform(names, lambda c, i: F.when((i == 0) & ~F.array_contains(names, "label_stim"), F.lit("label_stim")).otherwise(c))
+    missing = ~(F.array_contains(named, "t_start") & F.array_contains(named, "duration"))
+    named = F.when(missing, F.raise_error(F.concat(F.lit("no columns t_start and duration: "), "value"))).otherwise(named)
+    headers = lines.filter(head).select("file", named.alias("names"))
+    rows = lines.filter(~head).join(headers, "file", "left").withColumn("names", F.coalesce("names", F.array(*map(F.lit, CORRECTED))))
+    at = lambda c: F.array_position("names", c).cast("int")
+    cell = lambda c: F.when(at(c) > 0, F.nullif(F.get("f", at(c) - 1), F.lit("")))
+    line = F.row_number().over(W.partitionBy("file").orderBy("place")) - 1
+    t0, length = number(cell("t_start")), number(cell("duration"))
+    bad = t0.isNull() | length.isNull()
+    return rows.select(
+        cell("label_stim").alias("label_stim"),
+        F.when(bad, F.raise_error(F.concat(F.lit("an event has no time: "), "value"))).otherwise(t0).alias("t_start"),
+        length.alias("duration"),
+        F.coalesce(number(cell("t_end")), t0 + length).alias("t_end"),
+        number(cell("correction_start")).alias("correction_start"),
+        F.coalesce(cell("macro_part"), F.lit("session")).alias("macro_part"),
+        F.coalesce(cell("macro_part_index").try_cast("int"), F.lit(0)).alias("macro_part_index"),
+        F.coalesce(cell("macro_event_index").try_cast("int"), line).alias("macro_event_index"),
+    )
 
 
 def dead_intervals(spark: SparkSession, glob: str, rate: float) -> DataFrame:

@@ -103,6 +103,13 @@ def test_event_readers(spark, tmp_path):
     assert [(r["t_start"], r["t_end"], r["macro_part"], r["macro_part_index"]) for r in rows] == [(1.0, 3.0, "session", 0), (4.0, 9.0, "p2", 1)]
     corrected.write_text("label_stim\tt_start\tduration\nA1-A2\t1\t2\n")
     assert rd.corrected_events(spark, str(corrected)).count() == 1
+    corrected.write_text("label_stim\tduration\tt_start\tnote\nA1-A2\t2\t1,5\tx\n\nA3-A4\t1\t7\ty\n")
+    rows = rd.corrected_events(spark, str(corrected)).orderBy("t_start").collect()
+    assert [(r["label_stim"], r["t_start"], r["duration"], r["t_end"], r["macro_event_index"]) for r in rows] == [("A1-A2", 1.5, 2.0, 3.5, 0), ("A3-A4", 7.0, 1.0, 8.0, 1)]
+    for text, error in (("label_stim\tt_start\nA1-A2\t1\n", "no columns"), ("label_stim\tt_start\tduration\nA1-A2\t1\t\n", "no time"), ("A1-A2\t\t3\n", "no time")):
+        corrected.write_text(text)
+        with pytest.raises(Exception, match=error):
+            rd.corrected_events(spark, str(corrected)).collect()
     assert rd.dead_intervals(spark, str(tmp_path / "none_*.dead"), 100.0).collect() == []
     (tmp_path / "x_E1.dead").write_text("100\t300\n")
     assert [tuple(r) for r in rd.dead_intervals(spark, str(tmp_path / "*.dead"), 100.0).collect()] == [("E1", 1.0, 3.0)]
