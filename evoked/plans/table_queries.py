@@ -9,6 +9,7 @@ from evoked.functions import labels as lb
 from evoked.operators import celltypes as ct
 from evoked.operators import reconcile as rc
 from evoked.operators import binning as bn
+from evoked.operators import spiketrain as st
 from evoked.operators.binning import locality
 from evoked.functions import frequency as fq
 from evoked.functions.tails import two_sided_sql
@@ -211,10 +212,23 @@ def group_study(spark: SparkSession, d: str) -> DataFrame:
     return pl.group_study(o, "region", "tag", "x", "O")[0]
 
 
+@query(f"""WITH {v.FX}, live AS (SELECT * FROM fx_spikes p WHERE NOT EXISTS (SELECT 1 FROM fx_merged d WHERE d.session = p.session AND d.electrode = p.electrode AND p.t_tick >= d.s AND p.t_tick < d.e)),
+  c AS (SELECT p.unit_id, t.stim_index, (p.t_tick - t.t0 + 10000000) // 50000 AS bin, count(*) AS n FROM fx_trials t JOIN live p ON p.session = t.session AND p.t_tick >= t.t0 - 10000000 AND p.t_tick < t.t0 GROUP BY ALL),
+  m AS (SELECT unit_id, stim_index, sum(n) / 200.0 AS m, (sum(n * n) - sum(n) * sum(n) / 200.0) / 199 AS var FROM c GROUP BY ALL)
+SELECT r.*, fr_baseline, CASE WHEN var > 0 THEN (fr_post - m / 0.05) / (sqrt(var) / 0.05) END AS z_pre, CASE WHEN fr_baseline > 0 THEN 100 * (fr_post - fr_baseline) / fr_baseline END AS delta_base_pct
+FROM ({ORACLES["trial_response"]}) r LEFT JOIN m USING (unit_id, stim_index) LEFT JOIN (SELECT unit_id, fr_baseline FROM ({ORACLES["unit_rates"]})) USING (unit_id)""")
+def trial_scores(spark: SparkSession, d: str) -> DataFrame:
+    """P24 in full: the response table with z against the bins before and the change from the baseline rate."""
+    spikes, trials, merged = v.spikes(spark, d), v.trials(spark, d), eq.merged(spark, d)
+    responses = st.trial_responses(spikes, trials, v.units(spark, d), v.dead(spark, d))
+    rates = st.unit_rates(spikes, eq.extent(spark, d), trials, v.units(spark, d), merged)
+    return st.trial_scores(responses, spikes, trials, rates, merged)
+
+
 @query(f"""SELECT r.*, i.* EXCLUDE (session, unit_id), a.* EXCLUDE (session, unit_id) FROM ({ORACLES["unit_rates"]}) r LEFT JOIN ({ORACLES["isi_features"]}) i USING (session, unit_id) LEFT JOIN ({ORACLES["autocorrelogram"]}) a USING (session, unit_id)""".replace("1e6 / (", "1e6 / ("))
 def unit_summary(spark: SparkSession, d: str) -> DataFrame:
     """L1: one row a unit with rates, intervals and autocorrelogram."""
-    return pl.unit_summary(v.spikes(spark, d), v.trials(spark, d), v.units(spark, d), v.dead(spark, d), eq.extent(spark, d), eq.BIN, eq.BINS)[0]
+    return pl.unit_summary(v.spikes(spark, d), v.trials(spark, d), v.units(spark, d), v.dead(spark, d), eq.extent(spark, d), eq.BIN, eq.BINS, eq.BIN)[0]
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, (o_orderkey * 37 % 1000) / 10.0::DOUBLE AS t, (o_orderkey % 1000) / 1000.0::DOUBLE AS p, (o_orderkey % 7)::DOUBLE AS pre, (o_custkey % 9)::DOUBLE AS post, o_custkey AS c FROM orders)
