@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,7 @@ def chi_square(x: float, m: int) -> float:
     return 1 - math.exp(-min(half, 700)) * total
 
 
+@lru_cache
 def chi_square_quantile(p: float, m: int) -> float:
     lo, hi = 0.0, 1e4
     for _ in range(200):
@@ -202,7 +204,10 @@ class Near:
         pq = (q / self.lengths(q)[:, None]) @ self.project(q.shape[1])[:-1]
         away = np.zeros((len(q), len(low)))
         for d in range(self.m):
-            away += np.maximum(np.maximum(low[None, :, d] - pq[:, None, d], pq[:, None, d] - high[None, :, d]), 0) ** 2
+            x = pq[:, d, None]
+            out = x - np.minimum(np.maximum(x, low[None, :, d]), high[None, :, d])
+            out *= out
+            away += out
         return -away
 
     def reach(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
@@ -222,11 +227,12 @@ class Near:
         forward = [(x[b], ids[b]) for b in tree]
         slack = self.lengths(q) * np.sqrt((x**2).sum(1).max()) * 1e-12
         pq = (q / self.lengths(q)[:, None]) @ self.project(q.shape[1])[:-1]
-        near = [p[b] for b in tree]
+        pq_square = (pq**2).sum(1)
+        near = [(p[b].T, (p[b] ** 2).sum(1)) for b in tree]
 
         def score(b: int, a: np.ndarray) -> None:
             rows, names = forward[b]
-            away = ((pq[a][:, None, :] - near[b][None, :, :]) ** 2).sum(2)
+            away = pq_square[a][:, None] + near[b][1][None, :] - 2 * pq[a] @ near[b][0]
             verified = away <= self.reach(q[a], best.kth(a)[:, None])
             fast = q[a] @ rows.T
             i, j = np.nonzero(verified & (fast >= (best.kth(a) - slack[a])[:, None]))
