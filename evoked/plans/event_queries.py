@@ -69,7 +69,7 @@ ISI = f"""{v.FX}, p AS (SELECT *, lag(t_tick) OVER (PARTITION BY session, unit_i
     avg(2 * abs(ms - b) / (ms + b)) AS cv2, avg(3 * pow((ms - b) / (ms + b), 2)) AS lv, count_if(ms < 2) AS n_refractory, avg((ms < 2)::INT) AS refractory_ratio,
     avg((ms < 6)::INT) AS burst6, avg((ms < 10)::INT) AS burst10, CASE WHEN avg(ms) > 0 THEN stddev_samp(ms) / avg(ms) END AS cv FROM g GROUP BY ALL),
   t AS (SELECT session, unit_id, count(*) AS n_isi_total FROM i GROUP BY ALL)
-SELECT session, unit_id, coalesce(n_isi_total, 0) AS n_isi_total, coalesce(n_isi_valid, 0) AS n_isi_valid, isi_mean_ms, isi_median_ms, isi_sd_ms, isi_min_ms, isi_max_ms, CASE WHEN n_isi_total + 1 >= 10 THEN cv2 END AS cv2, CASE WHEN n_isi_total + 1 >= 10 THEN lv END AS lv, n_refractory, refractory_ratio, burst6, burst10, cv
+SELECT session, unit_id, coalesce(n_isi_total, 0) AS n_isi_total, coalesce(n_isi_valid, 0) AS n_isi_valid, isi_mean_ms, isi_median_ms, isi_sd_ms, isi_min_ms, isi_max_ms, cv2, CASE WHEN n_isi_total + 1 >= 10 THEN cv2 END AS cv2_gated, CASE WHEN n_isi_total + 1 >= 10 THEN lv END AS lv, n_refractory, refractory_ratio, burst6, burst10, cv
 FROM fx_units LEFT JOIN t USING (session, unit_id) LEFT JOIN s USING (session, unit_id)""")
 def isi_features(spark: SparkSession, d: str) -> DataFrame:
     """A3, A5, O-W1, O-W2, J10."""

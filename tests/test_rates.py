@@ -34,14 +34,14 @@ def test_autocorrelogram_by_hand(spark):
 
 
 @pytest.mark.parametrize("n,stated", [(9, False), (10, True)])
-def test_cv2_needs_ten_spikes(spark, n, stated):
+def test_gated_cv2_needs_ten_spikes(spark, n, stated):
     df = spikes(spark, np.cumsum(np.arange(1, n + 1)) * MS)
     dead = spark.createDataFrame([], "session string, electrode int, s long, e long")
     r = st.isi_features(df, df.select("session", "electrode", "unit_id").distinct(), dead, ["session", "unit_id"], ["session", "electrode"]).first()
-    assert r["n_isi_valid"] == n - 1 and (r["cv2"] is not None) == stated and (r["lv"] is not None) == stated
+    assert r["n_isi_valid"] == n - 1 and (r["cv2_gated"] is not None) == stated and r["cv2"] is not None and (r["lv"] is not None) == stated
     if stated:
         i = np.arange(2, n + 1, dtype=float)
-        assert math.isclose(r["cv2"], np.mean(2 * np.diff(i) / (i[1:] + i[:-1])))
+        assert math.isclose(r["cv2_gated"], np.mean(2 * np.diff(i) / (i[1:] + i[:-1])))
 
 
 def walk(w, at, level, below):
