@@ -7,16 +7,39 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evoked.operators.order import met, quantiles
+
 
 def quantile_bins(df: DataFrame, x: str, n: int) -> DataFrame:
     """Adds bin (from 1): n equal-frequency bins, right-closed, the lowest value included; equal edges merge."""
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(x, F.array(*(F.lit(i / n) for i in range(n + 1)))))).alias("__edges"))
+    names = {f"e{i}": i / n for i in range(n + 1)}
+    edges = quantiles(df, [], x, names).select(F.array_sort(F.array_distinct(F.array(*names))).alias("__edges"))
     rows = df.join(F.broadcast(edges))
     return rows.withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("__edges", lambda e: e < F.col(x))))).drop("__edges")
 
 
 def five_numbers(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.percentile(x, 0.25).alias("q25"), F.median(x).alias("med"), F.percentile(x, 0.75).alias("q75"), F.max(x).alias("hi"))
+    """(keys, n, lo, q25, med, q75, hi) of x, exact in groups of any size."""
+    return quantiles(df, keys, x, {"q25": 0.25, "med": 0.5, "q75": 0.75}).select(*keys, "n", "lo", "q25", "med", "q75", "hi")
+
+
+def display_limits(df: DataFrame, keys: list[str], x: str, symmetric: float = 0.98, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(keys, symmetric, lo, hi): a quantile of abs(x), and a low and a high one of x."""
+    rows = df.select(*keys, F.col(x).alias("__x"), F.abs(F.col(x)).alias("__a"))
+    ends = quantiles(rows, keys, "__x", {"__low": low, "__high": high}).select(*keys, F.col("__low").alias("lo"), F.col("__high").alias("hi"))
+    return met(quantiles(rows, keys, "__a", {"symmetric": symmetric}).select(*keys, "symmetric"), ends, keys)
+
+
+def joint_limits(df: DataFrame, keys: list[str], channel: list[str], x: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(keys, lo, hi) that all channels are drawn in: the least of their low quantiles and the greatest of their high ones."""
+    each = quantiles(df, [*keys, *channel], x, {"__low": low, "__high": high})
+    return each.groupBy(*keys).agg(F.min("__low").alias("lo"), F.max("__high").alias("hi"))
+
+
+def robust_scale(df: DataFrame, keys: list[str], index: str, x: str, stride: int, q: float = 0.99) -> DataFrame:
+    """(keys, n, scale): a quantile of abs(x) over every stride-th sample, index counted from 0, as a scale that single peaks don't set."""
+    rows = df.filter(F.col(index) % stride == 0).withColumn("__a", F.abs(F.col(x)))
+    return quantiles(rows, keys, "__a", {"scale": q}).select(*keys, "n", "scale")
 
 
 def kernel_density(df: DataFrame, keys: list[str], x: str, steps: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from evoked.functions.tails import chi2_p, t_p, t_quantile, two_sided
+from evoked.operators.order import cut, met, ranked, running
 
 EXACT_MAX = 50
 
@@ -62,19 +63,19 @@ def signed_rank(df: DataFrame, keys: list[str], d: str = "d", zeros: str = "wilc
     All zero: stat 0, p 1. Fewer than min_n differences, zeros included: NULL.
     """
     rows = df.filter(F.col(d).isNotNull())
-    used = rows if zeros == "pratt" else rows.filter(F.col(d) != 0)
-    size = F.abs(F.col(d))
-    ranked = used.withColumn("__a", size).withColumn("__r", avg_rank(F.col("__a"), keys))
-    ranked = ranked.withColumn("__t", F.count(F.lit(1)).over(W.partitionBy(*keys, "__a")))
-    stats = ranked.groupBy(*keys).agg(
-        F.sum(F.when(F.col(d) > 0, F.col("__r")).otherwise(0)).alias("rp"),
-        F.sum(F.when(F.col(d) < 0, F.col("__r")).otherwise(0)).alias("rm"),
-        F.count(F.lit(1)).alias("na"),
-        F.count_if(F.col(d) == 0).alias("nz"),
-        F.sum(F.when(F.col(d) != 0, F.col("__t") * F.col("__t") - 1.0).otherwise(0)).alias("ties"),
+    x = F.col(d)
+    every = cut(rows.groupBy(*keys, F.abs(x).alias("__a")).agg(F.count_if(x > 0).alias("__up"), F.count_if(x < 0).alias("__down"), F.count(F.lit(1)).alias("__t")))
+    used = every if zeros == "pratt" else every.filter(F.col("__a") != 0)
+    r, t = F.col("rank"), F.col("__t").cast("double")
+    stats = ranked(used, keys, "__a", "__t").groupBy(*keys).agg(
+        F.sum(F.col("__up") * r).alias("rp"),
+        F.sum(F.col("__down") * r).alias("rm"),
+        F.sum("__t").alias("na"),
+        F.sum(F.when(F.col("__a") == 0, F.col("__t")).otherwise(0)).alias("nz"),
+        F.sum(F.when(F.col("__a") != 0, t * (t * t - 1.0)).otherwise(0)).alias("ties"),
     )
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col(d) != 0).alias("n"))
-    out = counts.join(stats, keys, "left")
+    counts = every.groupBy(*keys).agg(F.sum("__t").alias("n_all"), F.sum(F.col("__up") + F.col("__down")).alias("n"))
+    out = met(counts, stats, keys, "left")
     na, nz = F.col("na"), F.col("nz")
     mean = (na * (na + 1) - nz * (nz + 1)) / 4.0
     var = (na * (na + 1) * (2 * na + 1) - nz * (nz + 1) * (2 * nz + 1)) / 24.0 - F.col("ties") / 48.0
@@ -93,8 +94,8 @@ def signed_rank_sparse(df: DataFrame, counts: DataFrame, keys: list[str], d: str
     The zeros take the lowest ranks, so they only shift the others; groups of counts without a difference have stat 0, p 1.
     """
     size = F.abs(F.col(d))
-    ranked = df.withColumn("__a", size).withColumn("__r", avg_rank(F.col("__a"), keys)).withColumn("__t", F.count(F.lit(1)).over(W.partitionBy(*keys, "__a")))
-    sums = ranked.groupBy(*keys).agg(
+    rows = df.withColumn("__a", size).withColumn("__r", avg_rank(F.col("__a"), keys)).withColumn("__t", F.count(F.lit(1)).over(W.partitionBy(*keys, "__a")))
+    sums = rows.groupBy(*keys).agg(
         F.sum(F.when(F.col(d) > 0, F.col("__r")).otherwise(0)).alias("rp"),
         F.sum(F.when(F.col(d) < 0, F.col("__r")).otherwise(0)).alias("rm"),
         F.count_if(F.col(d) > 0).alias("np"),
@@ -115,17 +116,19 @@ def signed_rank_sparse(df: DataFrame, counts: DataFrame, keys: list[str], d: str
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, reference: str, min_n: int = 3, exact: bool = False) -> DataFrame:
     """Two-sided Mann-Whitney U of every other group against the reference within keys: n1, n2, u, p.
 
-    The reference's rows are joined to the groups by key, so a pair of samples is ranked on its own. p is normal with tie
+    The reference's counted values are joined to the groups by key, so a pair of samples is ranked on its own, at any size. p is normal with tie
     and continuity correction; with exact, small samples without ties get the exact p.
     """
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.col(group).alias("grp"), F.col(value).alias("x"))
-    others = rows.filter(F.col("grp") != reference)
-    ref = rows.filter(F.col("grp") == reference).select(*keys, "x")
-    ref = others.select(*keys, "grp").distinct().join(ref, keys).select(*keys, "grp", "x", F.lit(0).alias("one"))
-    both = others.select(*keys, "grp", "x", F.lit(1).alias("one")).unionByName(ref)
+    counted = cut(rows.groupBy(*keys, "grp", "x").agg(F.count(F.lit(1)).alias("c")))
+    others = counted.filter(F.col("grp") != reference)
+    ref = counted.filter(F.col("grp") == reference).select(*keys, "x", "c")
+    ref = met(others.select(*keys, "grp").distinct(), ref, keys).select(*keys, "grp", "x", F.lit(0).cast("long").alias("a"), F.col("c").alias("b"))
+    both = others.select(*keys, "grp", "x", F.col("c").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(ref)
     by = [*keys, "grp"]
-    ranked = both.withColumn("r", avg_rank(F.col("x"), by)).withColumn("t", F.count(F.lit(1)).over(W.partitionBy(*by, "x")))
-    s = ranked.groupBy(*by).agg(F.sum("one").alias("n1"), F.sum(1 - F.col("one")).alias("n2"), F.sum(F.col("r") * F.col("one")).alias("r1"), F.sum(F.col("t") * F.col("t") - 1.0).alias("ties"))
+    both = both.groupBy(*by, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("t", F.col("a") + F.col("b"))
+    t = F.col("t").cast("double")
+    s = ranked(both, by, "x", "t").groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(t * (t * t - 1.0)).alias("ties"))
     s = s.filter((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
@@ -142,9 +145,13 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, referen
 def kruskal(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, degrees of freedom and chi-square p; NULL values go."""
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    rows = rows.withColumn("__r", avg_rank(F.col(value), keys)).withColumn("__t", F.count(F.lit(1)).over(W.partitionBy(*keys, value)))
-    g = rows.groupBy(*keys, group).agg(F.sum("__r").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("__t") * F.col("__t") - 1.0).alias("t"))
-    s = g.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.sum("n").alias("n"), F.sum("t").alias("t"), (F.count(F.lit(1)) - 1).alias("df"))
+    counted = cut(rows.groupBy(*keys, F.col(value).alias("__x"), F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__c")))
+    values = ranked(counted.groupBy(*keys, "__x").agg(F.sum("__c").alias("__t")), keys, "__x", "__t")
+    t = F.col("__t").cast("double")
+    ties = values.groupBy(*keys).agg(F.sum(t * (t * t - 1.0)).alias("t"))
+    g = met(counted, values, [*keys, "__x"]).groupBy(*keys, "__g").agg(F.sum(F.col("__c") * F.col("rank")).alias("s"), F.sum("__c").alias("n"))
+    s = g.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.sum("n").alias("n"), (F.count(F.lit(1)) - 1).alias("df"))
+    s = met(s, ties, keys)
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("ss") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
     return s.select(*keys, "n", "df", F.when((F.col("df") > 0) & (F.col("t") < n * n * n - n), h).alias("h")).withColumn("p", chi2_p("h", "df"))
@@ -168,38 +175,26 @@ def correlation(df: DataFrame, keys: list[str], x: str, y: str, method: str = "p
 
 
 def bh_fdr(df: DataFrame, family: list[str], p: str = "p", out: str = "q", alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg q within each family, and reject; NULL p stays NULL and doesn't count.
+    """Benjamini-Hochberg q within each family, and reject; NULL p stays NULL and doesn't count. No family: the whole table is one.
 
-    The ordered pass over a family runs in one task: for families of up to some million tests. See
-    bh_fdr_large for one family that holds the whole table.
+    Values of p are counted, so ties share the rank of their last; ranks come from the counts of smaller values, and the minimum
+    from the right from those of greater ones, both for families of any size.
     """
-    w = W.partitionBy(*family, F.col(p).isNull()).orderBy(p)
-    m = F.count(p).over(W.partitionBy(*family))
-    rows = df.withColumn("__q", F.col(p) * m / F.row_number().over(w))
-    back = W.partitionBy(*family, F.col(p).isNull()).orderBy(F.col(p).desc(), F.col("__q").asc()).rowsBetween(W.unboundedPreceding, 0)
-    q = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(back)))
-    return rows.withColumn(out, q).withColumn("reject", F.coalesce(F.col(out) <= alpha, F.lit(False))).drop("__q")
+    own = [*(f"__f{i}" for i in range(len(family))), "__f"]
+    rows = df.withColumns({o: F.col(f) for o, f in zip(own, family, strict=False)} | {"__f": F.lit(0), "__p": F.col(p)})
+    counted = cut(rows.filter(F.col("__p").isNotNull()).groupBy(*own, "__p").agg(F.count(F.lit(1)).alias("__c")))
+    sizes = counted.groupBy(*own).agg(F.sum("__c").alias("__m"))
+    at = met(ranked(counted, own, "__p", "__c"), sizes, own)
+    at = at.select(*own, "__p", (F.col("__p") * F.col("__m") / (F.col("before") + F.col("__c"))).alias("__raw"))
+    at = running(at, own, "__p", "__raw", "__after", F.min, F.least, down=True)
+    at = at.select(*own, "__p", F.least(F.lit(1.0), "__raw", "__after").alias("__q"))
+    both = met(rows, at, [*own, "__p"], "left")
+    return both.withColumn(out, F.col("__q")).withColumn("reject", F.coalesce(F.col(out) <= alpha, F.lit(False))).drop(*own, "__p", "__q")
 
 
-def bh_fdr_large(df: DataFrame, p: str = "p", out: str = "q", bands: int = 1024) -> DataFrame:
-    """q over the whole table as one family, without a single-task sort.
-
-    p is cut into bands; ranks within a band are offset by the counts of the bands before, and the running
-    minimum from the right takes the bands' minima: both are sums over one row a band. Ties share the rank of the last.
-    """
-    band = F.when(F.col(p).isNotNull(), F.least(F.floor(F.sqrt(F.col(p)) * bands), F.lit(bands - 1)).cast("int"))
-    rows = df.withColumn("__b", band)
-    sizes = rows.filter(F.col(p).isNotNull()).groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("__m"))
-    last = F.count(F.lit(1)).over(W.partitionBy("__b").orderBy(p))
-    raw = rows.join(F.broadcast(sizes), "__b", "left").withColumn("__q", F.when(F.col(p).isNotNull(), F.col(p) * F.col("__m") / (F.col("__before") + last)))
-    least = raw.filter(F.col(p).isNotNull()).groupBy("__b").agg(F.min("__q").alias("__lq"))
-    after = W.orderBy("__b").rowsBetween(1, W.unboundedFollowing)
-    least = least.select("__b", F.min("__lq").over(after).alias("__after"))
-    within = F.min("__q").over(W.partitionBy("__b").orderBy(F.col(p).desc()))
-    final = raw.join(F.broadcast(least), "__b", "left").withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), within, F.coalesce("__after", F.lit(1.0)))))
-    return final.drop("__b", "__before", "__m", "__q", "__after")
+def bh_fdr_large(df: DataFrame, p: str = "p", out: str = "q") -> DataFrame:
+    """q over the whole table as one family."""
+    return bh_fdr(df, [], p, out).drop("reject")
 
 
 def _signs(obs: np.ndarray, perms: np.ndarray) -> np.ndarray:
@@ -294,15 +289,6 @@ def _grid_labels(marked: DataFrame, keys: list[str], maps: int = 64) -> DataFram
     return marked.groupBy(*keys, F.expr(f"perm div {maps}")).applyInPandas(label, schema)
 
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """left with right's other columns where the columns `on` are equal or both NULL."""
-    own = right.select(*(F.col(k).alias(f"__{k}") for k in on), *(c for c in right.columns if c not in on))
-    cond = F.lit(True)
-    for k in on:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(own, cond, how).drop(*(f"__{k}" for k in on))
-
-
 def _p_values(labelled: DataFrame, keys: list[str], n_perm: int) -> DataFrame:
     """(keys, sign, c, first_idx, last_idx, size, mass, p) of the observed clusters: p is the share of permutations whose largest absolute mass reaches theirs."""
     by = [*keys, "perm", "sign", "c"]
@@ -345,9 +331,9 @@ def cluster_mask(df: DataFrame, keys: list[str], value: str, n_perm: int = 200,
     names = cells.groupBy(*keys, "sign", "c").agg(name)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("first", "sign"))  # a few clusters a map
     names = names.select(*keys, "sign", "c", rank.alias("cluster"))
-    both = _met(_met(cells, names, [*keys, "sign", "c"]), p.select(*keys, "sign", "c", "p"), [*keys, "sign", "c"])
+    both = met(met(cells, names, [*keys, "sign", "c"]), p.select(*keys, "sign", "c", "p"), [*keys, "sign", "c"])
     every = tested.filter("perm = 0").select(*keys, *cell, "n", "mean", "t")
-    out = _met(every, both.select(*keys, *cell, "cluster", "p"), [*keys, *cell], "left")
+    out = met(every, both.select(*keys, *cell, "cluster", "p"), [*keys, *cell], "left")
     return out.withColumn("mask", F.coalesce(F.col("p") <= level, F.lit(False)))
 
 

@@ -13,6 +13,7 @@ from evoked.operators import binning as bn
 from evoked.operators import describe as ds
 from evoked.operators import spiketrain as st
 from evoked.operators import stats
+from evoked.operators.order import met, quantiles
 from evoked.plans import event_queries as eq
 from evoked.plans import views as v
 from evoked.plans.registry import query
@@ -143,7 +144,7 @@ def fdr_families(spark: SparkSession, d: str) -> DataFrame:
   m AS (SELECT *, p * count(p) OVER () / row_number() OVER (PARTITION BY p IS NULL ORDER BY p) AS raw FROM p)
 SELECT l_orderkey, l_linenumber, p, CASE WHEN p IS NOT NULL THEN least(1.0, min(raw) OVER (PARTITION BY p IS NULL ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)) END AS q FROM m""")
 def fdr_pooled(spark: SparkSession, d: str) -> DataFrame:
-    """T7 pooled over the whole table, by bands of p."""
+    """T7 pooled over the whole table as one family."""
     return stats.bh_fdr_large(_p_values(spark, d).drop("family"))
 
 
@@ -201,13 +202,15 @@ SELECT r_name, count(DISTINCT n_name) AS nations, count(*) AS suppliers, avg(s_a
 def dataset_description(spark: SparkSession, d: str) -> DataFrame:
     """Counts, central values and missing values after dimension joins."""
     q = v.read(spark, d, "supplier").join(v.read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(v.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return q.groupBy("r_name").agg(F.countDistinct("n_name").alias("nations"), F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("mean_bal"), F.median("s_acctbal").alias("median_bal"), F.count_if(F.col("s_acctbal") < 0).alias("negative"), F.count_if(F.col("s_acctbal").isNull()).alias("missing"))
+    counts = q.groupBy("r_name").agg(F.countDistinct("n_name").alias("nations"), F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("mean_bal"), F.count_if(F.col("s_acctbal") < 0).alias("negative"), F.count_if(F.col("s_acctbal").isNull()).alias("missing"))
+    return met(counts, quantiles(q, ["r_name"], "s_acctbal", {"median_bal": 0.5}).select("r_name", "median_bal"), ["r_name"])
 
 
 @query("""SELECT o_orderpriority, median(o_totalprice) FILTER (o_orderstatus = 'F') AS "F", median(o_totalprice) FILTER (o_orderstatus = 'O') AS "O", median(o_totalprice) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
 def median_pivot(spark: SparkSession, d: str) -> DataFrame:
     """A22."""
-    return v.read(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.median("o_totalprice"))
+    medians = quantiles(v.read(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice", {"median": 0.5})
+    return medians.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.max("median"))
 
 
 @query("""WITH q AS (SELECT list_distinct(quantile_cont(l_quantity, [i / 30.0 for i in range(31)])) AS e FROM lineitem), e AS (SELECT list_sort(e) AS e FROM q),
@@ -216,7 +219,7 @@ SELECT g, bin, count(*) AS n, median(y) AS med, quantile_cont(y, 0.25) AS q25, q
 def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
     """A23."""
     rows = v.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    return ds.quantile_bins(rows, "x", 30).groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), F.median("y").alias("med"), F.percentile("y", 0.25).alias("q25"), F.percentile("y", 0.75).alias("q75"))
+    return quantiles(ds.quantile_bins(rows, "x", 30), ["g", "bin"], "y", {"med": 0.5, "q25": 0.25, "q75": 0.75}).select("g", "bin", "n", "med", "q25", "q75")
 
 
 @query("SELECT o_orderpriority AS g, count(*) AS n, min(o_totalprice) AS lo, quantile_cont(o_totalprice, 0.25) AS q25, median(o_totalprice) AS med, quantile_cont(o_totalprice, 0.75) AS q75, max(o_totalprice) AS hi FROM orders GROUP BY 1")
@@ -242,11 +245,25 @@ def psd_grand_average(spark: SparkSession, d: str) -> DataFrame:
     return ds.grand_average(rows, ["s", "c", "f"], ["c", "f"], "x")
 
 
-@query("SELECT l_returnflag AS g, quantile_cont(abs(l_extendedprice - 30000), 0.98) AS symmetric, quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_extendedprice, 0.95) AS hi FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS g, quantile_cont(abs(l_extendedprice - 30000), 0.98) AS symmetric, quantile_cont(l_extendedprice - 30000, 0.05) AS lo, quantile_cont(l_extendedprice - 30000, 0.95) AS hi FROM lineitem GROUP BY 1")
 def display_limits(spark: SparkSession, d: str) -> DataFrame:
-    """A17."""
+    """Symmetric and one-sided limits."""
     rows = v.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_extendedprice") - 30000).alias("x"))
-    return rows.groupBy("g").agg(F.percentile(F.abs("x"), 0.98).alias("symmetric"), (F.percentile(F.col("x") + 30000, 0.05)).alias("lo"), F.percentile(F.col("x") + 30000, 0.95).alias("hi"))
+    return ds.display_limits(rows, ["g"], "x")
+
+
+STRIDE = 7
+
+
+@query(f"""WITH s AS (SELECT l_returnflag AS g, l_suppkey AS channel, l_extendedprice - 30000 AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i FROM lineitem),
+  q AS (SELECT g, channel, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM s GROUP BY ALL), l AS (SELECT g, min(lo) AS lo, max(hi) AS hi FROM q GROUP BY g),
+  p AS (SELECT g, count(*) AS n, quantile_cont(abs(x), 0.99) AS scale FROM s WHERE i % {STRIDE} = 0 GROUP BY g)
+SELECT g, lo, hi, n, scale FROM l JOIN p USING (g)""")
+def session_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Limits over all channels of a session, and the robust scale by its definition on every STRIDE-th sample of a channel."""
+    i = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")) - 1
+    rows = v.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("channel"), (F.col("l_extendedprice") - 30000).alias("x"), i.alias("i"))
+    return met(ds.joint_limits(rows, ["g"], ["channel"], "x"), ds.robust_scale(rows, ["g"], "i", "x", STRIDE), ["g"])
 
 
 @query("""WITH r AS (SELECT l_suppkey % 7 AS band, corr(l_quantity, l_discount) AS r FROM lineitem GROUP BY l_suppkey, l_suppkey % 7),
