@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -47,18 +47,23 @@ def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") ->
     return left.join(own, cond, how).drop(*(f"__on_{k}" for k in on))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the checkpoint folder that driver and executors share.
-
-    Counted values are used at every digit; without the cut the plan behind them would be planned, and may be run, as often. The folder is
-    the session's spark.checkpoint.dir; only a local session without one gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: the session's spark.checkpoint.dir, or in a local session without one a new folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a shared folder")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and read back from the checkpoint folder.
+
+    Counted values are used at every digit; without the cut the plan behind them would be planned, and may be run, as often.
+    """
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

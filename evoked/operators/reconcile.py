@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evoked.operators.order import met
+
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -105,19 +107,20 @@ def ledger(candidates: DataFrame, sources: DataFrame, outputs: DataFrame, keys:
     """
     s = sources.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_source"))
     o = outputs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_output"))
-    out = candidates.select(*keys).distinct().join(s, keys, "left").join(o, keys, "left").fillna(0, ["n_source", "n_output"])
+    out = met(met(candidates.select(*keys).distinct(), s, keys, "left"), o, keys, "left").fillna(0, ["n_source", "n_output"])
     status = F.when(F.col("n_output") > 0, "reused_existing").when(F.col("n_source") == 0, "skipped_no_source")
     if errors is None:
         return out.withColumn("status", status.otherwise("ok"))
-    out = out.join(errors.groupBy(*keys).agg(F.min("message").alias("message")), keys, "left")
+    out = met(out, errors.groupBy(*keys).agg(F.min("message").alias("message")), keys, "left")
     return out.withColumn("status", F.when(F.col("message").isNotNull(), "error").otherwise(status.otherwise("ok")))
 
 
 def zone_membership(pairs: DataFrame, zones: DataFrame) -> DataFrame:
     """(patient, electrode, a, b, zone, inside): contact pairs against zone rows (patient, zone, electrode, ranges).
 
-    ranges: Full, or a-b, or a-b_c-d, compared as numbers. A pair is inside if both contacts lie in one range; it is unknown, NULL,
-    for a patient without zones. Zone NI, not involved: inside none of the zones.
+    ranges: Full, or a-b, or a-b_c-d, compared as numbers, or - where the zone is empty; a row without ranges says that the patient's zone is unknown. A pair
+    is inside if both contacts lie in one range; it is unknown, NULL, in an unknown zone and for a patient without zones. Zone NI, not
+    involved: inside none of the zones, unknown where no zone holds the pair and one of them is unknown.
     """
     parts = zones.withColumn("r", F.explode(F.split("ranges", "_")))
     full = F.lower(F.trim("r")) == "full"
@@ -128,9 +131,11 @@ def zone_membership(pairs: DataFrame, zones: DataFrame) -> DataFrame:
     hit = grid.join(parts, ["patient", "electrode", "zone"], "left")
     inside = F.coalesce((F.col("a") >= F.col("lo")) & (F.col("b") <= F.col("hi")), F.lit(False))
     known = zones.select("patient", F.lit(True).alias("known")).distinct()
-    out = hit.groupBy("patient", "electrode", "a", "b", "zone").agg(F.bool_or(inside).alias("inside")).join(known, "patient", "left")
-    out = out.select("patient", "electrode", "a", "b", "zone", F.when(F.col("known"), F.col("inside")).alias("inside"))
-    none = out.groupBy("patient", "electrode", "a", "b").agg((~F.bool_or("inside")).alias("inside"))
+    dark = zones.filter(F.col("ranges").isNull()).select("patient", "zone", F.lit(True).alias("dark")).distinct()
+    out = hit.groupBy("patient", "electrode", "a", "b", "zone").agg(F.bool_or(inside).alias("inside")).join(known, "patient", "left").join(dark, ["patient", "zone"], "left")
+    out = out.select("patient", "electrode", "a", "b", "zone", F.when(F.col("known") & F.col("dark").isNull(), F.col("inside")).alias("inside"))
+    unsure = F.count_if(F.col("inside").isNull()) > 0
+    none = out.groupBy("patient", "electrode", "a", "b").agg(F.when(F.bool_or("inside"), False).when(~unsure, True).alias("inside"))
     return out.unionByName(none.withColumn("zone", F.lit("NI")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from evoked.functions import labels as lb
 from evoked.operators import celltypes as ct
 from evoked.operators import reconcile as rc
 from evoked.operators import binning as bn
+from evoked.operators import order
+from evoked.operators import runs
 from evoked.operators import spiketrain as st
 from evoked.operators.binning import locality
 from evoked.functions import frequency as fq
@@ -18,6 +22,7 @@ from evoked.plans import views as v
 from evoked.plans import pipelines as pl
 from evoked.plans.registry import ORACLES, query
 from evoked.plans.stat_queries import MW_Z, r_and_p
+from evoked.sources import readers
 
 STIM = "concat('Bp', p_size % 12 + 1, '-Bp', p_size % 12 + 2, '2.0mA', p_size, '.0Hz1025µsec')"
 
@@ -307,3 +312,54 @@ def macro_electrodes(spark: SparkSession, d: str) -> DataFrame:
     known = v.read(spark, d, "customer").selectExpr(*KNOWN)
     wanted = v.read(spark, d, "part").selectExpr(*WANTED).distinct()
     return rc.macro_electrodes(wanted, known)
+
+
+#: A wide zone file's cells by nation: two lists, one range for all, an empty zone, an unknown one.
+WIDE = {
+    "ZE": ("CASE n_nationkey % 4 WHEN 0 THEN 'A; B_p' WHEN 1 THEN '-' WHEN 2 THEN 'TP' END", "CASE n_nationkey % 4 WHEN 0 THEN '1-3; 2-4_6-8' WHEN 2 THEN 'Full' END"),
+    "ZI": ("CASE WHEN n_nationkey % 3 = 0 THEN 'TP;A' ELSE '-' END", "CASE WHEN n_nationkey % 3 = 0 THEN '2-7' END"),
+    "ZP": ("CASE WHEN n_nationkey % 5 = 1 THEN '0' ELSE '-' END", "''"),
+    "ZL": ("'-'", "''"),
+}
+WIDE_SQL = ", ".join(f"{e} AS {z}_Electrode, {r} AS {z}_contacts" for z, (e, r) in WIDE.items())
+PLACES = "CASE p_size % 3 WHEN 0 THEN 'A_R' WHEN 1 THEN 'B_L' ELSE 'TP_R' END"
+
+
+@query(f"""WITH w AS (SELECT n_name AS patient, {WIDE_SQL} FROM nation), l AS ({" UNION ALL ".join(f"SELECT patient, '{z}' AS zone, {z}_Electrode AS e, {z}_contacts AS r FROM w" for z in WIDE)}),
+  u AS (SELECT *, generate_subscripts(string_split(e, ';'), 1) AS i FROM l WHERE e NOT IN ('-', '0')),
+  n AS (SELECT patient, zone, CASE trim(string_split(e, ';')[i]) WHEN 'A' THEN 'A_R' WHEN 'B_p' THEN 'B_L' WHEN 'TP' THEN 'TP_R' END AS electrode, trim(CASE WHEN contains(r, ';') THEN string_split(r, ';')[i] ELSE r END) AS r FROM u),
+  q AS (SELECT patient, zone, electrode, unnest(string_split(r, '_')) AS r FROM n),
+  z AS (SELECT patient, zone, electrode, CASE WHEN r = 'Full' THEN 0 ELSE split_part(r, '-', 1)::INT END AS lo, CASE WHEN r = 'Full' THEN 1000000 ELSE split_part(r, '-', 2)::INT END AS hi FROM q),
+  p AS (SELECT DISTINCT coalesce(n_name, 'nobody') AS patient, {PLACES} AS electrode, p_size % 8 AS a, p_size % 8 + 1 AS b FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 27),
+  k AS (SELECT DISTINCT patient, zone, e FROM l),
+  o AS (SELECT p.patient, p.electrode, p.a, p.b, s.zone, CASE WHEN any_value(k.e) IS NOT NULL AND any_value(k.e) <> '0' THEN bool_or(coalesce(p.a >= lo AND p.b <= hi, FALSE)) END AS inside
+    FROM p CROSS JOIN (SELECT unnest(['ZE', 'ZI', 'ZP', 'ZL']) AS zone) s LEFT JOIN k ON k.patient = p.patient AND k.zone = s.zone LEFT JOIN z ON z.patient = p.patient AND z.zone = s.zone AND z.electrode = p.electrode GROUP BY ALL)
+SELECT * FROM o UNION ALL SELECT patient, electrode, a, b, 'NI', CASE WHEN bool_or(inside) THEN FALSE WHEN count(*) = count(inside) THEN TRUE END FROM o GROUP BY ALL""")
+def zone_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Wide zone cells to rows, and contact pairs against them: known, empty and unknown zones, and none of them."""
+    n = v.read(spark, d, "nation")
+    wide = n.selectExpr("n_name AS Patient", *(f"{c} AS {z}_{name}" for z, pair in WIDE.items() for c, name in zip(pair, ("Electrode", "contacts"), strict=True)))
+    parts = v.read(spark, d, "part").join(n, F.col("n_nationkey") == F.col("p_partkey") % 27, "left")
+    pairs = parts.selectExpr("coalesce(n_name, 'nobody') AS patient", f"{PLACES} AS electrode", "p_size % 8 AS a", "p_size % 8 + 1 AS b").distinct()
+    return rc.zone_membership(pairs, readers.zone_rows(wide))
+
+
+RULES = {"quantity at its limit": "s_nationkey % 5 = 0 AND l_quantity = 50", "tax at its limit": "s_nationkey % 7 = 3 AND l_tax = 0.08"}
+
+
+@query(f"""WITH s AS (SELECT s_nationkey AS session, l_returnflag AS kind, {" ".join(["CASE", *(f"WHEN {c} THEN '{m}'" for m, c in RULES.items()), "END"])} AS e FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+  t AS (SELECT n_nationkey AS session, count(s.session) AS n_source, count(DISTINCT kind) AS kinds, min(e) AS message FROM nation LEFT JOIN s ON s.session = n_nationkey GROUP BY 1)
+SELECT attempt, session, n_source, CASE WHEN message IS NULL THEN kinds ELSE 0 END AS n_output,
+  CASE WHEN message IS NOT NULL THEN 'error' WHEN n_source = 0 THEN 'skipped_no_source' WHEN attempt = 2 THEN 'reused_existing' ELSE 'ok' END AS status, message FROM t, (SELECT unnest([1, 2]) AS attempt)""")
+def session_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run that writes good sessions and tells of bad ones, and the same run again, which reuses what was written."""
+    rows = v.read(spark, d, "lineitem").join(v.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("session", F.col("s_nationkey"))
+    sessions = v.read(spark, d, "nation").select(F.col("n_nationkey").alias("session"))
+
+    def totals(df: DataFrame) -> DataFrame:
+        seen = runs.checked(df, {m: F.expr(c) for m, c in RULES.items()})
+        return seen.groupBy("session", F.col("l_returnflag").alias("kind")).agg(F.sum("l_quantity").alias("quantity"), F.min(runs.ERROR).alias(runs.ERROR))
+
+    path = f"{order.shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    told = [runs.run_sessions(sessions, rows, totals, path, ["session"]).withColumn("attempt", F.lit(i)) for i in (1, 2)]
+    return told[0].unionByName(told[1])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evoked.functions.labels import channel_name, list_cell, number
+from evoked.functions.labels import channel_name, electrode_name, list_cell, number
 
 EVENTS = "label_stim string, t_start double, duration double, lobe string"
 
@@ -164,6 +164,42 @@ def coordinates(spark: SparkSession, path: str) -> DataFrame:
     return clean(spark.read.csv(path, schema="Patient string, Electrode_name string, Electrode_model string, Number_of_tetrodes int, Channel_num string, X double, Y double, Z double", header=True))
 
 
+#: The zones of a wide zone file, and cells that say that a zone is empty or that nothing is known.
+ZONES = ("ZE", "ZI", "ZP", "ZL")
+EMPTY_ZONE, UNKNOWN_ZONE = "-", "0"
+
+
+def zone_rows(wide: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
+    """(patient, zone, electrode, ranges) from one row a patient: for a zone Z, column Z_Electrode and the column after it.
+
+    The first is a list of electrodes separated by ;, the second a list of their contact ranges, by position, or one for all of them. Electrodes get their
+    normalised names; the first of equal names counts. An empty cell, or 0, says that the zone is unknown: a row without ranges. A cell - says that the zone is empty:
+    a row with ranges -. Lists of unequal length, electrodes without ranges and names that aren't electrodes are errors. Repeated patients: their first row by all columns counts.
+    """
+    at = {z: wide.columns.index(f"{z}_Electrode") for z in zones}
+    cells = F.array(*(F.struct(F.lit(z).alias("zone"), *(F.trim(F.col(f"`{wide.columns[i + k]}`").cast("string")).alias(n) for k, n in enumerate(("names", "lists")))) for z, i in at.items()))
+    first = wide.filter(F.col("Patient").isNotNull()).groupBy(F.trim("Patient").alias("patient")).agg(F.min(cells).alias("cells"))
+    rows = first.select("patient", F.explode("cells").alias("c")).select("patient", "c.*")
+    parts = lambda c: F.transform(F.split(c, ";"), lambda x: F.trim(x))
+    unknown = F.coalesce(F.col("names").isin("", UNKNOWN_ZONE), F.lit(True))
+    empty = F.col("names") == EMPTY_ZONE
+    names, lists = parts("names"), parts(F.coalesce("lists", F.lit("")))
+    lists = F.when(F.size(lists) == 1, F.array_repeat(lists[0], F.size(names))).otherwise(lists)
+    bad = (F.size(names) != F.size(lists)) | F.exists(lists, lambda r: r == "")
+    pairs = F.when(bad, F.raise_error(F.concat(F.lit("electrodes and ranges of a zone don't fit: "), "patient", F.lit(" "), "zone"))).otherwise(F.arrays_zip(names.alias("name"), lists.alias("ranges")))
+    told = rows.filter(~unknown & ~empty).select("patient", "zone", F.posexplode(pairs).alias("i", "p"))
+    named = F.coalesce(electrode_name(F.col("p")["name"]), F.raise_error(F.concat(F.lit("no electrode: "), F.col("p")["name"])))
+    told = told.select("patient", "zone", "i", named.alias("electrode"), F.col("p")["ranges"].alias("ranges"))
+    told = told.groupBy("patient", "zone", "electrode").agg(F.min_by("ranges", "i").alias("ranges"))
+    rest = rows.filter(unknown | empty).select("patient", "zone", F.lit(None).cast("string").alias("electrode"), F.when(~unknown, F.lit(EMPTY_ZONE)).alias("ranges"))
+    return told.unionByName(rest)
+
+
+def zone_table(spark: SparkSession, path: str, sep: str = ",", zones: tuple[str, ...] = ZONES) -> DataFrame:
+    """zone_rows of a file with a header; cells are text."""
+    return zone_rows(spark.read.csv(path, header=True, sep=sep, inferSchema=False), zones)
+
+
 def spikes(df: DataFrame) -> DataFrame:
     """Finite spike times only; sort on use."""
     return df.filter(F.col("spike_time").isNotNull() & ~F.isnan("spike_time") & (F.abs("spike_time") < float("inf")))
