@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,24 +55,58 @@ def mixture_labels(df: DataFrame, features: list[str], narrow: str, keys: list[s
 
 
 def neighbour_graph(df: DataFrame, key: str, vector: str, k: int, block: int = 2000) -> DataFrame:
-    """(src, dst, weight): k nearest waveforms by squared distance, compared block by block.
+    """(src, dst, d2, weight): k nearest waveforms by squared distance, ties to the smaller dst, compared block by block.
 
-    Rows are dealt to blocks of bounded size and every pair of blocks is one join key, so no task holds all rows; each block
-    pair keeps k candidates a row before the final ranking.
+    Rows are dealt to blocks of bounded size and every pair of blocks is one task's work: one matrix product gives the distances of a pair, and of
+    each row only the k nearest of the other block, and what rounding can't tell from them, leave the task with their distances summed up again from differences. So
+    what is shuffled is k rows for each row and block, not pairs. Rows without a vector take no part.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    df = df.filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-df.count() // block))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(F.col("id").alias("src"), F.col("v").alias("x"), F.col("b").alias("p"), every.alias("q"))
-    right = rows.select(F.col("id").alias("dst"), F.col("v").alias("y"), F.col("b").alias("q"), every.alias("p"))
-    both = left.join(right, ["p", "q"]).filter("src <> dst")
-    d2 = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
+    left = rows.select("id", "v", F.col("b").alias("p"), every.alias("q"))
+    right = rows.select("id", "v", F.col("b").alias("q"), every.alias("p"))
+    kind = dict(rows.dtypes)["id"]
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"src": a.id[:0], "dst": a.id[:0], "d2": np.empty(0)})
+        if not len(a) or not len(b):
+            return out
+        x, y = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
+        ids, others = a.id.to_numpy(), b.id.to_numpy()
+        size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+        near = size - 2 * x @ y.T
+        near[ids[:, None] == others[None, :]] = np.inf
+        take = min(k, len(b)) - 1
+        limit = np.partition(near, take, axis=1)[:, take]
+        i, j = np.nonzero((near <= limit[:, None] + 1e-12 * (1 + size)) & np.isfinite(near))
+        out = pd.DataFrame({"src": ids[i], "dst": others[j], "d2": ((x[i] - y[j]) ** 2).sum(1)})
+        return out.sort_values(["src", "d2", "dst"]).groupby("src", sort=False).head(k)
+
+    part = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(nearest, f"src {kind}, dst {kind}, d2 double")
     w = W.partitionBy("src").orderBy("d2", "dst")
-    near = both.select("src", "dst", d2.alias("d2")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    near = part.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     return near.select("src", "dst", "d2", F.exp(-F.col("d2")).alias("weight"))
 
 
+def plane_view(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, pc_1, pc_2): centred waveforms on their first two principal components; the largest loading of each is positive.
+
+    The covariance is summed in parts; only it and the two components are on the driver, of the size of a waveform. Rows without a vector take no part.
+    """
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.filter(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    centred = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(rows).transform(rows)
+    model = PCA(k=2, inputCol="__c", outputCol="__o").fit(centred)
+    loads = model.pc.toArray()
+    signs = np.sign(loads[np.abs(loads).argmax(axis=0), [0, 1]])
+    at = vector_to_array("__o")
+    return model.transform(centred).select(key, *((at[i] * float(signs[i])).alias(f"pc_{i + 1}") for i in range(2)))
+
+
 def graph_communities(graph: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     """(id, cluster) by power iteration clustering on the symmetric neighbour graph."""
     from pyspark.ml.clustering import PowerIterationClustering

@@ -306,6 +306,13 @@ def waveform_communities(spark: SparkSession, d: str) -> DataFrame:
     return ct.graph_communities(ct.neighbour_graph(rows, "vec_id", "w_norm", 15), 4)
 
 
+@query()
+def waveform_plane(spark: SparkSession, d: str) -> DataFrame:
+    """T10's view: normalised waveforms that are ok in the plane of their first two components."""
+    rows = sg.standardise(waves(spark, d), "w", 20000.0, 1.0).filter("ok")
+    return ct.plane_view(rows, "vec_id", "w_norm")
+
+
 @query(f"WITH {WELCH} SELECT label AS channel, freq_hz, avg(psd) AS mean, stddev_samp(psd) AS sd, count(*) AS n, stddev_samp(psd) / sqrt(count(*)) AS sem FROM (SELECT vec_id % 4 AS session, label, freq_hz, avg(psd) AS psd FROM p JOIN embeddings USING (vec_id) WHERE freq_hz BETWEEN 2 AND 24 GROUP BY ALL) GROUP BY label, freq_hz")
 def psd_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """L2: power spectra of epochs and their grand average over sessions."""

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evoked.operators import celltypes as ct
 from evoked.functions import frequency as fq
 from evoked.operators import reconcile as rc
 from evoked.operators import signal as sg
@@ -79,6 +80,26 @@ def test_cell_types(spark, sf_dir):
     assert len({r[1] for r in communities}) <= 4
 
 
+def test_waveform_graph(spark):
+    """Several blocks, equal rows and ties: the graph is that of all pairs; communities part what is far apart; the plane is numpy's."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 6)) for c in (0, 6)] + [np.zeros((9, 6))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "id long, v array<double>")
+    got = sorted((r.src, r.dst, round(r.d2, 9)) for r in ct.neighbour_graph(df, "id", "v", 4, block=20).collect())
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = []
+    for i in range(len(x)):
+        near = sorted((d2[i, j], j) for j in range(len(x)) if j != i)[:4]
+        want += [(i, j, round(v, 9)) for v, j in near]
+    assert got == sorted(want)
+    plane = {r.id: (r.pc_1, r.pc_2) for r in ct.plane_view(df, "id", "v").collect()}
+    assert sorted(plane) == list(range(len(x)))
+    c = x - x.mean(0)
+    _, _, axes = np.linalg.svd(c, full_matrices=False)
+    axes = axes[:2] * np.sign(axes[[0, 1], np.abs(axes[:2]).argmax(1)])[:, None]
+    assert np.allclose([plane[i] for i in range(len(x))], c @ axes.T, atol=1e-9)
+
+
 def test_frequency():
     assert fq.sub_bands(4, 8, 2) == [(4, 6), (6, 8)] and fq.sub_bands(4, 9, 2)[-1] == (8, 9)
     assert fq.grid(1, 3, 3) == [1, 2, 3] and np.allclose(fq.grid(1, 100, 3, "log"), [1, 10, 100])
