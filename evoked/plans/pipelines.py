@@ -16,12 +16,15 @@ from evoked.operators import stats
 
 
 def unit_summary(spikes: DataFrame, trials: DataFrame, units: DataFrame, dead: DataFrame, extent: DataFrame, acg_bin: int = 1000, acg_bins: int = 100, acg_ms: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Unit table (rates, interval and autocorrelogram features) and unit x trial table."""
+    """Unit table (rates, interval and autocorrelogram features) and unit x trial table.
+
+    refractory_ratio is the share of intervals, acg_refractory_ratio that of the autocorrelogram's lags.
+    """
     keys, dead_keys = ["session", "unit_id"], ["session", "electrode"]
     merged = iv.merge_intervals(dead, dead_keys)
     rates = st.unit_rates(spikes, extent, trials, units, merged)
     isi = st.isi_features(spikes, units, merged, keys, dead_keys)
-    acg = st.acg_features(spikes, units, merged, keys, dead_keys, acg_bin, acg_bins, acg_ms)
+    acg = st.acg_features(spikes, units, merged, keys, dead_keys, acg_bin, acg_bins, acg_ms).withColumnRenamed("refractory_ratio", "acg_refractory_ratio")
     return rates.join(isi, keys, "left").join(acg, keys, "left"), st.trial_responses(spikes, trials, units, dead)
 
 
