@@ -76,7 +76,7 @@ def signed_rank(df: DataFrame, keys: list[str], d: str = "d", zeros: str = "wilc
     )
     counts = every.groupBy(*keys).agg(F.sum("__t").alias("n_all"), F.sum(F.col("__up") + F.col("__down")).alias("n"))
     out = met(counts, stats, keys, "left")
-    na, nz = F.col("na"), F.col("nz")
+    na, nz = F.col("na").cast("double"), F.col("nz").cast("double")  # their cubes pass 64 bits at 1.7 million
     mean = (na * (na + 1) - nz * (nz + 1)) / 4.0
     var = (na * (na + 1) * (2 * na + 1) - nz * (nz + 1) * (2 * nz + 1)) / 24.0 - F.col("ties") / 48.0
     stat = F.least("rp", "rm")
@@ -130,7 +130,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, referen
     t = F.col("t").cast("double")
     s = ranked(both, by, "x", "t").groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(t * (t * t - 1.0)).alias("ties"))
     s = s.filter((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
-    n1, n2 = F.col("n1"), F.col("n2")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2.0
     s = s.withColumn("u", u)
