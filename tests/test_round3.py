@@ -23,3 +23,33 @@ def test_rank_tests_of_millions_do_not_overflow(spark):
     r = stats.signed_rank(rows, ["g"]).first()
     n = sum(i % 7 != 3 for i in range(3_000_000))
     assert r["n"] == n and math.isfinite(r["p"]) and math.isclose(r["stat"], n * (n + 1) / 4, rel_tol=1e-5)
+
+
+def test_histograms_by_running_sums(spark):
+    s = 1_000_000
+    spikes = [("A", u, t) for u, times in {1: [0, 5 * s, 5 * s, 5 * s + 1, 9 * s], 2: [5 * s, 7 * s - 1, 31 * s], 3: [-3 * s]}.items() for t in times] + [("B", 9, 4)]
+    trials = [("A", 10, 5 * s, 5 * s), ("A", 11, 5 * s, 7 * s), ("A", 12, 8 * s + 1, 30 * s), ("C", 13, 0, 1)]
+    units = sorted({x[:2] for x in spikes})
+    want = Counter()
+    for a, u, t in spikes:
+        for b, i, t0, t1 in trials:
+            if a == b and t0 - 3 * s <= t < t0:
+                want[i, u, (t - t0) // s] += 1
+            elif a == b and t1 <= t < t1 + 3 * s:
+                want[i, u, (t - t1) // s] += 1
+    p = spark.createDataFrame(spikes, "session string, unit_id long, t_tick long")
+    t = spark.createDataFrame(trials, "session string, stim_index long, t0 long, t1 long")
+    n = spark.createDataFrame(units, "session string, unit_id long")
+    got = {(r.stim_index, r.bin): (r.n, r.units, r.silent) for r in st.trial_histogram(p, t, n, s, 3, 10 * s).collect()}
+    assert got == {(i, b): (sum(want[i, u, b] for u in (1, 2, 3)), 3, sum(not want[i, u, b] for u in (1, 2, 3))) for i in (10, 11, 12) for b in range(-3, 3)}
+    got = {(r.unit_id, r.bin): r.n for r in st.unit_histogram(p, t, n, s, 3, 10 * s).collect()}
+    assert got == {(u, b): sum(want[i, u, b] for i in (10, 11, 12)) for u in (1, 2, 3) for b in range(-3, 3)}
+
+
+def test_histograms_build_no_pairs(spark):
+    s, many = 1_000_000, 60_000
+    p = spark.range(many).select(F.lit("A").alias("session"), (F.col("id") % 100).alias("unit_id"), (3 * s + F.col("id")).alias("t_tick"))
+    t = spark.range(many).select(F.lit("A").alias("session"), F.col("id").alias("stim_index"), (F.lit(2 * s) - F.col("id")).alias("t0"), (3 * s - F.col("id")).alias("t1"))
+    n = p.select("session", "unit_id").distinct()
+    assert st.unit_histogram(p, t, n, s, 2, 10 * s).filter("bin = 0").agg(F.sum("n")).first()[0] == many * many  # 3.6 billion pairs
+    assert st.trial_histogram(p, t, n, s, 2, 10 * s).filter("bin = 0 AND silent = 0").agg(F.sum("n")).first()[0] == many * many
