@@ -124,11 +124,19 @@ def epochs(samples: DataFrame, trials: DataFrame, keys: list[str], n: int, pad:
     samples: keys, sample_idx, value; trials: keys, trial_idx, first. A trial with a missing sample goes, or with pad keeps
     its whole grid with NULLs.
     """
-    grid = trials.withColumn("time_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("sample_idx", F.col("first") + F.col("time_idx"))
-    got = grid.join(samples, [*keys, "sample_idx"], "left" if pad else "inner")
-    if not pad:
-        got = got.withColumn("__n", F.count("value").over(W.partitionBy(*keys, "trial_idx"))).filter(F.col("__n") == n)
-    return got.select(*keys, "trial_idx", "time_idx", "value")
+    if pad:
+        grid = trials.withColumn("time_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("sample_idx", F.col("first") + F.col("time_idx"))
+        return grid.join(samples, [*keys, "sample_idx"], "left").select(*keys, "trial_idx", "time_idx", "value")
+    # samples in cells that reach n - 1 samples into the next: a trial meets one cell, and becomes rows after that
+    size = max(64, n)
+    cell = F.floor(F.col("sample_idx") / size).cast("long")
+    held = samples.filter(F.col("value").isNotNull()).withColumn("__cell", F.explode(F.when(F.pmod("sample_idx", F.lit(size)) < n - 1, F.array(cell, cell - 1)).otherwise(F.array(cell))))
+    held = held.groupBy(*keys, "__cell").agg(F.collect_list(F.struct("sample_idx", "value")).alias("__held"))
+    met = trials.withColumn("__cell", F.floor(F.col("first") / size).cast("long")).join(held, [*keys, "__cell"])
+    own = F.filter("__held", lambda s: (s["sample_idx"] >= F.col("first")) & (s["sample_idx"] < F.col("first") + n))
+    met = met.select(*keys, "trial_idx", "first", own.alias("__own")).filter(F.size("__own") == n)
+    got = met.select(*keys, "trial_idx", "first", F.explode("__own").alias("__s"))
+    return got.select(*keys, "trial_idx", (F.col("__s.sample_idx") - F.col("first")).cast("int").alias("time_idx"), F.col("__s.value").alias("value"))
 
 
 def welch_relational(rows: DataFrame, keys: list[str], fs: float, nperseg: int) -> DataFrame:
