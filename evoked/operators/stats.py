@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from evoked.functions.tails import chi2_p, t_p, t_quantile, two_sided
-from evoked.operators.order import cut, met, ranked, running
+from evoked.operators.order import cut, met, ranked, ranked_by_range, running
 
 EXACT_MAX = 50
 
@@ -128,7 +128,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, referen
     by = [*keys, "grp"]
     both = both.groupBy(*by, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("t", F.col("a") + F.col("b"))
     t = F.col("t").cast("double")
-    s = ranked(both, by, "x", "t").groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(t * (t * t - 1.0)).alias("ties"))
+    s = ranked_by_range(both, by, "x", "t").groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(t * (t * t - 1.0)).alias("ties"))
     s = s.filter((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2

@@ -5,7 +5,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from evoked.operators import intervals as iv
+from evoked.operators import order
+from evoked.operators import signal as sg
 from evoked.operators import spiketrain as st
 from evoked.operators import stats
 from evoked.plans import all_queries
@@ -53,3 +54,23 @@ def test_histograms_build_no_pairs(spark):
     n = p.select("session", "unit_id").distinct()
     assert st.unit_histogram(p, t, n, s, 2, 10 * s).filter("bin = 0").agg(F.sum("n")).first()[0] == many * many  # 3.6 billion pairs
     assert st.trial_histogram(p, t, n, s, 2, 10 * s).filter("bin = 0 AND silent = 0").agg(F.sum("n")).first()[0] == many * many
+
+
+def test_epochs_meet_cells_and_shuffle_no_samples(spark):
+    samples = [("a", i, float(i)) for i in range(-10, 300) if i not in (70, 200)] + [("a", 200, None), ("b", 0, 1.0)]
+    firsts = [-11, -10, -3, 0, 48, 50, 54, 55, 60, 63, 64, 71, 127, 128, 184, 185, 201, 284, 285, 1000]
+    s = spark.createDataFrame(samples, "channel string, sample_idx long, value double")
+    t = spark.createDataFrame([("a", k, f) for k, f in enumerate(firsts)] + [("b", 99, 0)], "channel string, trial_idx long, first long")
+    held = {(c, i) for c, i, x in samples if x is not None}
+    got = sorted(tuple(r) for r in sg.epochs(s, t, ["channel"], 16).collect())
+    assert got == sorted(("a", k, i, float(f + i)) for k, f in enumerate(firsts) if all(("a", f + i) in held for i in range(16)) for i in range(16))
+    plan = sg.epochs(s, t, ["channel"], 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("Generate explode(__own") < plan.index("Join")
+
+
+def test_ranks_by_range_agree_with_digits(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1009 / 7.0 - 70).alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    want = {(r.g, r.x): (r.before, r["rank"]) for r in order.ranked(rows, ["g"], "x", "n").collect()}
+    assert want == {(r.g, r.x): (r.before, r["rank"]) for r in order.ranked_by_range(rows, ["g"], "x", "n").collect()}
+    plan = order.ranked_by_range(rows, ["g"], "x", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition") == 2 and plan.count("Join") == 1
