@@ -157,17 +157,32 @@ def kruskal(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame
     return s.select(*keys, "n", "df", F.when((F.col("df") > 0) & (F.col("t") < n * n * n - n), h).alias("h")).withColumn("p", chi2_p("h", "df"))
 
 
-def correlation(df: DataFrame, keys: list[str], x: str, y: str, method: str = "pearson", min_n: int = 2) -> DataFrame:
+def exact_moments(x: str, digits: int) -> tuple[Column, Column]:
+    """Mean and sample sd of x in whole units of 10**-digits, from exact sums: they don't depend on the order of rows."""
+    i = F.floor(F.col(x).cast("double") * float(10**digits) + 0.5).cast("decimal(19,0)")
+    n, total = F.count(i), F.sum(i)
+    spread = n.cast("decimal(19,0)") * F.sum(i * i) - total * total
+    unit = F.lit(10**18).cast("decimal(19,0)")  # two parts of 64 bits, as in moments_sql
+    low = spread % unit
+    spread = ((spread - low) / unit).cast("long").cast("double") * 1e18 + low.cast("long").cast("double")
+    n = n.cast("double")
+    return total.cast("double") / (n * float(10**digits)), F.when(n > 1, F.sqrt(spread / (n * (n - 1.0))) / float(10**digits))
+
+
+def correlation(df: DataFrame, keys: list[str], x: str, y: str, method: str = "pearson", min_n: int = 2, digits: int | None = None) -> DataFrame:
     """n finite pairs, r, two-sided p by t with n - 2 degrees, and means and sds of x and y.
 
-    r and p are NULL for fewer than min_n pairs or zero variance; means and sds are of the values, also where ranks are correlated.
+    r and p are NULL for fewer than min_n pairs or zero variance; means and sds are of the values, also where ranks are correlated. With digits
+    they are those of `exact_moments`: a mean that ends in a five then rounds alike in every run.
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     if method == "spearman":
         rows = rows.withColumns({"__x": avg_rank(a, keys), "__y": avg_rank(b, keys)})
         a, b = F.col("__x"), F.col("__y")
-    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), *(f(F.col(c).cast("double")).alias(f"{c}_{m}") for c in (x, y) for m, f in (("mean", F.avg), ("sd", F.stddev_samp))))
+    of = lambda c: (F.avg(F.col(c).cast("double")), F.stddev_samp(F.col(c).cast("double"))) if digits is None else exact_moments(c, digits)
+    moments = [f.alias(f"{c}_{m}") for c in (x, y) for m, f in zip(("mean", "sd"), of(c), strict=True)]
+    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), *moments)
     r = F.when((F.col("n") >= min_n) & (F.col("va") > 0) & (F.col("vb") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / F.sqrt(F.col("va") * F.col("vb")))))
     s = s.select(*keys, "n", r.alias("r"), *(f"{c}_{m}" for c in (x, y) for m in ("mean", "sd")))
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).when(F.col("r").isNotNull(), 1e150)
@@ -178,10 +193,11 @@ def bh_fdr(df: DataFrame, family: list[str], p: str = "p", out: str = "q", alpha
     """Benjamini-Hochberg q within each family, and reject; NULL p stays NULL and doesn't count. No family: the whole table is one.
 
     Values of p are counted, so ties share the rank of their last; ranks come from the counts of smaller values, and the minimum
-    from the right from those of greater ones, both for families of any size.
+    from the right from those of greater ones, both for families of any size. The rows are computed once: q is joined by p, and a p from sums of
+    doubles worked out again may differ in its last bit, which would leave q NULL.
     """
     own = [*(f"__f{i}" for i in range(len(family))), "__f"]
-    rows = df.withColumns({o: F.col(f) for o, f in zip(own, family, strict=False)} | {"__f": F.lit(0), "__p": F.col(p)})
+    rows = cut(df.withColumns({o: F.col(f) for o, f in zip(own, family, strict=False)} | {"__f": F.lit(0), "__p": F.col(p)}))
     counted = cut(rows.filter(F.col("__p").isNotNull()).groupBy(*own, "__p").agg(F.count(F.lit(1)).alias("__c")))
     sizes = counted.groupBy(*own).agg(F.sum("__c").alias("__m"))
     at = met(ranked(counted, own, "__p", "__c"), sizes, own)

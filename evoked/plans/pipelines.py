@@ -67,14 +67,14 @@ def common_trials(micro: DataFrame, macro: DataFrame, label: str = "label") -> t
     return joined, rc.clock_offset(joined, ["session"], "t0", "t0_b")
 
 
-def rate_power(fr_bins: DataFrame, lfp_bins: DataFrame, bin_keys: list[str], by: list[str], variants: list[tuple[str, str]], method: str = "spearman", min_pairs: int = 5) -> DataFrame:
+def rate_power(fr_bins: DataFrame, lfp_bins: DataFrame, bin_keys: list[str], by: list[str], variants: list[tuple[str, str]], method: str = "spearman", min_pairs: int = 5, digits: int | None = None) -> DataFrame:
     """Correlations of firing rate with band power for each (fr column, power column) pair, q within variant.
 
     Both tables are built once with all normalised columns; variants are rows of one stack, not new runs.
     """
     pairs = F.array(*(F.struct(F.lit(f"fr_{a}__lfp_{b}").alias("variant"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in variants))
     rows = fr_bins.join(lfp_bins, bin_keys).withColumn("v", F.explode(pairs)).select(*by, "v.*")
-    out = stats.correlation(rows, ["variant", *by], "x", "y", method).filter(F.col("n") >= min_pairs)
+    out = stats.correlation(rows, ["variant", *by], "x", "y", method, digits=digits).filter(F.col("n") >= min_pairs)
     return stats.bh_fdr(out, ["variant"])
 
 

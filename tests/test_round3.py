@@ -74,3 +74,21 @@ def test_ranks_by_range_agree_with_digits(spark):
     assert want == {(r.g, r.x): (r.before, r["rank"]) for r in order.ranked_by_range(rows, ["g"], "x", "n").collect()}
     plan = order.ranked_by_range(rows, ["g"], "x", "n")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("windowspecdefinition") == 2 and plan.count("Join") == 1
+
+
+def test_means_and_sds_do_not_depend_on_order(spark):
+    x = [(i * 7919 % 10007) / 100 + 90000 for i in range(4000)]
+    got = set()
+    for rows in (x, x[::-1], sorted(x), [*x[1::2], *x[::2]]):
+        df = spark.createDataFrame([(1, v, -v) for v in rows], "k int, x double, y double").coalesce(1)
+        r = stats.correlation(df, ["k"], "x", "y", digits=2).first()
+        got.add((r.x_mean, r.x_sd, r.y_mean, r.y_sd))
+    cents = [round(v * 100) for v in x]
+    mean, sd = sum(cents) / 400000, math.sqrt((4000 * sum(c * c for c in cents) - sum(cents) ** 2) / (4000 * 3999)) / 100
+    assert len(got) == 1 and next(iter(got))[::2] == (mean, -mean) and all(math.isclose(s, sd, rel_tol=1e-14) for s in next(iter(got))[1::2])
+
+
+def test_false_discovery_computes_p_once(spark):
+    p = F.udf(lambda i: __import__("random").random(), "double").asNondeterministic()
+    rows = stats.bh_fdr(spark.range(50).select("id", p("id").alias("p")), []).collect()
+    assert all(r.q is not None and r.q >= r.p for r in rows)
