@@ -54,37 +54,59 @@ def mixture_labels(df: DataFrame, features: list[str], narrow: str, keys: list[s
     return df.select(*keys).join(labelled, keys, "left").fillna("low_quality", ["cell_type"])
 
 
-def neighbour_graph(df: DataFrame, key: str, vector: str, k: int, block: int = 2000) -> DataFrame:
+#: Blocks that waveforms are dealt to, and the rows from which on more blocks are made, which bound a task's memory.
+BLOCKS, BLOCK_ROWS = 16, 1 << 16
+
+
+def nearest_of(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, same: bool, cells: int = 1 << 22) -> pd.DataFrame:
+    """(src, dst, d2): for each row of x its k nearest rows of y of another id, and no others; products of at most `cells` distances at once."""
+    x_size, y_size = (x * x).sum(1), (y * y).sum(1)
+    take, step = min(k + same, len(y)) - 1, max(1, cells // len(y))
+    found = [pd.DataFrame({"src": ids[:0], "dst": others[:0], "d2": np.empty(0)})]
+    for at in range(0, len(x), step):
+        here = slice(at, at + step)
+        near = x[here] @ (-2 * y.T)
+        near += y_size
+        near += x_size[here, None]
+        if same:
+            near[ids[here, None] == others[None, :]] = np.inf
+        limit = np.partition(near, take, axis=1)[:, take] + 1e-12 * (1 + x_size[here] + y_size.max())
+        i, j = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
+        out = pd.DataFrame({"src": ids[here][i], "dst": others[j], "d2": ((x[here][i] - y[j]) ** 2).sum(1)})
+        found.append(out.sort_values(["src", "d2", "dst"]).groupby("src", sort=False).head(k))
+    return pd.concat(found, ignore_index=True)
+
+
+def neighbour_graph(df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK_ROWS, blocks: int = BLOCKS) -> DataFrame:
     """(src, dst, d2, weight): k nearest waveforms by squared distance, ties to the smaller dst, compared block by block.
 
-    Rows are dealt to blocks of bounded size and every pair of blocks is one task's work: one matrix product gives the distances of a pair, and of
-    each row only the k nearest of the other block, and what rounding can't tell from them, leave the task with their distances summed up again from differences. So
-    what is shuffled is k rows for each row and block, not pairs. Rows without a vector take no part.
+    Rows are dealt to `blocks` blocks, to more only if a block would pass `block` rows, and every pair of blocks is one task's work, both ways: matrix
+    products of bounded size give the distances, and of each row only the k nearest of the other block, and what rounding can't tell from them, are
+    summed up again from differences. A row is sent once for each block, so what is shuffled grows as the rows do, up to
+    blocks * block rows; products of all pairs stay quadratic. Rows without a vector take no part.
     """
     df = df.filter(F.col(vector).isNotNull())
-    blocks = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "v", F.col("b").alias("p"), every.alias("q"))
-    right = rows.select("id", "v", F.col("b").alias("q"), every.alias("p"))
+    blocks = max(blocks, -(-df.count() // block))
+    kept = F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+    rows = df.select(F.col(key).alias("id"), kept.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = rows.select("id", "v", "b", other.alias("o")).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
     kind = dict(rows.dtypes)["id"]
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"src": a.id[:0], "dst": a.id[:0], "d2": np.empty(0)})
-        if not len(a) or not len(b):
+    def nearest(pair: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        p, q = pair
+        sides = []
+        for b in {p, q}:
+            own = t[t.b == b]
+            sides.append((own.id.to_numpy(), np.stack(own.v.to_numpy()).astype(np.float64) if len(own) else None))
+        out = pd.DataFrame({"src": t.id[:0], "dst": t.id[:0], "d2": np.empty(0)})
+        if any(x is None for _, x in sides):
             return out
-        x, y = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
-        ids, others = a.id.to_numpy(), b.id.to_numpy()
-        size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
-        near = size - 2 * x @ y.T
-        near[ids[:, None] == others[None, :]] = np.inf
-        take = min(k, len(b)) - 1
-        limit = np.partition(near, take, axis=1)[:, take]
-        i, j = np.nonzero((near <= limit[:, None] + 1e-12 * (1 + size)) & np.isfinite(near))
-        out = pd.DataFrame({"src": ids[i], "dst": others[j], "d2": ((x[i] - y[j]) ** 2).sum(1)})
-        return out.sort_values(["src", "d2", "dst"]).groupby("src", sort=False).head(k)
-
-    part = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(nearest, f"src {kind}, dst {kind}, d2 double")
+        if p == q:
+            return nearest_of(*sides[0], *sides[0], k, True)
+        return pd.concat([nearest_of(*sides[0], *sides[1], k, False), nearest_of(*sides[1], *sides[0], k, False)], ignore_index=True)
+
+    part = rows.repartition(blocks * (blocks + 1) // 2, "p", "q").groupBy("p", "q").applyInPandas(nearest, f"src {kind}, dst {kind}, d2 double")
     w = W.partitionBy("src").orderBy("d2", "dst")
     near = part.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     return near.select("src", "dst", "d2", F.exp(-F.col("d2")).alias("weight"))

@@ -296,7 +296,7 @@ def cell_types(spark: SparkSession, d: str) -> DataFrame:
 SELECT src, dst, d2, exp(-d2) AS weight FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) <= 5""")
 def waveform_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Neighbour graph."""
-    return ct.neighbour_graph(waves(spark, d), "vec_id", "w", 5)
+    return ct.neighbour_graph(v.read(spark, d, "embeddings"), "vec_id", "embedding", 5)
 
 
 @query()
