@@ -16,6 +16,8 @@ from evoked.functions.tails import chi2_p, t_p, t_quantile, two_sided
 from evoked.operators.order import cut, met, ranked, ranked_by_range, running
 
 EXACT_MAX = 50
+#: Rows that a task ranks in windows, about; counts of partitions follow from it.
+RANKED_ROWS = 1 << 19
 
 
 def avg_rank(value: Column, keys: list[str]) -> Column:
@@ -173,11 +175,15 @@ def correlation(df: DataFrame, keys: list[str], x: str, y: str, method: str = "p
     """n finite pairs, r, two-sided p by t with n - 2 degrees, and means and sds of x and y.
 
     r and p are NULL for fewer than min_n pairs or zero variance; means and sds are of the values, also where ranks are correlated. With digits
-    they are those of `exact_moments`: a mean that ends in a five then rounds alike in every run.
+    they are those of `exact_moments`: a mean that ends in a five then rounds alike in every run. Groups are dealt for their ranks to as many
+    partitions as RANKED_ROWS rows each ask for, so that a task's sorts don't grow with the table; a group is one task's.
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     if method == "spearman":
+        rows = rows.select(*keys, x, y)
+        dealt = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANKED_ROWS))
+        rows = rows.repartition(dealt, *(F.col(k) for k in keys)) if keys else rows
         rows = rows.withColumns({"__x": avg_rank(a, keys), "__y": avg_rank(b, keys)})
         a, b = F.col("__x"), F.col("__y")
     of = lambda c: (F.avg(F.col(c).cast("double")), F.stddev_samp(F.col(c).cast("double"))) if digits is None else exact_moments(c, digits)

@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from evoked.operators import celltypes as ct
 from evoked.operators import order
 from evoked.operators import signal as sg
 from evoked.operators import spiketrain as st
@@ -92,3 +93,24 @@ def test_false_discovery_computes_p_once(spark):
     p = F.udf(lambda i: __import__("random").random(), "double").asNondeterministic()
     rows = stats.bh_fdr(spark.range(50).select("id", p("id").alias("p")), []).collect()
     assert all(r.q is not None and r.q >= r.p for r in rows)
+
+
+def test_neighbours_send_a_row_once_a_block(spark):
+    rows = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(300)] + [(300, [math.sin(7 * j) for j in range(1, 9)])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    d2 = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b))
+    v = {r.id: r.v for r in df.collect()}
+    want = sorted((i, j) for i in v for _, j in sorted((d2(v[i], v[j]), j) for j in v if j != i)[:3])
+    for block in (1 << 16, 10):
+        graph = ct.neighbour_graph(df, "id", "v", 3, block=block)
+        assert sorted((r.src, r.dst) for r in graph.collect()) == want
+    plan = ct.neighbour_graph(df, "id", "v", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "CoGroup" not in plan and "array<double>" not in plan
+
+
+def test_ranks_of_large_tables_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANKED_ROWS", 100)
+    rows = spark.range(2000).select((F.col("id") % 50).alias("g"), (F.col("id") * 37 % 1009).alias("x"), (F.col("id") * 91 % 997).alias("y"))
+    out = stats.correlation(rows, ["g"], "x", "y", "spearman")
+    assert "RepartitionByExpression [g" in out._jdf.queryExecution().optimizedPlan().toString() and ", 20" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.filter("n = 40 AND abs(r) <= 1 AND p IS NOT NULL").count() == 50
