@@ -114,3 +114,34 @@ def test_ranks_of_large_tables_are_dealt_by_rows(spark, monkeypatch):
     out = stats.correlation(rows, ["g"], "x", "y", "spearman")
     assert "RepartitionByExpression [g" in out._jdf.queryExecution().optimizedPlan().toString() and ", 20" in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.filter("n = 40 AND abs(r) <= 1 AND p IS NOT NULL").count() == 50
+
+
+def test_paired_bins_shuffle_no_pairs(spark):
+    s = 1_000_000
+    spikes = [("A", u, 8 * s + (u * 7919 + i * 104729) % (25 * s)) for u in range(6) for i in range(40 * u)]
+    trials = [("A", 50 + i, 12 * s + 611_003 * i, 12 * s + 611_003 * i + i % 3 * s) for i in range(9)] + [("B", 99, 0, 1)]
+    dead = [("A", 0, 14 * s, 15 * s + 500), ("A", 1, 17 * s + 100_000, 17 * s + 250_000)]
+    p = spark.createDataFrame(spikes, "session string, unit_id long, t_tick long")
+    t = spark.createDataFrame(trials, "session string, stim_index long, t0 long, t1 long")
+    u = spark.createDataFrame([("A", i % 2, i) for i in range(7)], "session string, electrode long, unit_id long")
+    d = spark.createDataFrame(dead, "session string, electrode long, s long, e long")
+    want = []
+    for _, i, t0, t1 in trials[:-1]:
+        for unit in range(7):
+            for k in range(8):
+                lows = (t0 - (8 - k) * s, t1 + k * s)
+                live = [s - sum(max(0, min(e, lo + s) - max(b, lo)) for _, x, b, e in dead if x == unit % 2) for lo in lows]
+                if min(live) >= 0.8 * s:
+                    rates = [sum(a == unit and lo <= at < lo + s for _, a, at in spikes) * 1e6 / v for lo, v in zip(lows, live)]
+                    want.append((unit * 1000 + i, rates[1] - rates[0]))
+    plain = {r.k: r for r in stats.signed_rank(spark.createDataFrame(want, "k long, d double"), ["k"], zeros="pratt", min_n=5).collect()}
+    for cells in (1 << 21, 100):
+        out = st.paired_bins_test(p, t, u, d, s, 8, cells=cells)
+        got = out.collect()
+        assert len(got) == 63
+        for r in got:
+            x = plain[r.unit_id * 1000 + r.stim_index]
+            assert (r.n, r.stat) == (x.n, x.stat) and (r.p == x.p or math.isclose(r.p, x.p, rel_tol=1e-9))
+            assert r.n_bins == sum(k == r.unit_id * 1000 + r.stim_index for k, _ in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")] and "RepartitionByExpression" not in plan[: plan.index("FlatMapGroupsInArrow")]
