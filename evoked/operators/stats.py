@@ -90,31 +90,6 @@ def signed_rank(df: DataFrame, keys: list[str], d: str = "d", zeros: str = "wilc
     return out.select(*keys, "n", F.when(enough, F.col("stat")).alias("stat"), F.when(enough, F.col("p")).alias("p"))
 
 
-def signed_rank_sparse(df: DataFrame, counts: DataFrame, keys: list[str], d: str = "d", min_n: int = 1) -> DataFrame:
-    """signed_rank with zeros by Pratt, of the differences that aren't zero, and the number n_all of all of them by keys.
-
-    The zeros take the lowest ranks, so they only shift the others; groups of counts without a difference have stat 0, p 1.
-    """
-    size = F.abs(F.col(d))
-    rows = df.withColumn("__a", size).withColumn("__r", avg_rank(F.col("__a"), keys)).withColumn("__t", F.count(F.lit(1)).over(W.partitionBy(*keys, "__a")))
-    sums = rows.groupBy(*keys).agg(
-        F.sum(F.when(F.col(d) > 0, F.col("__r")).otherwise(0)).alias("rp"),
-        F.sum(F.when(F.col(d) < 0, F.col("__r")).otherwise(0)).alias("rm"),
-        F.count_if(F.col(d) > 0).alias("np"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("__t") * F.col("__t") - 1.0).alias("ties"),
-    )
-    out = counts.join(sums, keys, "left").fillna(0, ["n", "np"])
-    na, n = F.col("n_all").cast("double"), F.col("n")
-    nz = na - n
-    mean = (na * (na + 1) - nz * (nz + 1)) / 4.0
-    var = (na * (na + 1) * (2 * na + 1) - nz * (nz + 1) * (2 * nz + 1)) / 24.0 - F.col("ties") / 48.0
-    stat = F.least(F.col("rp") + nz * F.col("np"), F.col("rm") + nz * (n - F.col("np")))
-    p = F.when(var > 0, two_sided((stat - mean) / F.sqrt(var)))
-    enough = F.col("n_all") >= min_n
-    return out.select(*keys, "n", F.when(enough, F.coalesce(stat, F.lit(0.0))).alias("stat"), F.when(enough, F.when(n == 0, 1.0).otherwise(p)).alias("p"))
-
-
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, reference: str, min_n: int = 3, exact: bool = False) -> DataFrame:
     """Two-sided Mann-Whitney U of every other group against the reference within keys: n1, n2, u, p.
 
