@@ -275,7 +275,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         code = self[word] = xxhash.xxh64_intdigest(word.encode(), 7)
         return code
@@ -320,6 +320,8 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 PRINT_WORDS, PRINT_BITS = 4, 72
 #: Rounds of pivots before the members of keys that are still open are compared with each other.
 ROUNDS = 3
+#: Texts that are made into sets at a time, and values that `linked_sets` looks up at a time, so that a worker's memory stays small.
+TEXTS, VALUES = 1000, 1 << 17
 
 
 def majority(h: np.ndarray, n_words: int) -> np.ndarray:
@@ -349,6 +351,20 @@ def chains_hold(a: Column, b: Column) -> Column:
     return out
 
 
+def shared(x: np.ndarray, sets: list[np.ndarray], which: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many values each of the sets `which` shares with x, all ascending and not empty; about VALUES values are held at a time."""
+    out = np.zeros(len(which), np.int64)
+    total = np.r_[0, np.cumsum(size[which])]
+    lo = 0
+    while lo < len(which):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + VALUES, "right")) - 1)
+        values = np.concatenate([sets[i] for i in which[lo:hi]])
+        hit = x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+        out[lo:hi] = np.add.reduceat(hit.astype(np.int64), total[lo:hi] - total[lo])
+        lo = hi
+    return out
+
+
 def linked_sets(sets: list[np.ndarray], comp: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that join each component of "Jaccard similarity of at least `similarity`", as index pairs.
 
@@ -368,10 +384,7 @@ def linked_sets(sets: list[np.ndarray], comp: np.ndarray, similarity: float) ->
             some = left[np.minimum(size[left], len(x)) >= similarity * np.maximum(size[left], len(x)) - 1e-9]
             if not len(some):
                 continue
-            values = np.concatenate([sets[i] for i in some])
-            hit = x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
-            both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(size[some])[:-1]])
-            got = some[both * (1 + similarity) >= similarity * (size[some] + len(x)) - 1e-9]
+            got = some[shared(x, sets, some, size) * (1 + similarity) >= similarity * (size[some] + len(x)) - 1e-9]
             out += [(int(at), int(g)) for g in got]
             frontier += got.tolist()
             left = np.setdiff1d(left, got, assume_unique=True)
@@ -460,7 +473,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limi
             import xxhash
 
             codes = _Codes()
-            for b in batches:
+            for b in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
                 found = [shingle_set(t.as_py(), shingle, codes) for t in b.column(1)]
                 names = np.array([divmod(xxhash.xxh3_128_intdigest(h.tobytes()), 2**64) for h in found], "<u8").reshape(-1, 2).view("<i8")
                 size = pa.array([len(h) for h in found], pa.int32())
