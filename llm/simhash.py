@@ -319,7 +319,7 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 #: with probability 0.15 (0.19 in sets of 4 and 5), so 72 are exceeded by fewer than one pair in 10,000.
 PRINT_WORDS, PRINT_BITS = 4, 72
 #: Rounds of pivots before the members of keys that are still open are compared with each other.
-ROUNDS = 3
+ROUNDS = 2
 #: Texts that are made into sets at a time, and values that `linked_sets` looks up at a time, so that a worker's memory stays small.
 TEXTS, VALUES = 1000, 1 << 17
 
@@ -453,13 +453,27 @@ def _bucket_links(met: DataFrame, similarity: float, limit: int) -> DataFrame:
     return met.mapInArrow(find, f"a {kind}, b {kind}").distinct()
 
 
+def chain_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, least): pairs of nodes (node, f) to check, found by pigeonring on the first word of f.
+
+    Nodes of one word are paired with the smallest of them, and those link by chains of 7 of 16 segments as in `groups`, so
+    pairs join all nodes whose words differ in 2 bits or fewer.
+    """
+    words = nodes.select("node", F.slice("f", 1, 1).alias("f"))
+    least = cut(words.groupBy("f").agg(F.min("node").alias("least")))
+    same = words.join(least, "f").filter("node <> least").select("node", "least")
+    close = links(least.select(F.col("least").alias("id"), "f"), 2, 4, 7)
+    return same.union(close.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("least")))
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limit: int = 1 << 22, members: int = 1 << 16, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, root) of each document that has words: near duplicates share the root, the smallest id that links reach.
 
     Two documents link if the Jaccard similarity of their sets of shingles is at least `similarity`; each link is checked
-    on the whole sets. Pairs to check share a key of `band_keys`, which at 0.8 three pairs in 100,000 don't, and are
-    pruned by SimHash fingerprints of the sets: chains of words within their budgets, then the full Hamming distance. Equal
-    sets are one node. First each node of a key is compared with the smallest, then, while keys hold several components,
+    on the whole sets. Pairs to check are found by pigeonring on SimHash fingerprints of the sets (`chain_pairs`). Chains lose no pair within
+    2 of 64 bits, but at similarity 0.8 about ten differ; so for the rest pairs are those that share a key of `band_keys`, which at 0.8
+    three pairs in 100,000 don't. All are pruned by fingerprints: chains of words within their budgets, then the full Hamming distance. Equal
+    sets are one node. First the chains' pairs and each node of a key with its smallest are compared, then, while keys hold several components,
     each node with one other pivot of its keys for ROUNDS rounds; so a large group of near copies joins by a few pairs for each of
     its members. Then, in keys that still hold more than one component, the members that are
     near to one of another component are compared, in tasks of bounded size. Repeated rows of one id are one
@@ -494,8 +508,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limi
     keys = nodes.select("node", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     met = cut(keys.join(least, "key").select("key", "many", "node", "least"))
+    chained = cut(chain_pairs(near))
 
-    asked = nodes.join(met.select("node").distinct(), "node").select(F.col("node").alias("id"), "s0", "s1")
+    some = met.select("node").union(chained.select("node")).union(chained.select("least")).distinct()
+    asked = nodes.join(some, "node").select(F.col("node").alias("id"), "s0", "s1")
     texts = said.join(asked.select("id"), "id", "left_semi").mapInArrow(sets(True), f"id {kind}, s0 long, s1 long, n int, shingles array<long>")
     texts = texts.join(asked, ["id", "s0", "s1"], "left_semi").dropDuplicates(["id"])
     texts = cut(texts.select(F.col("id").alias("node"), "shingles"))
@@ -516,7 +532,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limi
         keys_ = more.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").select("key")
         return cut(more.join(keys_, "key"))
 
-    found = components(verified(met.filter("node <> least").select("node", "least").distinct()))
+    found = components(verified(met.filter("node <> least").select("node", "least").union(chained).distinct()))
     more = opened(found)
     for turn in range(ROUNDS):
         pivots = more.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp")).alias("pivot"))
